@@ -150,6 +150,40 @@ FROM orders
 """
 
 
+# A batch of label-state writes; ``seq`` is the arrival order inside the batch.
+VIEWS["state_batch"] = """
+SELECT game_id, frame_index, CASE WHEN label = 'in_play_ball' THEN 'ball' ELSE 'player' END AS cls_group,
+       CASE source WHEN 'hand_label' THEN 'complete' WHEN 'yolo' THEN 'partial' ELSE 'absent' END AS state,
+       CASE WHEN track_id IS NULL THEN 'hand_frame' WHEN track_id % 4 = 0 THEN 'verdict' WHEN track_id % 4 = 1 THEN 'offline_audited'
+            WHEN track_id % 4 = 2 THEN 'sidecar_marker' ELSE 'hand_series' END AS method,
+       detection_id AS seq
+FROM detection
+"""
+
+VIEWS["pair_log"] = """
+SELECT concat('clip', user_id % 20) AS clip, CAST(user_id % 31 AS BIGINT) AS a, CAST(event_id * 7 % 31 AS BIGINT) AS b, event_id AS line_no,
+       CASE event_type WHEN 'purchase' THEN 'same' WHEN 'click' THEN 'different' WHEN 'view' THEN 'unknown' WHEN 'signup' THEN 'different' END AS verdict
+FROM events WHERE user_id % 31 <> event_id * 7 % 31
+"""
+
+# Names as they occur on disk: clip files and image exports.
+VIEWS["clip_name"] = """
+SELECT o_orderkey AS name_id,
+       CASE o_orderkey % 6
+         WHEN 0 THEN concat('north_east_2025', lpad(CAST(o_custkey % 1000 AS STRING), 4, '0'), '_seg', o_custkey % 97)
+         WHEN 1 THEN concat('/data/clips/east_seg', lpad(CAST(o_custkey % 97 AS STRING), 3, '0'), '.mp4')
+         WHEN 2 THEN concat('North vs West 1_seg', o_custkey % 97)
+         WHEN 3 THEN concat('west_1st_seg', lpad(CAST(o_custkey % 97 AS STRING), 4, '0'), '.jsonl')
+         WHEN 4 THEN concat('unknown match (', o_custkey % 50, ')')
+         ELSE concat('plain_', o_custkey % 50) END AS name,
+       CASE o_orderkey % 4
+         WHEN 0 THEN concat('train/north_east_seg', lpad(CAST(o_custkey % 97 AS STRING), 3, '0'), '_', lpad(CAST(o_orderkey % 5000 AS STRING), 6, '0'), '_png.rf.', substr(sha1(CAST(o_orderkey AS STRING)), 1, 12), '.jpg')
+         WHEN 1 THEN concat('valid/north_west_1st_seg', lpad(CAST(o_custkey % 97 AS STRING), 3, '0'), '_frame_', lpad(CAST(o_orderkey % 5000 AS STRING), 6, '0'), '.jpg')
+         WHEN 2 THEN concat('train/north_west_1st_f', o_orderkey % 5000, '.jpg')
+         ELSE concat('train/picture', '.jpg') END AS image
+FROM orders
+"""
+
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(_inline(VIEWS[name], sf_dir))
 

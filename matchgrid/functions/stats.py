@@ -109,8 +109,8 @@ def clopper_pearson_lower(k, n, alpha: float = 0.1, steps: int = 60) -> Column:
 
 
 def exact_fps(fps) -> Column:
-    """Exact rate of a rounded NTSC rate: 29.97 is 30000/1001; an integer rate stays itself."""
+    """Exact rate of a rounded frame rate: 29.97 is 30000/1001, any other rate stays itself."""
     f = c(fps)
-    whole = F.bround(f)
-    ntsc = F.bround(f * 1.001) * 1000.0 / 1001.0
-    return F.when(F.abs(f - whole) < 1e-6, whole).when(F.abs(f - ntsc) < 0.005, ntsc).otherwise(f)
+    k = F.bround(f * 1.001)
+    ntsc = (k > 0) & (F.abs(f - k / 1.001) < 0.01)
+    return F.when(ntsc, k * 1000.0 / 1001.0).otherwise(f)

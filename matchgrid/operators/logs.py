@@ -25,6 +25,6 @@ def latest_verdicts(log: DataFrame, keys: Sequence[str] = VERDICT_KEY, order: Se
 
 def latest_pair_labels(log: DataFrame, a: Sequence[Column], b: Sequence[Column], order: Sequence[str]) -> DataFrame:
     """Latest verdict per unordered pair: the two sides are put in canonical order first."""
-    sa, sb = F.struct(*a), F.struct(*b)
+    sa, sb = (F.struct(*[c.alias(f"k{i}") for i, c in enumerate(side)]) for side in (a, b))
     d = log.withColumn("lo", F.least(sa, sb)).withColumn("hi", F.greatest(sa, sb))
     return latest_per_key(d, ["lo", "hi"], order).where("verdict IS NOT NULL")

@@ -8,7 +8,7 @@ A key with a third of all rows is spread over all its chunks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,18 +124,40 @@ def with_islands(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    starts_new: Column,
-    prev_cols: Sequence[str],
+    starts_new: Callable[[Column, Column], Column],
+    cols: Sequence[str],
     out: str = "island",
     *,
     span: int = SPAN,
     chunk: Column | None = None,
 ) -> DataFrame:
-    """Number the runs of a key. ``starts_new`` may use ``prev.<col>`` of the row before (null on the first)."""
-    d = with_neighbour(df, keys, order, prev_cols, "prev", span=span, chunk=chunk)
-    flag = F.when(F.col("prev").isNull() | starts_new, F.lit(1)).otherwise(F.lit(0)).cast("long")
-    d = d.withColumn("__new", flag).drop("prev")
-    return with_running(d, keys, order, F.col("__new"), out, span=span, chunk=chunk).drop("__new")
+    """Number the runs of a key from 1. ``starts_new(row, previous)`` gets two structs with ``cols``.
+
+    One shuffle of the rows: breaks are counted inside a chunk, and the summary of a chunk (first row,
+    last row, number of breaks) settles the break at its edge and its offset.
+    """
+    keys, order = list(keys), list(order)
+    d = _chunked(df, order[0], span, chunk).withColumn("__v", F.struct(*cols))
+    local = Window.partitionBy(*keys, _CH).orderBy(*_order(order, False))
+    d = d.withColumn("__p", F.lag("__v").over(local))
+    inner = F.when(F.col("__p").isNull(), F.lit(0)).when(starts_new(F.col("__v"), F.col("__p")), F.lit(1)).otherwise(F.lit(0))
+    d = d.withColumn("__f", inner.cast("long"))
+    d = d.withColumn("__cum", F.sum("__f").over(local.rowsBetween(Window.unboundedPreceding, 0)))
+    pos = F.struct(*order)
+    edge = d.groupBy(*keys, _CH).agg(
+        F.min_by("__v", pos).alias("__first"), F.max_by("__v", pos).alias("__last"), F.sum("__f").alias("__n")
+    )
+    across = Window.partitionBy(*keys).orderBy(_CH)
+    edge = edge.withColumn("__pl", F.lag("__last").over(across))
+    at_edge = F.when(F.col("__pl").isNull(), 1).when(starts_new(F.col("__first"), F.col("__pl")), 1).otherwise(0).cast("long")
+    edge = edge.withColumn("__e", at_edge)
+    before = F.sum(F.col("__n") + F.col("__e")).over(across.rowsBetween(Window.unboundedPreceding, -1))
+    edge = edge.select(*keys, _CH, (F.coalesce(before, F.lit(0)) + F.col("__e")).alias("__off"))
+    return (
+        _join_back(d, edge, keys)
+        .withColumn(out, F.col("__off") + F.col("__cum"))
+        .drop("__v", "__p", "__f", "__cum", "__off", _CH)
+    )
 
 
 def global_rank(df: DataFrame, order: Sequence[tuple[str, bool]], out: str = "rank", parts: int | None = None) -> DataFrame:

@@ -16,9 +16,13 @@ def latest_result(results: DataFrame, keys: Sequence[str], cohort: str, order: S
     return results.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
+def _changed(name: str):
+    return lambda row, prev: ~row[name].eqNullSafe(prev[name])
+
+
 def runs(df: DataFrame, keys: Sequence[str], t: str, value: str, aggs: Sequence[Column] = (), span: int = ordered.SPAN) -> DataFrame:
     """Run-length encoding: maximal runs of equal ``value`` along ``t``."""
-    d = ordered.with_islands(df, keys, [t], ~F.col(value).eqNullSafe(F.col(f"prev.{value}")), [value], "run_no", span=span)
+    d = ordered.with_islands(df, keys, [t], _changed(value), [value], "run_no", span=span)
     return d.groupBy(*keys, "run_no", value).agg(
         F.min(t).alias("start"), F.max(t).alias("end"), F.count("*").alias("n"), *aggs
     )
@@ -33,8 +37,7 @@ def smooth_mask(
     Only on-frames are numbered: a new segment starts where the step to the previous on-frame is too long.
     """
     on = df.where(F.col(mask)).select(*keys, t)
-    new = (F.col(t) - F.col(f"prev.{t}") - 1) > merge_gap
-    seg = ordered.with_islands(on, keys, [t], new, [t], "seg_no", span=span)
+    seg = ordered.with_islands(on, keys, [t], lambda r, p: (r[t] - p[t] - 1) > merge_gap, [t], "seg_no", span=span)
     out = seg.groupBy(*keys, "seg_no").agg(F.min(t).alias("start"), F.max(t).alias("end"))
     return out.where(F.col("end") - F.col("start") + 1 >= min_len).drop("seg_no")
 
@@ -130,7 +133,7 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, o
 
 def track_support(df: DataFrame, keys: Sequence[str], t: str, track: str, weight: Column, out: str, span: int = ordered.SPAN) -> DataFrame:
     """Sum of ``weight`` over the run of equal track id around each row."""
-    d = ordered.with_islands(df, keys, [t], ~F.col(track).eqNullSafe(F.col(f"prev.{track}")), [track], "__run", span=span)
+    d = ordered.with_islands(df, keys, [t], _changed(track), [track], "__run", span=span)
     s = d.groupBy(*keys, "__run").agg(F.sum(weight).alias(out))
     return d.join(s, [*keys, "__run"], "left").drop("__run")
 
