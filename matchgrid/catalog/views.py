@@ -184,6 +184,26 @@ SELECT o_orderkey AS name_id,
 FROM orders
 """
 
+# Reviewed boxes: the latest live verdict of a key with the box it was given on.
+VIEWS["verdict_box"] = """
+SELECT game_id, vsource, frame_index, box_index, verdict, line_no AS verdict_id,
+       (line_no % 40) / CAST(50 AS DOUBLE) AS bx, (line_no * 7 % 35) / CAST(50 AS DOUBLE) AS by_,
+       CAST(0.15 AS DOUBLE) AS bw, CAST(0.22 AS DOUBLE) AS bh,
+       CASE WHEN verdict = 'corrected' THEN (line_no % 40) / CAST(50 AS DOUBLE) + CAST(0.03 AS DOUBLE) END AS cx
+FROM verdict_log WHERE verdict IS NOT NULL
+"""
+
+# Labelled pitch points: three per frame.
+VIEWS["keypoint"] = """
+SELECT concat('g', o_orderkey % 25) AS game_id, CAST(floor(o_orderkey / 25) AS INT) AS frame_index, point_idx,
+       (o_custkey * (point_idx + 3) % 1000) / CAST(1000 AS DOUBLE) AS u, (o_orderkey * (point_idx + 7) % 997) / CAST(997 AS DOUBLE) AS v,
+       CAST(o_custkey * (point_idx + 3) % 105 AS DOUBLE) - CAST(52.5 AS DOUBLE) AS pitch_x,
+       CAST(o_orderkey * (point_idx + 7) % 68 AS DOUBLE) - CAST(34 AS DOUBLE) AS pitch_y
+FROM (SELECT orders.*, 0 AS point_idx FROM orders UNION ALL SELECT orders.*, 1 AS point_idx FROM orders
+      UNION ALL SELECT orders.*, 2 AS point_idx FROM orders) p
+"""
+
+
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(_inline(VIEWS[name], sf_dir))
 

@@ -20,3 +20,8 @@ def suggestion_score(conf, dist_px, sigma, bonus=None) -> Column:
     d, sg = c(dist_px), c(sigma)
     s = s - F.when(d.isNotNull(), d * d / (2.0 * sg * sg)).otherwise(F.lit(0.0))
     return s if bonus is None else s + bonus
+
+
+def near_sample(dist, gate: float) -> Column:
+    """Is a neighbour sample within ``gate``: null when that sample does not exist (NaN)."""
+    return F.when(~F.isnan(c(dist)), c(dist) <= gate)
