@@ -91,11 +91,15 @@ def project_boxes(detection: DataFrame, calibration: DataFrame, margin_m: float
     calibration keep their rows."""
     d = detection.join(calibration.select("game_id", "frame_index", "H", "k1", "calib_confidence"), ["game_id", "frame_index"], "left")
     d = d.withColumn("calib_ok", F.col("H").isNotNull())
-    ux, uy = pitch.undistort(boxes.centre_x(), boxes.anchor_y(), F.coalesce("k1", F.lit(0.0)))
-    px, py, pw = pitch.apply_homography(pitch.h_cells(), ux, uy)
-    ok = F.abs(pw) >= pitch.WEIGHT_TOLERANCE
+    d = d.withColumn("k1", F.coalesce("k1", F.lit(0.0))).withColumn("ax", boxes.centre_x()).withColumn("ay", boxes.anchor_y())
+    ux, uy = pitch.undistort("ax", "ay", "k1")
+    d = d.withColumn("ux", ux).withColumn("uy", uy)
+    px, py, pw = pitch.apply_homography(pitch.h_cells(), "ux", "uy")
+    d = d.withColumn("px", px).withColumn("py", py).withColumn("pw", pw)
+    good = F.col("calib_ok") & (F.abs("pw") >= pitch.WEIGHT_TOLERANCE)
     nan = F.lit(float("nan"))
-    d = d.withColumn("x_m", F.when(F.col("calib_ok") & ok, px / pw).otherwise(nan)).withColumn("y_m", F.when(F.col("calib_ok") & ok, py / pw).otherwise(nan))
+    d = d.withColumn("x_m", F.when(good, F.col("px") / F.col("pw")).otherwise(nan)).withColumn("y_m", F.when(good, F.col("py") / F.col("pw")).otherwise(nan))
+    d = d.drop("ax", "ay", "ux", "uy", "px", "py", "pw")
 
     def inside(margin: float) -> Column:
         # NaN sorts above every number in Spark, so an unusable position is never inside.

@@ -111,7 +111,8 @@ def score_detections(
         ig = ignore_pairs.select(*keys, "det_id").distinct().withColumn("__ig", F.lit(True))
         d = d.join(ig, [*keys, "det_id"], "left")
         out = out.when(F.col("__ig"), "ignored")
-    return d.withColumn("outcome", out.otherwise("false")).drop("__hit", "__ig")
+    # Every metric reads the scored detections again: store them once.
+    return cut_lineage(d.withColumn("outcome", out.otherwise("false")).drop("__hit", "__ig"))
 
 
 def running_precision(scored: DataFrame, keys: Sequence[str], tie: Sequence[str]) -> DataFrame:
@@ -122,8 +123,8 @@ def running_precision(scored: DataFrame, keys: Sequence[str], tie: Sequence[str]
     d = d.withColumn("__hit", F.when(F.col("outcome") == "hit", 1).otherwise(0).cast("long"))
     chunk = F.floor(F.col("__neg") * 1024).cast("long")
     order = ["__neg", *tie]
-    d = ordered.with_running(d, keys, order, F.col("__hit"), "tp", chunk=chunk)
-    d = ordered.with_running(d, keys, order, F.lit(1).cast("long"), "n", chunk=chunk)
+    specs = [ordered.Running("tp", F.col("__hit")), ordered.Running("n", F.lit(1).cast("long"))]
+    d = ordered.along(d, keys, order, specs, chunk=chunk)
     return d.withColumn("precision", F.col("tp") / F.col("n")).drop("__neg", "__hit")
 
 
@@ -140,10 +141,12 @@ def average_precision(scored: DataFrame, n_gt: DataFrame, keys: Sequence[str], t
     per = r.groupBy(*keys, "tp").agg(F.max("precision").alias("first_p"), F.max_by("precision", "n").alias("last_p"), F.max("precision").alias("best"))
     # Envelope: the best precision at this recall or any higher one.
     per = per.withColumn("__rev", -F.col("tp"))
-    per = ordered.with_running(per, keys, ["__rev"], F.col("best"), "env", how="max")
-    per = ordered.with_neighbour(per, keys, ["tp"], ["env"], "nxt", back=False)
-    last = F.greatest(F.col("last_p"), F.coalesce(F.col("nxt.env"), F.lit(0.0)))
-    per = per.select(*keys, "tp", F.col("env").alias("e_first"), last.alias("e_last"))
+    best = F.col("best")
+    specs = [ordered.Running("env", best, "max"), ordered.Running("later", best, "max", inclusive=False)]
+    per = ordered.along(per, keys, ["__rev"], specs)
+    last = F.greatest(F.col("last_p"), F.coalesce(F.col("later"), F.lit(0.0)))
+    # One row per true positive, read three times below: stored once.
+    per = cut_lineage(per.select(*keys, "tp", F.col("env").alias("e_first"), last.alias("e_last")))
     top = per.groupBy(*keys).agg(F.max("tp").alias("tp_max"))
     grid = n_gt.where("n_gt > 0").join(top, keys, "left").withColumn("tp_max", F.coalesce("tp_max", F.lit(-1).cast("long")))
     grid = grid.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(100))))

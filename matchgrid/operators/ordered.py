@@ -9,6 +9,7 @@ A key with a third of all rows is spread over all its chunks.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,92 +33,96 @@ def _join_back(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFr
     return df.join(summary, [*keys, _CH], "left")
 
 
-def with_neighbour(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    cols: Sequence[str],
-    out: str,
-    *,
-    back: bool = True,
-    span: int = SPAN,
-    chunk: Column | None = None,
-) -> DataFrame:
-    """Add struct column ``out`` with ``cols`` of the previous (``back``) or next row of the key."""
-    keys, order = list(keys), list(order)
-    d = _chunked(df, order[0], span, chunk)
-    local = Window.partitionBy(*keys, _CH).orderBy(*_order(order, not back))
-    d = d.withColumn("__v", F.struct(*cols)).withColumn("__local", F.lag("__v").over(local))
-    pick = F.max_by if back else F.min_by
-    edge = d.groupBy(*keys, _CH).agg(pick("__v", F.struct(*order)).alias("__edge"))
-    across = Window.partitionBy(*keys).orderBy(F.col(_CH).asc() if back else F.col(_CH).desc())
-    edge = edge.select(*keys, _CH, F.lag("__edge").over(across).alias("__far"))
-    return (
-        _join_back(d, edge, keys)
-        .withColumn(out, F.coalesce("__local", "__far"))
-        .drop("__v", "__local", "__far", _CH)
-    )
+class Prev(NamedTuple):
+    """Struct of ``cols`` of the row before (``back``) or after."""
 
+    out: str
+    cols: Sequence[str]
+    back: bool = True
+
+
+class Known(NamedTuple):
+    """Last (``back``) or next non-null ``value``, at the row itself when ``inclusive``."""
+
+    out: str
+    value: Column
+    back: bool = True
+    inclusive: bool = True
 
-def with_known(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    value: Column,
-    out: str,
-    *,
-    back: bool = True,
-    inclusive: bool = True,
-    span: int = SPAN,
-    chunk: Column | None = None,
-) -> DataFrame:
-    """Last (``back``) or next non-null ``value`` of the key, at this row when ``inclusive``."""
-    keys, order = list(keys), list(order)
-    d = _chunked(df, order[0], span, chunk).withColumn("__v", value)
-    local = (
-        Window.partitionBy(*keys, _CH)
-        .orderBy(*_order(order, not back))
-        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    )
-    d = d.withColumn("__local", F.last("__v", ignorenulls=True).over(local))
-    pick = F.max_by if back else F.min_by
-    pos = F.when(F.col("__v").isNotNull(), F.struct(*order))
-    edge = d.groupBy(*keys, _CH).agg(pick("__v", pos).alias("__edge"))
-    across = (
-        Window.partitionBy(*keys)
-        .orderBy(F.col(_CH).asc() if back else F.col(_CH).desc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    edge = edge.select(*keys, _CH, F.last("__edge", ignorenulls=True).over(across).alias("__far"))
-    return (
-        _join_back(d, edge, keys)
-        .withColumn(out, F.coalesce("__local", "__far"))
-        .drop("__v", "__local", "__far", _CH)
-    )
 
+class Running(NamedTuple):
+    """Running ``sum`` or ``max`` of ``value``, up to the row itself when ``inclusive``."""
 
-def with_running(
+    out: str
+    value: Column
+    how: str = "sum"
+    inclusive: bool = True
+
+
+def along(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    value: Column,
-    out: str,
+    specs: Sequence[Prev | Known | Running],
     *,
-    how: str = "sum",
     span: int = SPAN,
     chunk: Column | None = None,
 ) -> DataFrame:
-    """Inclusive running ``sum`` or ``max`` of ``value`` along the key."""
+    """Add all ``specs`` in one pass: one shuffle of the rows, one summary row per chunk, one join back."""
     keys, order = list(keys), list(order)
-    agg = {"sum": F.sum, "max": F.max}[how]
-    d = _chunked(df, order[0], span, chunk).withColumn("__v", value)
-    local = Window.partitionBy(*keys, _CH).orderBy(*_order(order, False)).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("__local", agg("__v").over(local))
-    edge = d.groupBy(*keys, _CH).agg(agg("__v").alias("__edge"))
-    across = Window.partitionBy(*keys).orderBy(_CH).rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.select(*keys, _CH, agg("__edge").over(across).alias("__far"))
-    both = F.col("__local") + F.coalesce(F.col("__far"), F.lit(0)) if how == "sum" else F.greatest("__local", "__far")
-    return _join_back(d, edge, keys).withColumn(out, both).drop("__v", "__local", "__far", _CH)
+    d = _chunked(df, order[0], span, chunk)
+    fwd = Window.partitionBy(*keys, _CH).orderBy(*_order(order, False))
+    rev = Window.partitionBy(*keys, _CH).orderBy(*_order(order, True))
+    afwd = Window.partitionBy(*keys).orderBy(F.col(_CH).asc())
+    arev = Window.partitionBy(*keys).orderBy(F.col(_CH).desc())
+    first, unb = Window.unboundedPreceding, Window.unboundedPreceding
+    pos = F.struct(*order)
+    edges, fars, finals, drops = [], [], [], []
+    for i, sp in enumerate(specs):
+        v, loc, edge, far = f"__v{i}", f"__l{i}", f"__e{i}", f"__f{i}"
+        drops += [v, loc, far]
+        if isinstance(sp, Running):
+            fn = {"sum": F.sum, "max": F.max}[sp.how]
+            d = d.withColumn(v, sp.value).withColumn(loc, fn(v).over(fwd.rowsBetween(first, 0 if sp.inclusive else -1)))
+            edges.append(fn(v).alias(edge))
+            fars.append(fn(edge).over(afwd.rowsBetween(unb, -1)).alias(far))
+            if sp.how == "sum":
+                both = F.coalesce(F.col(loc), F.lit(0)) + F.coalesce(F.col(far), F.lit(0))
+            else:
+                both = F.greatest(loc, far)
+        elif isinstance(sp, Prev):
+            w, a = (fwd, afwd) if sp.back else (rev, arev)
+            pick = F.max_by if sp.back else F.min_by
+            d = d.withColumn(v, F.struct(*sp.cols)).withColumn(loc, F.lag(v).over(w))
+            edges.append(pick(v, pos).alias(edge))
+            fars.append(F.lag(edge).over(a).alias(far))
+            both = F.coalesce(loc, far)
+        else:
+            w, a = (fwd, afwd) if sp.back else (rev, arev)
+            pick = F.max_by if sp.back else F.min_by
+            frame = w.rowsBetween(first, 0 if sp.inclusive else -1)
+            d = d.withColumn(v, sp.value).withColumn(loc, F.last(v, ignorenulls=True).over(frame))
+            edges.append(pick(v, F.when(F.col(v).isNotNull(), pos)).alias(edge))
+            fars.append(F.last(edge, ignorenulls=True).over(a.rowsBetween(unb, -1)).alias(far))
+            both = F.coalesce(loc, far)
+        finals.append((sp.out, both))
+    summary = d.groupBy(*keys, _CH).agg(*edges).select(*keys, _CH, *fars)
+    d = _join_back(d, summary, keys)
+    for out, col in finals:
+        d = d.withColumn(out, col)
+    return d.drop(*drops, _CH)
+
+
+def with_neighbour(df, keys, order, cols, out, *, back=True, span: int = SPAN, chunk: Column | None = None) -> DataFrame:
+    return along(df, keys, order, [Prev(out, cols, back)], span=span, chunk=chunk)
+
+
+def with_known(df, keys, order, value, out, *, back=True, inclusive=True, span: int = SPAN, chunk: Column | None = None) -> DataFrame:
+    return along(df, keys, order, [Known(out, value, back, inclusive)], span=span, chunk=chunk)
+
+
+def with_running(df, keys, order, value, out, *, how="sum", span: int = SPAN, chunk: Column | None = None) -> DataFrame:
+    return along(df, keys, order, [Running(out, value, how)], span=span, chunk=chunk)
 
 
 def with_islands(

@@ -89,9 +89,11 @@ def merge_passes(fwd: DataFrame, bwd: DataFrame, keys: Sequence[str], t: str, ag
     j = j.withColumn("side", F.when(fh & bh, both).when(fh, only_f).when(bh, only_b))
     j = j.withColumn("pick", F.when(F.col("side") == "f", f).when(F.col("side") == "b", b))
     j = j.withColumn("key", F.struct("side", F.col("pick.track_id").alias("id")))
-    j = ordered.with_neighbour(j, keys, [t], ["key"], "prev", span=span)
-    new = F.col("side").isNotNull() & (F.col("prev").isNull() | ~F.col("key").eqNullSafe(F.col("prev.key")))
-    j = ordered.with_running(j.withColumn("__n", F.when(new, 1).otherwise(0).cast("long")), keys, [t], F.col("__n"), "__id", span=span)
+    # Only frames with a point are numbered, but an empty frame between two points starts a new track.
+    d = ordered.with_islands(j, keys, [t], lambda r, p: r["side"].isNotNull() & ~r["key"].eqNullSafe(p["key"]), ["side", "key"], "__id", span=span)
+    head = d.groupBy(*keys).agg(F.min_by("side", t).alias("__s0"))
+    # The first row always counts as a start; take it back where it holds no point.
+    j = d.join(head, keys).withColumn("__id", F.col("__id") - F.when(F.col("__s0").isNull(), 1).otherwise(0))
     return j.select(
         *keys, t,
         F.coalesce("side", F.lit("-")).alias("side"),

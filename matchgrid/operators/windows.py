@@ -45,14 +45,14 @@ def smooth_mask(
 def run_neighbours(run_df: DataFrame, keys: Sequence[str], value: str, bad: Column, span: int = ordered.SPAN) -> DataFrame:
     """For each run: start of the next and of the previous run that satisfies ``bad``, not counting itself."""
     mark = F.when(bad, F.col("start"))
-    d = ordered.with_known(run_df, keys, ["start"], mark, "next_start", back=False, inclusive=False, span=span)
-    return ordered.with_known(d, keys, ["start"], mark, "prev_start", back=True, inclusive=False, span=span)
+    specs = [ordered.Known("next_start", mark, False, False), ordered.Known("prev_start", mark, True, False)]
+    return ordered.along(run_df, keys, ["start"], specs, span=span)
 
 
 def flicker_runs(run_df: DataFrame, keys: Sequence[str], value: str, max_run: int = 2, span: int = ordered.SPAN) -> DataFrame:
     """Short runs between two runs of the same value."""
-    d = ordered.with_neighbour(run_df, keys, ["start"], [value], "before", span=span)
-    d = ordered.with_neighbour(d, keys, ["start"], [value], "after", back=False, span=span)
+    specs = [ordered.Prev("before", [value]), ordered.Prev("after", [value], False)]
+    d = ordered.along(run_df, keys, ["start"], specs, span=span)
     same = F.col("before").isNotNull() & F.col("after").isNotNull() & F.col(f"before.{value}").eqNullSafe(F.col(f"after.{value}"))
     return d.withColumn("flicker", same & (F.col("n") <= max_run)).drop("before", "after")
 
@@ -97,8 +97,7 @@ def gap_interpolate(
     """
     val = F.when(accepted, F.struct(t, *cols))
     d = df.withColumn("__acc", accepted)
-    d = ordered.with_known(d, keys, [t], val, "__p", span=span)
-    d = ordered.with_known(d, keys, [t], val, "__n", back=False, span=span)
+    d = ordered.along(d, keys, [t], [ordered.Known("__p", val), ordered.Known("__n", val, False)], span=span)
     gap = F.col(f"__n.{t}") - F.col(f"__p.{t}")
     inside = ~F.col("__acc") & F.col("__p").isNotNull() & F.col("__n").isNotNull() & (gap <= max_gap)
     frac = (F.col(t) - F.col(f"__p.{t}")) / gap
@@ -163,9 +162,8 @@ def tile_timeline(spans: DataFrame, keys: Sequence[str], start: str, end: str, t
     """
     keys = list(keys)
     d = spans.where(F.col(end) > F.col(start))
-    d = ordered.with_running(d, keys, [start, end], F.col(end), "__top", how="max", span=span)
-    d = ordered.with_neighbour(d, keys, [start, end], ["__top"], "prev", span=span)
-    cursor = F.coalesce(F.col("prev.__top"), F.lit(0))
+    d = ordered.along(d, keys, [start, end], [ordered.Running("__top", F.col(end), "max", inclusive=False)], span=span)
+    cursor = F.coalesce(F.col("__top"), F.lit(0))
     d = d.withColumn("__cur", cursor).withColumn("__from", F.greatest(F.col(start), F.col("__cur")))
     tracked = d.where(F.col(end) > F.col("__from")).select(*keys, F.col("__from").alias("lo"), F.col(end).alias("hi"), F.lit("tracked").alias("kind"))
     hole = d.where(F.col(start) > F.col("__cur")).select(*keys, F.col("__cur").alias("lo"), F.col(start).alias("hi"), F.lit("skipped").alias("kind"))
@@ -194,8 +192,7 @@ def bucket_penalty_order(df: DataFrame, keys: Sequence[str], bucket: Column, sco
 
 def step_to_neighbours(df: DataFrame, keys: Sequence[str], t: str, x: str, y: str, span: int = ordered.SPAN) -> DataFrame:
     """Largest step to the row one frame before or after (null when there is none)."""
-    d = ordered.with_neighbour(df, keys, [t], [t, x, y], "p", span=span)
-    d = ordered.with_neighbour(d, keys, [t], [t, x, y], "q", back=False, span=span)
+    d = ordered.along(df, keys, [t], [ordered.Prev("p", [t, x, y]), ordered.Prev("q", [t, x, y], False)], span=span)
 
     def step(n: str) -> Column:
         near = F.abs(F.col(f"{n}.{t}") - F.col(t)) == 1
