@@ -337,13 +337,13 @@ x AS (SELECT *, (h1 * ux + h2 * uy + h3) / (h7 * ux + h8 * uy + h9) AS xm, (h4 *
 
 
 @query("p10_project_boxes", PROJ + """
-SELECT game_id, frame_index, detection_id, h1 IS NOT NULL AS calib_ok, round(xm, 5) AS x_m, round(ym, 5) AS y_m, coalesce(abs(xm) <= 52.5 AND abs(ym) <= 34, false) AS in_pitch,
+SELECT game_id, frame_index, detection_id, h1 IS NOT NULL AS calib_ok, round(xm, 7) AS x_m, round(ym, 7) AS y_m, coalesce(abs(xm) <= 52.5 AND abs(ym) <= 34, false) AS in_pitch,
  coalesce(abs(xm) <= 57.5 AND abs(ym) <= 39, false) AS in_bounds FROM x""")
 def _(t):
     cal = store.best_calibration(with_h(t.calibration)).where("quality >= 0.2").select(
         *FRAME, "H", F.col("distortion_k1").alias("k1"), F.col("quality").alias("calib_confidence"))
     d = joins.project_boxes(t.detection, cal)
-    num = lambda c: F.round(F.when(~F.isnan(c), F.col(c)), 5).alias(c)
+    num = lambda c: F.round(F.when(~F.isnan(c), F.col(c)), 7).alias(c)
     return d.select(*FRAME, "detection_id", "calib_ok", num("x_m"), num("y_m"), "in_pitch", "in_bounds")
 
 

@@ -204,6 +204,26 @@ FROM (SELECT orders.*, 0 AS point_idx FROM orders UNION ALL SELECT orders.*, 1 A
 """
 
 
+# A labelled evaluation panel: human state and mark, prediction, inclusion probability of the 5-frame window.
+VIEWS["panel_frame"] = """
+SELECT concat('g', o_orderkey % 25) AS match, CAST(floor(o_orderkey / 25) AS INT) AS frame, CAST(floor(o_orderkey / 125) AS INT) AS win,
+       CASE WHEN o_orderkey % 37 = 0 THEN NULL WHEN o_custkey % 5 = 0 THEN 'no_ball' WHEN o_custkey % 11 = 0 THEN 'not_broadcast' ELSE 'ball' END AS state,
+       CASE WHEN o_custkey % 6 = 0 THEN NULL ELSE abs(o_orderkey % 13 - 6) * CAST(4.75 AS DOUBLE) END AS dist,
+       CASE o_orderkey % 4 WHEN 0 THEN 'interpolated' ELSE 'detected' END AS src,
+       CAST(0.05 AS DOUBLE) * (1 + floor(o_orderkey / 125) % 4) AS pi, o_custkey % 3 = 0 AS shown
+FROM orders
+"""
+
+# Judged cards of mining rounds.
+VIEWS["card"] = """
+SELECT concat('g', l_orderkey % 25) AS match, CAST(floor(l_orderkey / 25) AS INT) AS frame, l_linenumber AS box,
+       CASE l_suppkey % 6 WHEN 0 THEN 'U' WHEN 1 THEN 'M' WHEN 2 THEN 'N' WHEN 3 THEN 'R' WHEN 4 THEN 'A' ELSE 'G' END AS bucket,
+       CASE WHEN l_partkey % 29 = 0 THEN 'unsure' WHEN l_partkey % 97 = 0 THEN 'not_ball' WHEN l_partkey % 131 = 0 THEN 'box_off'
+            WHEN l_partkey % 7 = 0 THEN 'corrected' ELSE 'ball' END AS verdict,
+       0.4 + (l_partkey % 60) / CAST(100 AS DOUBLE) AS p_real, 'v1' AS scorer_version, l_quantity / CAST(50 AS DOUBLE) AS pi
+FROM lineitem
+"""
+
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(_inline(VIEWS[name], sf_dir))
 
