@@ -200,7 +200,7 @@ def _(t):
     from matchgrid.operators.learn import leave_one_out
 
     d = t.detection.where("confidence IS NOT NULL").select(
-        (F.hash("game_id") % 2).alias("fold"), "confidence", "bbox_x", "bbox_y", "bbox_w", "bbox_h", F.col("reviewed").cast("double").alias("label"))
+        F.pmod(F.hash("game_id"), F.lit(2)).alias("fold"), "confidence", "bbox_x", "bbox_y", "bbox_w", "bbox_h", F.col("reviewed").cast("double").alias("label"))
     return leave_one_out(d, "fold", ["confidence", "bbox_x", "bbox_y", "bbox_w", "bbox_h"], "label", "confidence")
 
 
@@ -278,10 +278,10 @@ def person_boxes(t):
 
 
 @query("a29_crowd_score", f"""
-WITH RECURSIVE {LINKED} SELECT game_id, frame_index, largest, in_crowds::BIGINT AS in_crowds, n_boxes::BIGINT AS n_boxes, round(mean_iou, 5) AS mean_iou, round(largest + 0.25 * in_crowds + mean_iou, 5) AS score FROM cw""")
+WITH RECURSIVE {LINKED} SELECT game_id, frame_index, largest, in_crowds::BIGINT AS in_crowds, n_boxes::BIGINT AS n_boxes, round(mean_iou, 7) AS mean_iou, round(largest + 0.25 * in_crowds + mean_iou, 7) AS score FROM cw""")
 def _(t):
     d = graph.crowd_scores(person_boxes(t), ["game_id", "frame_index"])
-    return d.select("game_id", "frame_index", "largest", "in_crowds", "n_boxes", F.round("mean_iou", 5).alias("mean_iou"), F.round("score", 5).alias("score"))
+    return d.select("game_id", "frame_index", "largest", "in_crowds", "n_boxes", F.round("mean_iou", 7).alias("mean_iou"), F.round("score", 7).alias("score"))
 
 
 @query("j25_node_clusters", """
@@ -377,10 +377,9 @@ def _(t):
 
 
 @query("a37_best_segment_result", """
-SELECT game_id, run_id, frame_index, q FROM (SELECT game_id, frame_index, run_id, CAST(quality * 100 AS INT) AS q, row_number() OVER (PARTITION BY game_id, frame_index ORDER BY CAST(quality * 100 AS INT) DESC, run_id) AS rn FROM calibration) WHERE rn = 1""")
+SELECT game_id, run_id, frame_index, q FROM (SELECT game_id, frame_index, run_id, CAST(round(quality * 100) AS INT) AS q, row_number() OVER (PARTITION BY game_id, frame_index ORDER BY CAST(round(quality * 100) AS INT) DESC, run_id) AS rn FROM calibration) WHERE rn = 1""")
 def _(t):
-    c = t.calibration.select("game_id", "frame_index", "run_id", (F.col("quality") * 100).cast("int").alias("q"), F.substring("run_id", 6, 2).cast("int").alias("at"))
-    c = c.withColumn("q", F.round(c["q"]).cast("int"))
+    c = t.calibration.select("game_id", "frame_index", "run_id", F.round(F.col("quality") * 100).cast("int").alias("q"), F.substring("run_id", 6, 2).cast("int").alias("at"))
     return metrics.best_segment_result(c, ["game_id", "frame_index"], "q", "at").select("game_id", "run_id", "frame_index", "q")
 
 
