@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchgrid.operators import ordered, windows
+from matchgrid.session import cut_lineage
 
 
 def _px(a: Column, b: Column, w: float, h: float) -> Column:
@@ -77,7 +78,8 @@ def merge_passes(fwd: DataFrame, bwd: DataFrame, keys: Sequence[str], t: str, ag
         d = windows.track_support(d, keys, t, "__k", weight, "support", span=span).drop("__k")
         return d.select(*keys, t, F.struct(*[c for c in d.columns if c not in (*keys, t)]).alias(name))
 
-    j = prepared(fwd, "f").join(prepared(bwd, "b"), [*keys, t])
+    # Both passes are long plans and are read again by the renumbering: store the joined rows once.
+    j = cut_lineage(prepared(cut_lineage(fwd), "f").join(prepared(cut_lineage(bwd), "b"), [*keys, t]))
     f, b = F.col("f"), F.col("b")
     fh, bh = f["origin"] != "none", b["origin"] != "none"
     fd, bd = f["origin"] == "detected", b["origin"] == "detected"
