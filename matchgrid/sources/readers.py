@@ -41,7 +41,7 @@ def read_machine_labels(spark: SparkSession, folder: str, wanted: Sequence[str],
 
 def read_yolo_labels(spark: SparkSession, folder: str, classes: Sequence[str]) -> DataFrame:
     """Text labels ``cls cx cy w h``, one file per image; the position of a line is its detection id."""
-    d = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder)
+    d = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True)
     s, f = ids.image_stem_and_frame(F.input_file_name())
     d = d.select(s.alias("clip"), f.alias("frame_index"), F.posexplode(F.split(F.rtrim("value"), "\n")).alias("detection_id", "line"))
     p = F.split(F.trim("line"), r"\s+")
