@@ -345,7 +345,7 @@ cn AS (SELECT d.* FROM detection d JOIN (SELECT game_id, frame_index, run_group
 def canonical_rows(t):
     from matchgrid.functions.labels import run_group
 
-    best = store.batch_rank(t.detection).where("rnk = 1").select("game_id", "frame_index", "run_group")
+    best = store.winning_group(t.detection).withColumnRenamed("win_group", "run_group")
     return t.detection.withColumn("run_group", run_group()).join(best, ["game_id", "frame_index", "run_group"], "left_semi")
 
 

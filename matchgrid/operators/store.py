@@ -35,13 +35,32 @@ def batch_rank(detection: DataFrame) -> DataFrame:
     return g.withColumn("rnk", F.rank().over(w))
 
 
+def winning_group(detection: DataFrame) -> DataFrame:
+    """The canonical batch of each frame, in one aggregation.
+
+    All flushed runs of a game are one batch and every other run is a batch of its own, so the winner follows from two
+    flags and two maxima per frame: a flush with a hand row, else the last other run with a hand row, else a flush,
+    else the last run.
+    """
+    hand, gt = F.col("source") == "hand_label", F.col("run_id").startswith(GT_PREFIX)
+    g = detection.groupBy(*FRAME).agg(
+        F.bool_or(hand & gt).alias("gt_hand"),
+        F.bool_or(gt).alias("gt_any"),
+        F.max(F.when(hand & ~gt, F.col("run_id"))).alias("run_hand"),
+        F.max(F.when(~gt, F.col("run_id"))).alias("run_any"),
+    )
+    flush = F.concat(F.lit("gt_import:"), "game_id")
+    win = F.when(F.col("gt_hand"), flush).otherwise(F.coalesce("run_hand", F.when(F.col("gt_any"), flush), "run_any"))
+    return g.select(*FRAME, win.alias("win_group"))
+
+
 def detections_enriched(detection: DataFrame, frame: DataFrame, run: DataFrame) -> DataFrame:
     """Detections with frame and run columns and the ``canonical`` flag.
 
     Instead of joining the rank table back, the winning batch of a frame is one row; only frames
     present in ``frame`` are kept.
     """
-    best = batch_rank(detection).where("rnk = 1").select(*FRAME, F.col("run_group").alias("win_group"))
+    best = winning_group(detection)
     return (
         detection.withColumn("run_group", run_group())
         .join(frame.select(*FRAME, "is_broadcast"), FRAME)
