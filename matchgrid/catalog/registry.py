@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,10 +26,6 @@ class Tables:
             return spark_view(self.spark, self.sf_dir, name)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    @cached_property
-    def small(self) -> bool:
-        return True
-
 
 def _needed(sql: str) -> list[str]:
     """View names used by ``sql``, dependencies first."""

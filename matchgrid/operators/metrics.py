@@ -401,8 +401,8 @@ def paired_difference(df: DataFrame, cluster: Sequence[str], a: str, b: str, dra
     key = F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), *[F.col(x).cast("string") for x in cluster])
     d = per.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", poisson_weight(key))
     m = d.groupBy("draw").agg(ratio(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("c"))).alias("m"))
-    ci = m.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
-    return per.agg((F.sum("s") / F.sum("c")).alias("diff")).crossJoin(ci)  # one row each
+    m = m.select(F.lit(None).cast("double").alias("d"), "m").unionByName(per.agg((F.sum("s") / F.sum("c")).alias("d")).withColumn("m", F.lit(None).cast("double")))
+    return m.agg(F.max("d").alias("diff"), F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
 
 
 def best_segment_result(results: DataFrame, keys: Sequence[str], accepted: str, run_at: str) -> DataFrame:

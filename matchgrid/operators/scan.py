@@ -10,7 +10,6 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 
 def ordered_scan(
@@ -52,5 +51,3 @@ def ordered_scan(
 
     return placed.mapInPandas(run, schema=schema)
 
-
-__all__ = ["ordered_scan", "F"]

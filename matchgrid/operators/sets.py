@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchgrid.functions.boxes import is_ball
-
 
 def first_source_wins(sources: Sequence[DataFrame], clip: str) -> tuple[DataFrame, DataFrame]:
     """Union of label folders in order; a clip comes from the first folder that has it.
@@ -67,5 +65,3 @@ def scored_frames(marks: DataFrame, no_ball: DataFrame, not_broadcast: DataFrame
         not_broadcast.select(*keys).distinct(), list(keys), "left_anti")
     return ball.withColumn("kind", F.lit("ball")).unionByName(empty.withColumn("kind", F.lit("no_ball")))
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + [is_ball.__name__]

@@ -446,3 +446,50 @@ def union_boxes(boxes: DataFrame, clusters: DataFrame, keys: list[str], det: str
 
 #: Tracker plug-ins by name: function(candidates, frames) -> points.
 TRACKERS: dict[str, Callable[..., DataFrame]] = {"online": ball_points, "bidirectional": bidirectional_ball}
+
+
+class _PointScan:
+    """Links points of neighbouring frames, nearest first, one to one, within a speed limit and ``memory`` frames."""
+
+    def __init__(self, key, speed, memory):
+        self.key, self.speed, self.memory = key, speed, memory
+        self.f, self.cur, self.open, self.next = None, [], {}, 1
+
+    def _flush(self):
+        pairs = []
+        for ci, (_det, x, y) in enumerate(self.cur):
+            for tid, (f0, ax, ay) in self.open.items():
+                d = math.hypot(x - ax, y - ay)
+                if d <= self.speed * max(self.f - f0, 1):
+                    pairs.append((d, ci, tid))
+        got, used = {}, set()
+        for _d, ci, tid in sorted(pairs):
+            if ci not in got and tid not in used:
+                got[ci] = tid
+                used.add(tid)
+        out = []
+        for ci, (det, x, y) in enumerate(self.cur):
+            tid = got.get(ci)
+            if tid is None:
+                tid, self.next = self.next, self.next + 1
+            self.open[tid] = (self.f, x, y)
+            out.append((*self.key, self.f, det, tid))
+        self.open = {t: v for t, v in self.open.items() if self.f - v[0] <= self.memory}
+        self.cur = []
+        return out
+
+    def step(self, row):
+        out = self._flush() if self.cur and row.frame_index != self.f else ()
+        self.f = row.frame_index
+        self.cur.append((row.detection_id, row.px, row.py))
+        return out
+
+    def close(self):
+        return self._flush() if self.cur else []
+
+
+def window_tracklets(cands: DataFrame, clip: str, window: str, speed_px: float = 60.0, memory: int = 30, width: float = 1920.0, height: float = 1080.0) -> DataFrame:
+    """Tracklet number of each candidate inside its review window; a window is one independent pass."""
+    d = cands.select(clip, window, "frame_index", "detection_id", (F.col("x") * width).alias("px"), (F.col("y") * height).alias("py"))
+    schema = f"{clip} string, {window} long, frame_index int, detection_id long, tracklet long"
+    return ordered_scan(d, [clip, window], ["frame_index", "detection_id"], lambda k: _PointScan(k, speed_px * height / 1080, memory), schema)

@@ -69,7 +69,6 @@ def rolling_outlier(df: DataFrame, keys: Sequence[str], t: str, value: str, reac
     window holds more than one chunk of a key.
     """
     keys = list(keys)
-    pos = F.col(t)
     # Dense positions are needed for "the 5 rows before": number the rows first.
     d = ordered.with_running(df, keys, [t], F.lit(1).cast("long"), "__pos", span=span)
     ch = F.floor(F.col("__pos") / span).cast("long")
@@ -84,7 +83,6 @@ def rolling_outlier(df: DataFrame, keys: Sequence[str], t: str, value: str, reac
     mid = (n / 2).cast("int")
     med = F.when(n % 2 == 1, F.get("__nb", mid).cast("double")).otherwise((F.get("__nb", mid - 1) + F.get("__nb", mid)) / 2.0)
     d = d.withColumn("median", F.when(n > 0, F.bround(med).cast("long")))
-    _ = pos
     return d.drop("__pos", "__home", "__c", "__nb")
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchgrid.functions import boxes, ids, labels
-from matchgrid.operators.windows import top_k
 
 BOX = "struct<x:double,y:double,w:double,h:double>"
 POINT = "struct<x:double,y:double>"
@@ -165,5 +164,3 @@ def detection_rows(frames: DataFrame) -> DataFrame:
     d = frames.select("game_id", "frame_index", "track_ids", F.posexplode(checked).alias("detection_id", "d"))
     return d.select("game_id", "frame_index", "detection_id", "d.*", F.get("track_ids", F.col("detection_id")).alias("track_id"))
 
-
-__all__ = [n for n in dir() if n.startswith(("read_", "pool_"))] + ["discover_sources", "detection_rows", "top_k"]
