@@ -195,7 +195,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame, group: list[str]) -> DataFrame:
     """``pairs`` with ``both``, the exact size of the intersection; the members of a group travel once."""
     g = F.concat_ws(":", *group)
     p = pairs.withColumn("g", g)
-    members = p.select("g", F.col("a").alias("node")).unionByName(p.select("g", F.col("b").alias("node"))).distinct().join(sets, "node")
+    members = p.select("g", F.col("a").alias("node")).unionByName(p.select("g", F.col("b").alias("node"))).distinct().join(sets, "node").withColumnRenamed("g", "of")
 
     def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         at = {r: i for i, r in enumerate(right["node"])}
@@ -217,7 +217,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame, group: list[str]) -> DataFrame:
         return left
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in p.schema) + ", both long"
-    return p.groupBy("g").cogroup(members.groupBy("g")).applyInPandas(count, fields).drop("g")
+    return p.groupBy("g").cogroup(members.groupBy("of")).applyInPandas(count, fields).drop("g")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:

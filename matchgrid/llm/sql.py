@@ -24,7 +24,7 @@ WITH RECURSIVE w AS (
     ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) END AS sh FROM w
 ), n AS (SELECT doc_id, len(sh)::BIGINT AS n_shingles FROM s),
 c AS (SELECT md5(array_to_string(list_sort(sh), '|')) AS cls, min(doc_id) AS rep, any_value(sh) AS sh, any_value(len(sh)) AS n FROM s WHERE len(sh) > 0 GROUP BY 1),
-e AS (SELECT rep, n, unnest(sh) AS x FROM c),
+e AS (SELECT rep, n, unnest(list_transform(sh, lambda s: hash(s))) AS x FROM c),
 links AS (
   SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
   GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
@@ -46,8 +46,8 @@ d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(low, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM d),
 ph(words, tag) AS (VALUES (['under', 'the', 'mit', 'license'], 'mit'), (['apache', 'license', 'version', '2'], 'apache-2'), (['cc', 'by', 'nc'], 'cc-by-nc')),
 hit AS (
-  SELECT doc_id, tag, at - 1 AS place FROM (SELECT doc_id, ws, words, tag, unnest(range(1, len(ws) + 1)) AS at FROM w, ph WHERE list_has_all(ws, words))
-  WHERE ws[at:at + len(words) - 1] = words
+  SELECT doc_id, tag, pos - 1 AS place FROM (SELECT doc_id, ws, words, tag, unnest(range(1, len(ws) + 1)) AS pos FROM w, ph WHERE list_has_all(ws, words))
+  WHERE ws[pos:pos + len(words) - 1] = words
 ), base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT tag) AS tags FROM hit GROUP BY 1),
 m AS (
   SELECT doc_id, rule, priority, label, regexp_extract_all(low, pattern) AS found, regexp_split_to_array(low, pattern) AS between
