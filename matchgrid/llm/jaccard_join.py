@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchgrid.llm.common import link_components, map_batches, stored
+from matchgrid.session import small_side
 
 WORDS, PERCENT = 3, 90
 #: Hash buckets whose sizes tell frequent elements from rare ones. The order affects speed only.
@@ -119,7 +120,7 @@ def frequent_buckets(docs: DataFrame, text: str, words: int) -> np.ndarray:
 
         return step
 
-    n = map_batches(docs.select(F.col(text)), make, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    n = stored(map_batches(docs.select(F.col(text)), make, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
     mean = n.agg(F.sum("n")).first()[0]
     flags = np.zeros(1 << ORDER_BITS, bool)
     if mean:
@@ -175,8 +176,9 @@ def with_profiles(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
     return d.join(p.toDF("a", "pa"), "a").join(p.toDF("b", "pb"), "b").where(profiles).drop("pa", "pb")
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """``node, elements`` of the given classes, from the texts of their smallest keys."""
+def sets_of(docs: DataFrame, pairs: DataFrame, classes: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """``node, elements`` of the classes in ``pairs``, from the texts of their smallest keys. The list of classes is sent to
+    the texts where its size allows it, so that texts need not be shuffled."""
 
     def make():
         def step(b: pa.RecordBatch) -> pa.Table:
@@ -186,8 +188,9 @@ def sets_of(docs: DataFrame, classes: DataFrame, key: str, text: str, words: int
 
         return step
 
-    c = classes.select("node", "cls", F.col("rep").alias("__rep"))
-    chosen = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(c, F.col("__key") == F.col("__rep"))
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    c = stored(classes.select("node", "cls", F.col("rep").alias("__rep")).join(nodes, "node", "left_semi"))
+    chosen = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(small_side(c), F.col("__key") == F.col("__rep"))
     return stored(map_batches(chosen.select("node", "__text", "cls"), make, "node long, elements array<long>"))
 
 
@@ -230,8 +233,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     regions = stored(places.join(pivots, "s"))
     stars = regions.where("node <> p").select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
     stars = stored(with_profiles(stars, classes, percent).withColumn("k", F.pmod(F.xxhash64("b"), F.lit(64))))
-    sets = sets_of(docs, classes.join(regions.select("node"), "node", "left_semi"), key, text, words)
-    found = stored(overlaps(stars, sets, ["a", "k"]).drop("k"))
+    found = stored(overlaps(stars, sets_of(docs, stars, classes, key, text, words), ["a", "k"]).drop("k"))
     links = found.where(linked)
     comp = link_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
@@ -248,8 +250,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     rest = rest.groupBy(F.col("node1").alias("a"), F.col("node2").alias("b")).agg(F.min("s1").alias("s"), F.max("m1").alias("m"))
     rest = rest.join(found.select("a", "b"), ["a", "b"], "left_anti")
     blocks = F.ceil(F.col("m") / BLOCK)
-    rest = with_profiles(rest, classes, percent).withColumn("ba", F.pmod(F.xxhash64("a"), blocks)).withColumn("bb", F.pmod(F.xxhash64("b"), blocks))
-    more = overlaps(rest, sets, ["s", "ba", "bb"]).where(linked).select("a", "b", "both", "na", "nb")
+    rest = stored(with_profiles(rest, classes, percent).withColumn("ba", F.pmod(F.xxhash64("a"), blocks)).withColumn("bb", F.pmod(F.xxhash64("b"), blocks)))
+    more = overlaps(rest, sets_of(docs, rest, classes, key, text, words), ["s", "ba", "bb"]).where(linked).select("a", "b", "both", "na", "nb")
     links = stored(links.select("a", "b", "both", "na", "nb").unionByName(more))
     comp = link_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     named = classes.select("cls", "rep", "node").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
