@@ -23,6 +23,8 @@ empty set and no links; a null key has no links and a null component. Rows of on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -40,6 +42,8 @@ ORDER_BITS = 18
 PROFILE = 64
 #: Members of a region that are joined in one block.
 BLOCK = 512
+#: Members of a region whose bounds are compared in one group.
+REGION = 4096
 #: Bytes of text hashed at a time.
 STRETCH = 1 << 22
 
@@ -146,34 +150,114 @@ def classes_of(docs: DataFrame, key: str, text: str, words: int, percent: int) -
                 n.append(len(s))
                 cls.append(xxhash.xxh3_128_digest(s.tobytes()))
                 prefix.append(first.view(np.int64))
-                profile.append(np.bincount((s & np.uint64(PROFILE - 1)).astype(np.int64), minlength=PROFILE).astype(np.int32))
-            return pa.table([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(profile, pa.list_(pa.int32()))],
+                profile.append(packed_profile(s))
+            return pa.table([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(profile, pa.binary())],
                             names=["key", "n", "cls", "prefix", "profile"])
 
         return step
 
     kind = docs.schema[key].dataType.simpleString()
-    sets = stored(map_batches(docs.select(F.col(key).alias("key"), F.col(text)), make, f"key {kind}, n long, cls binary, prefix array<long>, profile array<int>"))
+    sets = stored(map_batches(docs.select(F.col(key).alias("key"), F.col(text)), make, f"key {kind}, n long, cls binary, prefix array<long>, profile binary"))
     used = sets.where("n > 0 and key is not null")
     classes = used.groupBy("cls").agg(F.min("key").alias("rep"), *[F.first(c).alias(c) for c in ("n", "prefix", "profile")])
     return sets.select("key", "n", "cls"), stored(classes.withColumn("node", F.xxhash64("cls")))
 
 
-def near_enough(percent: int):
-    """Size and profile tests of a pair ``a, b`` that no pair within the threshold fails."""
-    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    small = F.zip_with("pa", "pb", lambda x, y: F.least(x, y))
-    shared = F.aggregate(small, F.lit(0).cast("long"), lambda s, x: s + x)
-    return sizes, 100 * shared >= percent * (F.col("na") + F.col("nb") - shared)
+def packed_profile(elements: np.ndarray) -> bytes:
+    """Elements per bucket, in one, two or four bytes each as their size needs."""
+    n = np.bincount((elements & np.uint64(PROFILE - 1)).astype(np.int64), minlength=PROFILE)
+    return n.astype("<u1" if n.max() < 1 << 8 else "<u2" if n.max() < 1 << 16 else "<u4").tobytes()
+
+
+def profile_counts(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) // PROFILE}").astype(np.int32)
+
+
+def within_bounds(na, nb, pa_, pb, percent: int) -> np.ndarray:
+    """Size and profile tests that no pair within the threshold fails (arrays of equal length)."""
+    shared = np.minimum(pa_, pb).sum(axis=-1)
+    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (100 * shared >= percent * (na + nb - shared))
 
 
 def with_profiles(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` that pass the lower bounds, with their sizes."""
-    sizes, profiles = near_enough(percent)
     c = classes.select("node", "n")
-    d = pairs.join(c.toDF("a", "na"), "a").join(c.toDF("b", "nb"), "b").where(sizes)
+    d = pairs.join(c.toDF("a", "na"), "a").join(c.toDF("b", "nb"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     p = classes.select("node", "profile")
-    return d.join(p.toDF("a", "pa"), "a").join(p.toDF("b", "pb"), "b").where(profiles).drop("pa", "pb")
+    d = d.join(p.toDF("a", "pa"), "a").join(p.toDF("b", "pb"), "b").select("a", "b", "na", "nb", "pa", "pb")
+
+    def make():
+        def step(b: pa.RecordBatch) -> pa.Table:
+            if not b.num_rows:
+                return pa.table(b.columns[:4], names=["a", "b", "na", "nb"])
+            x, y = (np.stack([profile_counts(v) for v in b.column(i).to_pylist()]) for i in (4, 5))
+            good = within_bounds(b.column(2).to_numpy(), b.column(3).to_numpy(), x, y, percent)
+            return pa.table(b.columns[:4], names=["a", "b", "na", "nb"]).filter(pa.array(good))
+
+        return step
+
+    return map_batches(d, make, "a long, b long, na long, nb long")
+
+
+def unsettled(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a < b`` of members of a region that lie in different components and pass all bounds, with ``s, m, na, nb``.
+
+    Members are compared block by block: a region is cut in blocks of ``REGION`` members, and each pair of blocks is a
+    group of its own. Pairs that fail a bound are never written.
+    """
+    n_blocks = F.ceil(F.col("m") / REGION).cast("int")
+    d = members.withColumn("own", F.pmod(F.xxhash64("node", "s"), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    d = d.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    d = d.select("s", "i", "j", "own", "node", "n", "m", "c", "away", "profile").repartition("s", "i", "j").sortWithinPartitions("s", "i", "j", "n")
+    near = 1 - percent / 100 + 1e-9
+    names = ["a", "b", "s", "m", "na", "nb"]
+
+    def pairs_of(g: pd.DataFrame, counts: np.ndarray) -> list[np.ndarray]:
+        node, n, c, away, own = (g[k].to_numpy() for k in ("node", "n", "c", "away", "own"))
+        cross = g["i"].iloc[0] != g["j"].iloc[0]
+        out = []
+        for r in range(len(g) - 1):
+            stop = r + 1 + np.searchsorted(n[r + 1 :], 100 * n[r] // percent, side="right")  # sizes rise
+            k = np.arange(r + 1, stop)
+            k = k[(c[k] != c[r]) & ~(np.abs(away[k] - away[r]) > near) & ((own[k] != own[r]) if cross else True)]
+            if len(k):
+                k = k[within_bounds(n[r], n[k], counts[r], counts[k], percent)]
+            if len(k):
+                x, y = np.full(len(k), node[r]), node[k]
+                swap = x > y
+                out.append(np.stack([np.minimum(x, y), np.maximum(x, y), np.full(len(k), g["s"].iloc[0]), np.full(len(k), g["m"].iloc[0]), np.where(swap, n[k], n[r]), np.where(swap, n[r], n[k])]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def settle(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            d = t.to_pandas()
+            key = d[["s", "i", "j"]].to_numpy()
+            cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            c = d["c"].to_numpy()
+            out = []
+            for a, b in zip([0, *cut], [*cut, len(d)], strict=True):
+                if b - a > 1 and (c[a:b] != c[a]).any():
+                    g = d.iloc[a:b]
+                    out += pairs_of(g, np.stack([profile_counts(v) for v in g["profile"]]))
+            if out:
+                cols = np.concatenate(out, axis=1)
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in cols], names=names)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.concat_tables([*held, pa.Table.from_batches([b])])
+            last = [t.column(k)[t.num_rows - 1].as_py() for k in ("s", "i", "j")]
+            here = np.logical_and.reduce([t.column(k).to_numpy() == v for k, v in zip(("s", "i", "j"), last, strict=True)])
+            done = int(np.argmax(here))  # the last group may go on in the next batch
+            yield from settle(t.slice(0, done)) if done else []
+            held = [t.slice(done)]
+        if held:
+            yield from settle(held[0])
+
+    return d.mapInArrow(run, "a long, b long, s long, m long, na long, nb long")
 
 
 def sets_of(docs: DataFrame, pairs: DataFrame, classes: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -240,17 +324,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     share = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
     away = found.select(F.col("a").alias("p"), F.col("b").alias("node"), (1 - share).alias("away"))
     d = regions.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    mixed_up = d.groupBy("s").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("s")
-    d = stored(d.join(mixed_up, "s", "left_semi").join(away, ["p", "node"], "left").withColumn("away", F.when(F.col("node") == F.col("p"), 0.0).otherwise(F.col("away"))))
-    x, y = d.toDF(*[f"{c}1" for c in d.columns]), d.toDF(*[f"{c}2" for c in d.columns])
-    window = (F.abs(F.col("away1") - F.col("away2")) <= 1 - percent / 100 + 1e-9) | F.col("away1").isNull() | F.col("away2").isNull()
-    size = 100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")
-    rest = x.join(y, (F.col("s1") == F.col("s2")) & (F.col("node1") < F.col("node2")) & (F.col("c1") != F.col("c2")) & size & window)
+    d = d.join(away, ["p", "node"], "left").withColumn("away", F.when(F.col("node") == F.col("p"), 0.0).otherwise(F.col("away")))
+    rest = unsettled(d.join(classes.select("node", "profile"), "node"), percent)
     # A pair of sets is checked in the first region they share.
-    rest = rest.groupBy(F.col("node1").alias("a"), F.col("node2").alias("b")).agg(F.min("s1").alias("s"), F.max("m1").alias("m"))
+    rest = rest.groupBy("a", "b").agg(F.min("s").alias("s"), F.max("m").alias("m"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     rest = rest.join(found.select("a", "b"), ["a", "b"], "left_anti")
     blocks = F.ceil(F.col("m") / BLOCK)
-    rest = stored(with_profiles(rest, classes, percent).withColumn("ba", F.pmod(F.xxhash64("a"), blocks)).withColumn("bb", F.pmod(F.xxhash64("b"), blocks)))
+    rest = stored(rest.withColumn("ba", F.pmod(F.xxhash64("a"), blocks)).withColumn("bb", F.pmod(F.xxhash64("b"), blocks)))
     more = overlaps(rest, sets_of(docs, rest, classes, key, text, words), ["s", "ba", "bb"]).where(linked).select("a", "b", "both", "na", "nb")
     links = stored(links.select("a", "b", "both", "na", "nb").unionByName(more))
     comp = link_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))

@@ -323,9 +323,9 @@ def kept_parts(docs: DataFrame, key: str = "doc_id", text: str = "text", length:
     return classes, map_batches(partly.select("cls", "spans", "raw"), make, "cls binary, n_removed long, n_spans long, kept binary")
 
 
-def report(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+def report(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, large: int = LARGE) -> DataFrame:
     """``key, n_bytes, n_removed, n_spans, kept_sha256`` per row."""
-    classes, partly = kept_parts(docs, key, text, length)
+    classes, partly = kept_parts(docs, key, text, length, large=large)
     partly = partly.select("cls", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     d = docs.select(F.col(key), text_class(F.col(text)).alias("cls"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("own"))
     d = d.join(classes.join(partly, "cls", "left"), "cls")
