@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from matchgrid.llm.common import map_batches, numbered
+from matchgrid.llm.common import map_batches, numbered, stored
 
 #: Word parts kept per worker; the table is emptied when full, so memory is bounded and results do not change.
 WORD_TABLE = 300_000
@@ -132,7 +132,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, longest: int = MAX_LENGTH
          keep_ids: bool = True) -> DataFrame:
     """Pieces with ``sequence_id`` (gapless, long buckets first, then by document and start) and ``offset`` (0: a piece
     is its whole sequence)."""
-    pieces = decompose(docs, tokenizer, end_id, longest, key, text, keep_ids)
+    # Stored first: range partitioning reads its input twice, and no text should be tokenized twice.
+    pieces = stored(decompose(docs, tokenizer, end_id, longest, key, text, keep_ids))
     d = numbered(pieces, [F.col("length").desc(), F.col(key), F.col("start"), F.col("ids_crc32")], "sequence_id")
     return d.withColumn("offset", F.lit(0).cast("long"))
 
