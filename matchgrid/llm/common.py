@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,14 +15,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Where none is named: a temporary folder for a one-machine session
-    (tests), and the warehouse on a cluster, because executors share no local folders."""
+    """The folder named by ``spark.checkpoint.dir``; where none is named, one in the warehouse: executors share no local
+    folders."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        one_machine = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp") if one_machine else f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch").rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
