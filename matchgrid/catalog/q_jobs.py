@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from matchgrid.catalog.q_joins import scored_detections
 from matchgrid.catalog.q_maintain import CANON, canonical_rows
+from matchgrid.catalog.q_metrics import person_boxes
 from matchgrid.catalog.q_sampling import node_pool
 from matchgrid.catalog.registry import query
 from matchgrid.functions.labels import bucket_flags
@@ -50,10 +51,6 @@ def _(t):
     return trackers.best_path(t.ball_candidate)
 
 
-def person_boxes(t):
-    return t.detection.where("label <> 'in_play_ball'").select("game_id", "frame_index", "detection_id", "bbox_x", "bbox_y", "bbox_w", "bbox_h")
-
-
 @query("x06_cluster_tracks")
 def _(t):
     """Person clusters followed over frames."""

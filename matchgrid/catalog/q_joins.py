@@ -284,12 +284,12 @@ def _(t):
 NEAR = """
 nm AS (SELECT c.clip, c.frame_index, c.detection_id, c.confidence, min(sqrt(power((c.x - m.x) * 1920, 2) + power((c.y - m.y) * 1080, 2))) AS d
   FROM ball_candidate c LEFT JOIN ball_mark m USING (clip, frame_index) GROUP BY ALL),
-n1 AS (SELECT *, CASE WHEN d <= 200 THEN d END AS near_px FROM nm)"""
+n1 AS (SELECT *, d AS near_px FROM nm)"""
 
 
 @query("j16_nearest_mark", f"WITH {NEAR} SELECT clip, frame_index, detection_id, round(near_px, 4) AS near_px FROM n1")
 def _(t):
-    return joins.nearest_mark(t.ball_candidate, t.ball_mark, ["clip", "frame_index"], "detection_id", 200.0).select(
+    return joins.nearest_mark(t.ball_candidate, t.ball_mark, ["clip", "frame_index"]).select(
         "clip", "frame_index", "detection_id", F.round("near_px", 4).alias("near_px"))
 
 
@@ -300,7 +300,7 @@ SELECT radius, count(*) AS ball_frames, count_if(best <= radius)::BIGINT AS det_
 def _(t):
     from matchgrid.operators.metrics import upper_bound
 
-    near = joins.nearest_mark(t.ball_candidate, t.ball_mark, ["clip", "frame_index"], "detection_id", 200.0)
+    near = joins.nearest_mark(t.ball_candidate, t.ball_mark, ["clip", "frame_index"])
     return upper_bound(near, t.ball_mark, ["clip", "frame_index"], [50.0, 100.0, 200.0], 0.6)
 
 
@@ -417,14 +417,14 @@ def _(t):
 
 NB = """
 pt AS (SELECT clip, frame_index AS f, detection_id, x * 1280 AS x, y * 720 AS y FROM ball_candidate), pf AS (SELECT DISTINCT game_id AS clip, frame_index AS f FROM frame WHERE is_broadcast IS NOT NULL),
-nb AS (SELECT a.clip, a.f, a.detection_id, min(CASE WHEN sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= 120 THEN sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) END) AS d FROM pt a LEFT JOIN pt b ON a.clip = b.clip AND b.f = a.f + 1 GROUP BY ALL)"""
+nb AS (SELECT a.clip, a.f, a.detection_id, min(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2))) AS d FROM pt a LEFT JOIN pt b ON a.clip = b.clip AND b.f = a.f + 1 GROUP BY ALL)"""
 
 
 @query("j24_neighbour_samples", f"""
 WITH {NB} SELECT nb.clip, nb.f AS frame_index, nb.detection_id, round(CASE WHEN pf.f IS NULL THEN NULL ELSE coalesce(d, 999) END, 4) AS d_next FROM nb LEFT JOIN pf ON pf.clip = nb.clip AND pf.f = nb.f + 1""")
 def _(t):
     pf = t.frame.where("is_broadcast IS NOT NULL").select(F.col("game_id").alias("clip"), "frame_index")
-    d = joins.neighbour_distance(t.ball_candidate, pf, "clip", "frame_index", "detection_id", 1, 120.0, out="d_next")
+    d = joins.neighbour_distance(t.ball_candidate, pf, "clip", "frame_index", "detection_id", 1, out="d_next")
     return d.select("clip", "frame_index", "detection_id", F.round(F.when(~F.isnan("d_next"), F.col("d_next")), 4).alias("d_next"))
 
 
@@ -435,7 +435,7 @@ def _(t):
     from matchgrid.functions.candidates import near_sample
 
     pf = t.frame.where("is_broadcast IS NOT NULL").select(F.col("game_id").alias("clip"), "frame_index")
-    d = joins.neighbour_distance(t.ball_candidate, pf, "clip", "frame_index", "detection_id", 1, 120.0)
+    d = joins.neighbour_distance(t.ball_candidate, pf, "clip", "frame_index", "detection_id", 1)
     return d.select("clip", "frame_index", "detection_id", near_sample("d", 60.0).alias("plausible"), near_sample("d", 2.0).alias("static_nb"))
 
 
@@ -504,7 +504,7 @@ SELECT clip, frame_index, detection_id, CASE WHEN NOT has_ball AND verdict = 'ba
 def _(t):
     from matchgrid.operators.metrics import machine_disagreement
 
-    near = joins.nearest_mark(t.ball_candidate, t.ball_mark, ["clip", "frame_index"], "detection_id", 200.0)
+    near = joins.nearest_mark(t.ball_candidate, t.ball_mark, ["clip", "frame_index"])
     near = aggs.flag_in(near, t.ball_mark, ["clip", "frame_index"], "has_ball").withColumn(
         "verdict", F.when(F.col("confidence") >= 0.4, "ball").otherwise("not_ball"))
     return machine_disagreement(near, 150.0).select("clip", "frame_index", "detection_id", "disagreement")
@@ -517,7 +517,7 @@ SELECT clip, frame_index, detection_id, CAST(CASE WHEN near_px <= 100 THEN 1 WHE
 def _(t):
     from matchgrid.operators.metrics import node_labels
 
-    near = joins.nearest_mark(t.ball_candidate, t.ball_mark, ["clip", "frame_index"], "detection_id", 200.0)
+    near = joins.nearest_mark(t.ball_candidate, t.ball_mark, ["clip", "frame_index"])
     near = aggs.flag_in(near, t.ball_mark, ["clip", "frame_index"], "has_ball")
     nob = t.frame_label_state.where("cls_group = 'ball' AND state = 'absent'").select(F.col("game_id").alias("clip"), "frame_index")
     return node_labels(aggs.flag_in(near, nob, ["clip", "frame_index"], "no_ball"), 100.0, 150.0).select("clip", "frame_index", "detection_id", "label")

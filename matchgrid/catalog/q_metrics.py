@@ -1,5 +1,7 @@
 """Scores, audits, thresholds, components."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from matchgrid.catalog.q_windows import PAIRS
@@ -9,6 +11,9 @@ from matchgrid.operators import graph, logs, metrics
 
 R = [10.0, 20.0]
 
+#: A Poisson(1) draw from a uniform u: cumulative probabilities as far as a double can tell them apart.
+POISSON = "CASE " + " ".join(f"WHEN u < {sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))!r}::DOUBLE THEN {k}" for k in range(21)) + " ELSE 21 END"
+
 
 def r6(*cols):
     return [F.round(c, 6).alias(c) for c in cols]
@@ -51,7 +56,7 @@ def _(t):
 BOOT = f"""
 {PANEL}, dr AS (SELECT pc.*, unnest(range(40)) AS draw FROM pc),
 du AS (SELECT *, (CAST('0x' || substr(sha1(concat('0:', draw, ':', match, ':', win)), 1, 15) AS BIGINT) + 0.5::DOUBLE) / 1152921504606846976.0::DOUBLE AS u FROM dr),
-dw AS (SELECT *, (CASE WHEN u < 0.36787944 THEN 0 WHEN u < 0.73575888 THEN 1 WHEN u < 0.91969860 THEN 2 WHEN u < 0.98101184 THEN 3 WHEN u < 0.99634015 THEN 4 WHEN u < 0.99940582 THEN 5 WHEN u < 0.99991676 THEN 6 ELSE 7 END) / pi AS w FROM du),
+dw AS (SELECT *, ({POISSON}) / pi AS w FROM du),
 ds AS (SELECT match, radius, draw, sum(hit * w) AS h, sum(off_ * w) AS o, sum(miss * w) AS m, sum(fb * w) AS f, sum(te * w) AS t FROM dw WHERE w > 0 GROUP BY ALL),
 dq AS (SELECT match, radius, draw, h / nullif(h + o + m, 0) AS recall, h / nullif(h + o + f, 0) AS prec FROM ds)"""
 
@@ -162,10 +167,10 @@ def _(t):
 
 @query("a20_platt_fit")
 def _(t):
-    """Platt parameters of the detector confidence against reviewed rows; fitted by Newton steps on cluster sums."""
+    """Platt parameters of the detector confidence against reviewed rows; no row when a class is too small."""
     d = t.detection.where("confidence IS NOT NULL").withColumn("y", F.col("reviewed").cast("int"))
     fit = metrics.fit_platt(d, "confidence", "y")
-    return t.spark.createDataFrame([(fit["a"], fit["b"], fit["n"])], "a double, b double, n long")
+    return t.spark.createDataFrame([(fit["a"], fit["b"], fit["n"])] if fit else [], "a double, b double, n long")
 
 
 @query("a21_isotonic_fit")
@@ -364,11 +369,11 @@ def _(t):
     return metrics.gate_curve(d, [0.0, 0.2, 0.4, 0.6], "confidence", F.col("reviewed")).select("gate", "n", "emitted", "hits", *r6("precision"))
 
 
-@query("a36_paired_bootstrap", """
+@query("a36_paired_bootstrap", f"""
 WITH c AS (SELECT game_id, sum(CASE WHEN confidence >= 0.3 THEN 1 ELSE 0 END - CASE WHEN reviewed THEN 1 ELSE 0 END) AS s, count(*) AS c FROM detection WHERE confidence IS NOT NULL GROUP BY game_id),
 d AS (SELECT *, unnest(range(200)) AS draw FROM c),
 u AS (SELECT *, (CAST('0x' || substr(sha1(concat('0:', draw, ':', game_id)), 1, 15) AS BIGINT) + 0.5::DOUBLE) / 1152921504606846976.0::DOUBLE AS u FROM d),
-w AS (SELECT *, CASE WHEN u < 0.36787944 THEN 0 WHEN u < 0.73575888 THEN 1 WHEN u < 0.91969860 THEN 2 WHEN u < 0.98101184 THEN 3 WHEN u < 0.99634015 THEN 4 WHEN u < 0.99940582 THEN 5 WHEN u < 0.99991676 THEN 6 ELSE 7 END AS w FROM u),
+w AS (SELECT *, {POISSON} AS w FROM u),
 m AS (SELECT draw, sum(w * s) / sum(w * c) AS m FROM w GROUP BY draw)
 SELECT round((SELECT sum(s) / sum(c) FROM c), 6) AS diff, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m""")
 def _(t):

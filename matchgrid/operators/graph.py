@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from matchgrid.operators import spatial
 from matchgrid.session import cut_lineage
 
-MAX_ROUNDS = 200
-
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "node", keys: Sequence[str] = ()) -> DataFrame:
     """Smallest reachable node id per node (``component``), by min-label hooking with pointer jumping.
@@ -23,7 +21,7 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node", keys: Seq
     und = edges.select(*k, "src", "dst").where("src <> dst")
     und = cut_lineage(und.unionByName(und.select(*k, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     lab = cut_lineage(nodes.select(*k, F.col(node)).distinct().withColumn("component", F.col(node)))
-    for _ in range(MAX_ROUNDS):
+    while True:
         src = lab.select(*k, F.col(node).alias("src"), F.col("component").alias("__l"))
         best = und.join(src, [*k, "src"]).groupBy(*k, F.col("dst").alias(node)).agg(F.min("__l").alias("__m"))
         new = lab.join(best, [*k, node], "left").withColumn("__c", F.least("component", F.coalesce("__m", "component")))
@@ -37,7 +35,6 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node", keys: Seq
         lab = new.drop("__old")
         if not changed:
             return lab
-    raise RuntimeError("components did not converge")
 
 
 def identity_clusters(labels: DataFrame, clip: str = "clip") -> DataFrame:

@@ -66,15 +66,19 @@ def candidate_links(tracklets: DataFrame, key: str = "clip", max_gap: int = 12,
     return p.select(key, "a", "b", gap.alias("gap"), dist.alias("distance"))
 
 
-def nearest_mark(preds: DataFrame, marks: DataFrame, frame_keys: Sequence[str], pred_id: str, max_px: float,
-                 width: float = 1920.0, height: float = 1080.0) -> DataFrame:
-    """Distance in pixels to the nearest mark of the frame, null when there is none within ``max_px``."""
+def nearest_mark(preds: DataFrame, marks: DataFrame, frame_keys: Sequence[str], width: float = 1920.0, height: float = 1080.0) -> DataFrame:
+    """Distance in pixels to the nearest mark of the frame, null when the frame has none. The marks of a frame are few
+    and meet its predictions as one list."""
     keys = list(frame_keys)
-    p = preds.select(*keys, pred_id, F.col("x").alias("__x"), F.col("y").alias("__y"))
-    m = marks.select(*keys, F.col("x").alias("__mx"), F.col("y").alias("__my"))
-    pairs = spatial.point_pairs(p, m, keys, [F.col("__x") * width, F.col("__y") * height], [F.col("__mx") * width, F.col("__my") * height], max_px)
-    best = pairs.groupBy(*keys, pred_id).agg(F.min("dist").alias("near_px"))
-    return preds.join(best, [*keys, pred_id], "left")
+    place = F.struct((F.col("x") * width).alias("x"), (F.col("y") * height).alias("y"))
+    m = marks.groupBy(*keys).agg(F.collect_list(place).alias("__m"))
+    return preds.join(m, keys, "left").withColumn("near_px", _nearest("__m", width, height)).drop("__m")
+
+
+def _nearest(points: str, width: float, height: float) -> Column:
+    """Smallest distance of ``x, y`` to the listed points."""
+    far = lambda p: F.sqrt(F.pow(F.col("x") * width - p["x"], 2) + F.pow(F.col("y") * height - p["y"], 2))
+    return F.array_min(F.transform(points, far))
 
 
 def frame_keys_union(boxes_: DataFrame, checks: DataFrame, markers: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -131,18 +135,16 @@ def window_progress(frames: DataFrame, complete: DataFrame, labelled: DataFrame,
     return d.where(F.col("complete") <= max_complete * size).withColumn("start_frame", F.col("win") * size)
 
 
-def neighbour_distance(points: DataFrame, processed: DataFrame, clip: str, frame: str, node: str, shift: int, gate: float,
+def neighbour_distance(points: DataFrame, processed: DataFrame, clip: str, frame: str, node: str, shift: int,
                        width: float = 1280.0, height: float = 720.0, out: str = "d") -> DataFrame:
     """Distance to the nearest point one sample away: NaN when that sample was never processed, 999 when it was
-    processed but holds no point within ``gate``."""
-    src = points.select(clip, frame, node, (F.col("x") * width).alias("__x"), (F.col("y") * height).alias("__y"))
-    oth = points.select(clip, (F.col(frame) - shift).alias(frame), (F.col("x") * width).alias("__ox"), (F.col("y") * height).alias("__oy"))
-    pairs = spatial.point_pairs(src, oth, [clip, frame], [F.col("__x"), F.col("__y")], [F.col("__ox"), F.col("__oy")], gate)
-    best = pairs.groupBy(clip, frame, node).agg(F.min("dist").alias("__d"))
+    processed but holds no point. The candidate points of a sample are few and travel as one list."""
+    place = F.struct((F.col("x") * width).alias("x"), (F.col("y") * height).alias("y"))
+    oth = points.groupBy(clip, (F.col(frame) - shift).alias(frame)).agg(F.collect_list(place).alias("__o"))
     seen = processed.select(clip, (F.col(frame) - shift).alias(frame)).distinct().withColumn("__seen", F.lit(True))
-    d = points.join(best, [clip, frame, node], "left").join(seen, [clip, frame], "left")
+    d = points.join(oth, [clip, frame], "left").join(seen, [clip, frame], "left").withColumn("__d", _nearest("__o", width, height))
     value = F.when(F.col("__seen").isNull(), F.lit(float("nan"))).otherwise(F.coalesce("__d", F.lit(999.0)))
-    return d.withColumn(out, value).drop("__d", "__seen")
+    return d.withColumn(out, value).drop("__d", "__o", "__seen")
 
 
 def reprojection(points: DataFrame, proposals: DataFrame, keys: Sequence[str], width: float = 1920.0, height: float = 1080.0) -> DataFrame:

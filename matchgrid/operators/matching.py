@@ -7,90 +7,30 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchgrid.operators.scan import ordered_scan
 from matchgrid.session import cut_lineage
 
-HEAVY_GROUP_PAIRS = 1_000_000
 
-
-class _Greedy:
-    """Takes pairs best first; the state is the set of used ids of the current group."""
-
-    def __init__(self, key: tuple, left: str, right: str):
-        self.key, self.left, self.right = key, left, right
-        self.used_l: set = set()
-        self.used_r: set = set()
-
-    def step(self, row):
-        a, b = getattr(row, self.left), getattr(row, self.right)
-        if a in self.used_l or b in self.used_r:
-            return ()
-        self.used_l.add(a)
-        self.used_r.add(b)
-        return ((*self.key, a, b),)
-
-    def close(self):
-        return ()
-
-
-def _schema(df: DataFrame, cols: Sequence[str]) -> str:
-    types = dict(df.dtypes)
-    return ", ".join(f"{c} {types[c]}" for c in cols)
-
-
-def _rounds(pairs: DataFrame, keys: Sequence[str], left: str, right: str, order: Sequence[str]) -> DataFrame:
-    """The same result by rounds of locally best pairs: a pair that is first for both of its ends is taken.
-
-    Every round is a few aggregations over all tasks, so one huge group is shared by the cluster.
-    """
-    rank = F.struct(*order)
-    rest, taken = cut_lineage(pairs.withColumn("__r", rank)), None
-    while not rest.isEmpty():
-        bl = rest.groupBy(*keys, left).agg(F.min("__r").alias("__bl"))
-        br = rest.groupBy(*keys, right).agg(F.min("__r").alias("__br"))
-        best = rest.join(bl, [*keys, left]).join(br, [*keys, right]).where("__r = __bl AND __r = __br")
-        best = cut_lineage(best.select(*keys, left, right))
-        taken = best if taken is None else cut_lineage(taken.unionByName(best))
-        rest = rest.join(best.select(*keys, left), [*keys, left], "left_anti")
-        rest = cut_lineage(rest.join(best.select(*keys, right), [*keys, right], "left_anti"))
-    return pairs.select(*keys, left, right).limit(0) if taken is None else taken
-
-
-def greedy_match(
-    pairs: DataFrame,
-    keys: Sequence[str],
-    left: str,
-    right: str,
-    order: Sequence[tuple[str, bool]],
-    heavy: int | None = HEAVY_GROUP_PAIRS,
-) -> DataFrame:
+def greedy_match(pairs: DataFrame, keys: Sequence[str], left: str, right: str, order: Sequence[tuple[str, bool]]) -> DataFrame:
     """Pairs ``(left, right)`` chosen best first, each id used once per group.
 
-    ``order`` is a total order as ``(column, ascending)``. Ordinary groups are one streamed pass each. Groups
-    with more than ``heavy`` candidate pairs are solved by rounds over all tasks, with the same result.
-    Pass ``heavy=None`` when the group size is bounded by construction.
+    ``order`` is a total order as ``(column, ascending)``. A pair that is first for both of its ends is always taken, so
+    all such pairs are taken at once and their ends leave; the rest is solved the same way. Each round is a few
+    aggregations over all tasks, so the largest group is shared by the cluster.
     """
     keys = list(keys)
-    p = pairs
-    for i, (name, asc) in enumerate(order):
-        col = F.col(name)
-        p = p.withColumn(f"__o{i}", col if asc else -col)
-    names = [f"__o{i}" for i in range(len(order))]
-    p = p.select(*keys, left, right, *names)
-    schema = _schema(p, [*keys, left, right])
-
-    def scan(d: DataFrame) -> DataFrame:
-        return ordered_scan(d, keys, names, lambda key: _Greedy(key, left, right), schema)
-
-    if heavy is None:
-        return scan(p)
-    p = cut_lineage(p)
-    big = p.groupBy(*keys).count().where(F.col("count") > heavy).select(*keys)
-    if big.isEmpty():
-        return scan(p)
-    big = cut_lineage(big)
-    light = scan(p.join(big, keys, "left_anti"))
-    return light.unionByName(_rounds(p.join(big, keys, "left_semi"), keys, left, right, names))
+    rank = F.struct(*[(F.col(name) if asc else -F.col(name)).alias(f"o{i}") for i, (name, asc) in enumerate(order)])
+    rest = cut_lineage(pairs.select(*keys, left, right, rank.alias("__r")))
+    taken = pairs.select(*keys, left, right).limit(0)
+    while not rest.isEmpty():
+        first_l = rest.groupBy(*keys, left).agg(F.min("__r").alias("__l"))
+        first_r = rest.groupBy(*keys, right).agg(F.min("__r").alias("__q"))
+        marked = rest.join(first_l, [*keys, left]).join(first_r, [*keys, right])
+        marked = cut_lineage(marked.withColumn("__best", (F.col("__r") == F.col("__l")) & (F.col("__r") == F.col("__q"))).drop("__l", "__q"))
+        best = marked.where("__best").select(*keys, left, right)
+        taken = taken.unionByName(best)
+        open_ = marked.where("NOT __best").drop("__best").join(best.select(*keys, left), [*keys, left], "left_anti")
+        rest = cut_lineage(open_.join(best.select(*keys, right), [*keys, right], "left_anti"))
+    return taken
 
 
 def score_detections(

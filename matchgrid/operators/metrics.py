@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -108,8 +110,8 @@ def panel_pooled(counts: DataFrame) -> DataFrame:
     return fw.unionByName(ma)
 
 
-# Cumulative probabilities of a Poisson(1) draw.
-_POISSON1 = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
+# Cumulative probabilities of a Poisson(1) draw; the part beyond 20 is smaller than the step of a hashed uniform.
+_POISSON1 = tuple(itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(21)))
 
 
 def poisson_weight(key: Column) -> Column:
@@ -265,8 +267,6 @@ def learn_then_test(audits: DataFrame, keys: Sequence[str] = (), target: float =
     the walk runs over 50 grid rows per group. Tops that no labels could settle are skipped; the walk stops at the
     first failure. Refuses other buckets and mixed scorer versions.
     """
-    import math
-
     keys = list(keys)
     if check:
         bad = audits.agg(F.count_if(F.coalesce(F.col("bucket") != "A", F.lit(True))).alias("b"), F.countDistinct("scorer_version").alias("v")).first()
@@ -300,48 +300,27 @@ def learn_then_test(audits: DataFrame, keys: Sequence[str] = (), target: float =
 
 
 def fit_platt(df: DataFrame, p: str, y: str, min_per_class: int = 10, iters: int = 50) -> dict | None:
-    """Platt scaling with smoothed targets: Newton steps on sums computed by the cluster; the driver solves 2 x 2.
+    """Platt scaling with smoothed targets: a logistic regression on the logit, fitted by Spark.
 
-    Only ten numbers per step reach the driver. Returns ``None`` when a class is too small.
+    A target between 0 and 1 is two weighted rows, one per class, and equal scores are summed first. Returns ``None``
+    when a class is too small.
     """
-    import numpy as np
-
-    d = df.select(stats.logit(p).alias("x"), F.col(y).cast("double").alias("y")).persist()
-    try:
-        row = d.agg(F.sum("y").alias("pos"), F.count("*").alias("n")).first()
-        pos, neg = float(row["pos"] or 0), float((row["n"] or 0) - (row["pos"] or 0))
-        if min(pos, neg) < min_per_class:
-            return None
-        t = F.when(F.col("y") > 0.5, (pos + 1) / (pos + 2)).otherwise(1 / (neg + 2))
-
-        def sums(a: float, b: float):
-            z = F.col("x") * a + b
-            q = stats.sigmoid(z)
-            w = q * (1 - q)
-            nll = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - t * z
-            return d.agg(F.sum((q - t) * F.col("x")), F.sum(q - t), F.sum(w * F.col("x") * F.col("x")), F.sum(w * F.col("x")), F.sum(w), F.sum(nll)).first()
-
-        a, b = 1.0, 0.0
-        cur = sums(a, b)
-        for _ in range(iters):
-            g = np.array([cur[0], cur[1]])
-            h = np.array([[cur[2], cur[3]], [cur[3], cur[4]]]) + 1e-9 * np.eye(2)
-            step, lam, new = np.linalg.solve(h, g), 1.0, None
-            while lam > 1e-6:
-                new = sums(a - lam * step[0], b - lam * step[1])
-                if new[5] <= cur[5]:
-                    break
-                lam /= 2
-            else:
-                break
-            a, b = a - lam * step[0], b - lam * step[1]
-            done = abs(cur[5] - new[5]) < 1e-12
-            cur = new
-            if done:
-                break
-        return {"a": float(a), "b": float(b), "n": int(pos + neg), "nll": float(cur[5])}
-    finally:
-        d.unpersist()
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    cells = df.select(stats.logit(p).alias("x"), F.col(y).cast("int").alias("y")).where("y IS NOT NULL").groupBy("x", "y").agg(F.count("*").alias("n"))
+    size = {r["y"]: r["n"] for r in cells.groupBy("y").agg(F.sum("n").alias("n")).collect()}  # two classes
+    pos, neg = size.get(1, 0), size.get(0, 0)
+    if min(pos, neg) < min_per_class:
+        return None
+    target = F.when(F.col("y") == 1, (pos + 1) / (pos + 2)).otherwise(1 / (neg + 2))
+    both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), target.alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - target).alias("w"))))
+    rows = cells.select("x", "n", both.alias("s")).select(array_to_vector(F.array("x")).alias("features"), "s.label", (F.col("s.w") * F.col("n")).alias("weight"), "x")
+    model = LogisticRegression(weightCol="weight", maxIter=iters, tol=1e-12, regParam=0.0).fit(rows)
+    a, b = float(model.coefficients[0]), float(model.intercept)
+    z = F.col("x") * a + b
+    loss = F.col("weight") * (F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - F.col("label") * z)
+    return {"a": a, "b": b, "n": pos + neg, "nll": float(rows.agg(F.sum(loss)).first()[0])}
 
 
 def calibration_error(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:

@@ -11,6 +11,7 @@ from matchgrid.functions import ids
 from matchgrid.functions.labels import bin_centre, sampling_weight
 from matchgrid.operators.scan import ordered_scan
 from matchgrid.operators.windows import top_k
+from matchgrid.session import small_side
 
 
 def triage_order(links: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -68,34 +69,23 @@ def page_mix(focused: DataFrame, uniform: DataFrame, order: str, page: int, grou
 
 
 def allocate(total: int, weights: dict, capacity: dict) -> dict:
-    """Largest-remainder shares of ``total`` limited by ``capacity``; what does not fit goes to keys with room.
+    """Whole shares of ``total`` in proportion to the weights, none above its capacity.
 
-    Works on the small table of strata (one entry each), which the driver holds.
+    A key whose part exceeds its capacity is full, which raises the part of the others; keys are settled in the order in
+    which they fill up. The others round down, and the largest remainders get one more. One entry per stratum.
     """
-    import math
-
-    share = {k: 0 for k in weights}
-    left = int(total)
-    while left > 0:
-        room = [k for k in weights if weights[k] > 0 and share[k] < capacity.get(k, 0)]
-        if not room:
-            break
-        mass = sum(weights[k] for k in room)
-        exact = {k: left * weights[k] / mass for k in room}
-        give = {k: min(math.floor(exact[k]), capacity[k] - share[k]) for k in room}
-        extra = left - sum(give.values())
-        for k in sorted(room, key=lambda k: (math.floor(exact[k]) - exact[k], str(k))):
-            if extra == 0:
-                break
-            if share[k] + give[k] < capacity[k]:
-                give[k] += 1
-                extra -= 1
-        granted = sum(give.values())
-        if granted == 0:
-            break
-        for k in room:
-            share[k] += give[k]
-        left -= granted
+    share = dict.fromkeys(weights, 0)
+    filling = sorted((k for k in weights if weights[k] > 0 and capacity.get(k, 0) > 0), key=lambda k: (capacity[k] / weights[k], str(k)))
+    left, mass = min(int(total), sum(capacity[k] for k in filling)), sum(weights[k] for k in filling)
+    while filling and left * weights[filling[0]] >= capacity[filling[0]] * mass:
+        k = filling.pop(0)
+        share[k] = capacity[k]
+        left, mass = left - capacity[k], mass - weights[k]
+    part = {k: left * weights[k] / mass for k in filling}
+    share |= {k: int(p) for k, p in part.items()}
+    spare = left - sum(int(p) for p in part.values())
+    for k in sorted(part, key=lambda k: (int(part[k]) - part[k], str(k)))[:spare]:
+        share[k] += 1
     return share
 
 
@@ -112,7 +102,7 @@ def probability_sample(units: DataFrame, stratum: str, unit: Sequence[str], node
     u = units.groupBy(stratum, *unit).agg(F.count("*").alias("m"), pick.alias("__n"))
     big_n = u.groupBy(stratum).agg(F.count("*").alias("frame_units"))
     # Allocation and unit counts: one row per stratum.
-    u = u.join(F.broadcast(alloc), stratum).join(F.broadcast(big_n), stratum)
+    u = u.join(F.broadcast(alloc), stratum).join(small_side(big_n), stratum)
     limit = max([int(v) for v in n_per_stratum.values()] + [1])
     d = top_k(u.withColumn("__h", F.sha1(key_u)), [stratum], [F.col("__h")], limit, out="draw").where("draw <= n_draw")
     n = F.least("n_draw", "frame_units")
@@ -157,22 +147,22 @@ def spaced(rows: DataFrame, clip: str, frame: str, order: Sequence[tuple[str, bo
     return out.orderBy(*by).limit(top) if top else out
 
 
-def even_positions(n: int, total: int) -> list[int]:
-    """0-based positions of ``n`` picks spread evenly over ``total`` ordered items."""
+def evenly_spread(place: Column, n: int, total: int) -> Column:
+    """Whether the 0-based ``place`` is the middle of one of ``n`` equal stretches of ``total`` ordered items.
+
+    Stretches are at least one item long, so their middles differ; a place can only be the middle of the stretch it
+    lies in or of the next.
+    """
     if n > total:
         raise ValueError(f"asked for {n} of {total}")
-    stride = total / n if n else 0
-    picked = []
-    for i in range(n):
-        p = min(total - 1, int(i * stride + stride / 2))
-        if p not in picked:
-            picked.append(p)
-    for p in range(total):
-        if len(picked) == n:
-            break
-        if p not in picked:
-            picked.append(p)
-    return sorted(picked)
+    if n == 0:
+        return F.lit(False)
+    width = total / n
+    at = F.floor(place / F.lit(width))
+    hit = F.lit(False)
+    for i in (at - 1, at, at + 1):
+        hit = hit | ((i >= 0) & (i < n) & (F.floor(i * F.lit(width) + F.lit(width / 2)) == place))
+    return hit
 
 
 def even_holdout(items: DataFrame, name: str, share: float) -> DataFrame:
@@ -181,9 +171,7 @@ def even_holdout(items: DataFrame, name: str, share: float) -> DataFrame:
 
     r = global_rank(items.select(name).distinct(), [(name, True)], "__p")
     total = r.count()
-    n = int(total * share)
-    pos = items.sparkSession.createDataFrame([(p + 1,) for p in even_positions(n, total)], "__p long")
-    return r.join(pos, "__p", "left_semi").select(name)
+    return r.where(evenly_spread(F.col("__p") - 1, int(total * share), total)).select(name)
 
 
 def hard_negatives(pool: DataFrame, clip: str, frame: str, score: str, cell: float = 0.05, per: int = 2, tie: Sequence[str] = ()) -> DataFrame:

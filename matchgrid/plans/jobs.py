@@ -12,7 +12,6 @@ from matchgrid.functions.labels import GT_PREFIX, LABELLED_STATES, provenance_ti
 from matchgrid.operators import sampling
 from matchgrid.operators.aggs import frame_state_pivot
 from matchgrid.operators.scan import ordered_scan
-from matchgrid.operators.windows import top_k
 
 FRAME = ["game_id", "frame_index"]
 
@@ -85,9 +84,8 @@ class _Round:
 def mine_round(pool: DataFrame, budget: int = 300, seed: int = 0, per_match_cap: float = 0.15, per_clip: int = 3, gap_s: float = 3.0) -> DataFrame:
     """Cards of one round.
 
-    Per match and bucket the nodes are ranked and, per clip and second, reduced to the best one (later ones of the
-    same second can never be taken beside it). Each match is then one ordered pass over its ranked nodes. The shares
-    per match and bucket follow the largest remainder; matches are few, so the driver holds them.
+    Each match is one ordered pass over all its nodes, bucket by bucket and best rank first. The shares per match and
+    bucket follow the largest remainder; matches are few, so the driver holds them.
     """
     import math
 
@@ -104,7 +102,5 @@ def mine_round(pool: DataFrame, budget: int = 300, seed: int = 0, per_match_cap:
     arms = [("U", F.col("u"), F.col("u_rank"), 0), ("M", F.col("m"), -F.col("m_rank"), 1), ("N", F.col("n"), -F.col("n_rank"), 2), ("A", F.col("a"), pos, 3), ("R", F.lit(True), pos, 4)]
     picks = F.array_compact(F.array(*[F.when(ok, F.struct(F.lit(o).alias("o"), F.lit(b).alias("bucket"), r.cast("double").alias("rank"))) for b, ok, r, o in arms]))
     d = pool.withColumn("p", F.explode(picks)).select("match", "clip", "frame", "node_id", "fps", F.col("p.o").alias("ord"), F.col("p.bucket").alias("bucket"), F.col("p.rank").alias("rank"))
-    sec = F.floor(F.col("frame") / F.col("fps"))
-    d = top_k(d.withColumn("sec", sec), ["match", "bucket", "clip", "sec"], [F.col("rank"), F.col("frame"), F.col("node_id")], 1).drop("sec")
     schema = "match string, clip string, frame int, node_id long, bucket string, rank double"
     return ordered_scan(d, ["match"], ["ord", "rank", "clip", "frame", "node_id"], lambda k: _Round(k, targets[k[0]], cap, per_clip, gap_s), schema)

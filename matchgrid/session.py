@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,12 +31,11 @@ def build_session(cpus: int = 8, app: str = "matchgrid", **conf: str) -> SparkSe
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the session; a temporary one only where none is named."""
+    """The shared checkpoint folder named by the session; where none is named, one in its warehouse, which executors share."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    path = named or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
+    path = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
     spark.sparkContext.setCheckpointDir(path)
     return path
 

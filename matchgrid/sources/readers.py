@@ -14,13 +14,19 @@ POINT = "struct<x:double,y:double>"
 
 
 def stem(path: Column | None = None) -> Column:
-    return ids.clip_stem(F.input_file_name() if path is None else path)
+    """Clip name of a path, by default of the file that a row comes from."""
+    return ids.clip_stem(source_file() if path is None else path)
+
+
+def source_file() -> Column:
+    """Path of the file that a row comes from, with its escapes undone (a plus sign is not one)."""
+    return F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
 
 
 def read_sidecars(spark: SparkSession, folder: str) -> DataFrame:
     """Ground-truth lines ``{frame_index, bbox, center, tags}``; the file name is the game."""
     d = spark.read.schema(f"frame_index int, bbox {BOX}, center {POINT}, tags array<string>").option("mode", "DROPMALFORMED").json(folder)
-    d = d.select(F.url_decode(stem()).alias("game_id"), "*").where("frame_index IS NOT NULL")
+    d = d.select(stem().alias("game_id"), "*").where("frame_index IS NOT NULL")
     return d.withColumn("label", labels.object_class("tags")).withColumn("provenance", labels.provenance("tags")).withColumn(
         "checked", F.coalesce(labels.is_checked("tags"), F.lit(False))).withColumn("marker", labels.marker("tags"))
 
@@ -41,7 +47,7 @@ def read_machine_labels(spark: SparkSession, folder: str, wanted: Sequence[str],
 def read_yolo_labels(spark: SparkSession, folder: str, classes: Sequence[str]) -> DataFrame:
     """Text labels ``cls cx cy w h``, one file per image; the position of a line is its detection id."""
     d = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True)
-    s, f = ids.image_stem_and_frame(F.input_file_name())
+    s, f = ids.image_stem_and_frame(source_file())
     d = d.select(s.alias("clip"), f.alias("frame_index"), F.posexplode(F.split(F.rtrim("value"), "\n")).alias("detection_id", "line"))
     p = F.split(F.trim("line"), r"\s+")
     v = [F.get(p, F.lit(i)).try_cast("double") for i in range(1, 5)]

@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -10,4 +11,4 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from matchgrid.session import build_session
 
-    return build_session(8, "tests")
+    return build_session(8, "tests", **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-", dir="/tmp")})
