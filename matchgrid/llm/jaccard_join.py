@@ -212,39 +212,29 @@ def unsettled(members: DataFrame, percent: int) -> DataFrame:
     near = 1 - percent / 100 + 1e-9
     names = ["a", "b", "s", "m", "na", "nb"]
 
-    def pairs_of(g: pd.DataFrame, counts: np.ndarray) -> list[np.ndarray]:
-        node, n, c, away, own = (g[k].to_numpy() for k in ("node", "n", "c", "away", "own"))
-        cross = g["i"].iloc[0] != g["j"].iloc[0]
-        out = []
-        for r in range(len(g) - 1):
-            stop = r + 1 + np.searchsorted(n[r + 1 :], 100 * n[r] // percent, side="right")  # sizes rise
-            k = np.arange(r + 1, stop)
-            k = k[(c[k] != c[r]) & ~(np.abs(away[k] - away[r]) > near) & ((own[k] != own[r]) if cross else True)]
-            if len(k):
-                k = k[within_bounds(n[r], n[k], counts[r], counts[k], percent)]
-            if len(k):
-                x, y = np.full(len(k), node[r]), node[k]
-                swap = x > y
-                out.append(np.stack([np.minimum(x, y), np.maximum(x, y), np.full(len(k), g["s"].iloc[0]), np.full(len(k), g["m"].iloc[0]), np.where(swap, n[k], n[r]), np.where(swap, n[r], n[k])]))
-        return out
+    def settle(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        s, i, j, own, node, n, m, c, away = (t.column(k).to_numpy() for k in ("s", "i", "j", "own", "node", "n", "m", "c", "away"))
+        counts = np.stack([profile_counts(v) for v in t.column("profile").to_pylist()])
+        left = np.arange(len(s))
+        step = 0
+        while len(left):  # all rows with the row 1, 2, 3, ... places further on, as long as group and size allow
+            step += 1
+            left = left[left + step < len(s)]
+            right = left + step
+            same = (s[left] == s[right]) & (i[left] == i[right]) & (j[left] == j[right]) & (100 * n[left] >= percent * n[right])  # sizes rise
+            left, right = left[same], right[same]
+            good = (c[left] != c[right]) & ~(np.abs(away[left] - away[right]) > near) & ((i[left] == j[left]) | (own[left] != own[right]))
+            x, y = left[good], right[good]
+            ok = within_bounds(n[x], n[y], counts[x], counts[y], percent)
+            x, y = x[ok], y[ok]
+            if len(x):
+                swap = node[x] > node[y]
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                yield pa.record_batch([pa.array(v, pa.int64()) for v in (node[x], node[y], s[x], m[x], n[x], n[y])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
 
-        def settle(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            d = t.to_pandas()
-            key = d[["s", "i", "j"]].to_numpy()
-            cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            c = d["c"].to_numpy()
-            out = []
-            for a, b in zip([0, *cut], [*cut, len(d)], strict=True):
-                if b - a > 1 and (c[a:b] != c[a]).any():
-                    g = d.iloc[a:b]
-                    out += pairs_of(g, np.stack([profile_counts(v) for v in g["profile"]]))
-            if out:
-                cols = np.concatenate(out, axis=1)
-                yield pa.record_batch([pa.array(x, pa.int64()) for x in cols], names=names)
-
         for b in batches:
             if not b.num_rows:
                 continue
