@@ -103,13 +103,22 @@ def _keyword(pattern: str) -> str:
     return best.strip()
 
 
+def _breakable(pattern: str) -> str:
+    """The pattern with every space outside a character class as white space or a line break."""
+    out, inside = "", False
+    for ch in pattern:
+        inside = ch == "[" or (inside and ch != "]")
+        out += S if ch == " " and not inside else ch
+    return out
+
+
 def rules() -> list[tuple[int, int, str, str, str]]:
     """``rule, priority, label, keyword, pattern``, the best first."""
     out: list[tuple[int, str, str, str]] = []
     for label, tags, _, _, _ in LICENCES:
         out += [(0, label, "spdx", rf"spdx-license-identifier:[ \t]*{_plain(t)}\b") for t in tags]
     for label, _, names, _, _ in LICENCES:
-        out += [(1, label, _keyword(n), rf"\b{n.replace(' ', S) if '[' not in n and '(' not in n else n}\b") for n in names]
+        out += [(1, label, _keyword(n), rf"\b{_breakable(n)}\b") for n in names]
     for label, _, _, urls, _ in LICENCES:
         out += [(2, label, u, rf"(?:https?://)?(?:www[.])?{_plain(u)}[a-z0-9/._-]*") for u in urls]
     for label, _, _, _, short in LICENCES:
