@@ -40,7 +40,7 @@ WORDS, PERCENT = 3, 90
 ORDER_BITS = 18
 #: Buckets of the lower bound.
 PROFILE = 64
-#: Members of a region that are joined in one block.
+#: Sets of a region (or of one pivot) that are compared exactly in one block.
 BLOCK = 512
 #: Members of a region whose bounds are compared in one group.
 REGION = 4096
@@ -306,7 +306,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     pivots = places.groupBy("s").agg(F.min("node").alias("p"), F.count("*").alias("m")).where("m > 1")
     regions = stored(places.join(pivots, "s"))
     stars = regions.where("node <> p").select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stored(with_profiles(stars, classes, percent).withColumn("k", F.pmod(F.xxhash64("b"), F.lit(64))))
+    stars = stored(with_profiles(stars, classes, percent))
+    per_pivot = stars.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    stars = stars.join(per_pivot, "a").withColumn("k", F.pmod(F.xxhash64("b"), "blocks")).drop("blocks")
     found = stored(overlaps(stars, sets_of(docs, stars, classes, key, text, words), ["a", "k"]).drop("k"))
     links = found.where(linked)
     comp = link_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
@@ -316,11 +318,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     d = regions.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     d = d.join(away, ["p", "node"], "left").withColumn("away", F.when(F.col("node") == F.col("p"), 0.0).otherwise(F.col("away")))
     rest = unsettled(d.join(classes.select("node", "profile"), "node"), percent)
-    # A pair of sets is checked in the first region they share.
-    rest = rest.groupBy("a", "b").agg(F.min("s").alias("s"), F.max("m").alias("m"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    rest = rest.join(found.select("a", "b"), ["a", "b"], "left_anti")
-    blocks = F.ceil(F.col("m") / BLOCK)
-    rest = stored(rest.withColumn("ba", F.pmod(F.xxhash64("a"), blocks)).withColumn("bb", F.pmod(F.xxhash64("b"), blocks)))
+    # A pair of sets is checked in the largest region they share, so that a set travels to few regions.
+    rest = rest.groupBy("a", "b").agg(F.max(F.struct("m", "s")).alias("at"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    rest = stored(rest.select("a", "b", "na", "nb", F.col("at.s").alias("s")).join(found.select("a", "b"), ["a", "b"], "left_anti"))
+    here = rest.select("s", F.col("a").alias("node")).unionByName(rest.select("s", F.col("b").alias("node"))).distinct()
+    rest = rest.join(here.groupBy("s").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "s")
+    rest = rest.withColumn("ba", F.pmod(F.xxhash64("a"), "blocks")).withColumn("bb", F.pmod(F.xxhash64("b"), "blocks")).drop("blocks")
     more = overlaps(rest, sets_of(docs, rest, classes, key, text, words), ["s", "ba", "bb"]).where(linked).select("a", "b", "both", "na", "nb")
     links = stored(links.select("a", "b", "both", "na", "nb").unionByName(more))
     comp = link_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
