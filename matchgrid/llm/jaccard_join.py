@@ -314,10 +314,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     comp = link_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
     share = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    away = found.select(F.col("a").alias("p"), F.col("b").alias("node"), (1 - share).alias("away"))
-    d = regions.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    d = d.join(away, ["p", "node"], "left").withColumn("away", F.when(F.col("node") == F.col("p"), 0.0).otherwise(F.col("away")))
-    rest = unsettled(d.join(classes.select("node", "profile"), "node"), percent)
+    # Distances to the pivots of a set's own regions, which its prefix bounds in number.
+    away = found.groupBy(F.col("b").alias("node")).agg(F.map_from_entries(F.collect_list(F.struct("a", 1 - share))).alias("far"))
+    known = classes.select("node").join(comp, "node", "left").join(away, "node", "left").select("node", F.coalesce("component", "node").alias("c"), "far")
+    d = stored(regions.join(known, "node").withColumn("away", F.when(F.col("node") == F.col("p"), 0.0).otherwise(F.col("far")[F.col("p")])).drop("far", "p"))
+    open_regions = d.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("s")
+    rest = unsettled(d.join(open_regions, "s").join(classes.select("node", "profile"), "node"), percent)
     # A pair of sets is checked in the largest region they share, so that a set travels to few regions.
     rest = rest.groupBy("a", "b").agg(F.max(F.struct("m", "s")).alias("at"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     rest = stored(rest.select("a", "b", "na", "nb", F.col("at.s").alias("s")).join(found.select("a", "b"), ["a", "b"], "left_anti"))
@@ -328,7 +330,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     links = stored(links.select("a", "b", "both", "na", "nb").unionByName(more))
     comp = link_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     named = classes.select("cls", "rep", "node").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    known = named.join(named.groupBy("c").agg(F.min("rep").alias("first")), "c").select("cls", "first")
+    least = named.join(named.groupBy("c").agg(F.min("rep").alias("first")), "c").select("cls", "first")
     alone = F.when(F.col("key").isNotNull(), F.coalesce("first", "key"))
-    out = rows.join(known, "cls", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), alone.alias("component_id"))
+    out = rows.join(least, "cls", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), alone.alias("component_id"))
     return out, links
