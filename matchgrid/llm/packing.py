@@ -23,9 +23,11 @@ from tokenizers import Tokenizer
 from matchgrid.llm.common import map_batches, numbered, stored
 
 #: Word parts kept per worker; the table is emptied when full, so memory is bounded and results do not change.
-WORD_TABLE = 300_000
-PART_TABLE = 700_000
+WORD_TABLE = 150_000
+PART_TABLE = 300_000
 MAX_LENGTH = 4096
+#: Texts tokenized at a time, and words given to the tokenizer at a time: they bound a worker's memory.
+TEXTS, NEW_WORDS = 256, 4096
 #: Lower-case letters that have one form only, then ASCII marks.
 PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]+)")
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
@@ -52,8 +54,9 @@ class Words:
         if len(parts) + len(unknown) > PART_TABLE and parts:
             parts = self.parts = {}
             unknown = list(set(itertools.chain.from_iterable(split)))
-        for p, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-            parts[p] = np.array(e.ids, "<u4").tobytes()
+        for some in itertools.batched(unknown, NEW_WORDS):
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(list(some), add_special_tokens=False), strict=True):
+                parts[p] = np.array(e.ids, "<u4").tobytes()
         for w, s in zip(new, split, strict=True):
             self.ids[w] = b"".join(map(parts.__getitem__, s))
 
@@ -100,7 +103,7 @@ def decompose(docs: DataFrame, tokenizer: str, end_id: int, longest: int = MAX_L
     def make():
         w = words(tokenizer)
 
-        def step(b: pa.RecordBatch) -> pa.Table:
+        def cut_up(b: pa.RecordBatch) -> pa.Table:
             row, start, length, crc, total, ids = [], [], [], [], [], []
             for i, raw in enumerate(w.encode(b.column(1).to_pylist())):
                 raw += end
@@ -122,7 +125,7 @@ def decompose(docs: DataFrame, tokenizer: str, end_id: int, longest: int = MAX_L
                 names.append("ids")
             return pa.table(cols, names=names)
 
-        return step
+        return lambda b: (cut_up(b.slice(at, TEXTS)) for at in range(0, b.num_rows, TEXTS))
 
     schema = f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if keep_ids else "")
     return map_batches(docs.select(F.col(key), F.col(text)), make, schema)
@@ -132,9 +135,16 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, longest: int = MAX_LENGTH
          keep_ids: bool = True) -> DataFrame:
     """Pieces with ``sequence_id`` (gapless, long buckets first, then by document and start) and ``offset`` (0: a piece
     is its whole sequence)."""
+    order = [F.col("length").desc(), F.col(key), F.col("start"), F.col("ids_crc32")]
     # Stored first: range partitioning reads its input twice, and no text should be tokenized twice.
-    pieces = stored(decompose(docs, tokenizer, end_id, longest, key, text, keep_ids))
-    d = numbered(pieces, [F.col("length").desc(), F.col(key), F.col("start"), F.col("ids_crc32")], "sequence_id")
+    pieces = decompose(docs, tokenizer, end_id, longest, key, text, keep_ids)
+    if not keep_ids:
+        d = numbered(stored(pieces), order, "sequence_id")
+    else:
+        # Numbered without their ids: long pieces are neighbours in the order, and one range of them would hold most bytes.
+        pieces = stored(pieces.withColumn("__piece", F.monotonically_increasing_id()))
+        numbers = numbered(pieces.select("__piece", key, "start", "length", "ids_crc32"), order, "sequence_id")
+        d = pieces.join(numbers.select("__piece", "sequence_id"), "__piece").drop("__piece")
     return d.withColumn("offset", F.lit(0).cast("long"))
 
 
