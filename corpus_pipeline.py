@@ -16,6 +16,8 @@ from matchgrid.llm.queries import END_ID, PIECES, WORDS
 
 #: A text whose best language is less sure than this is rejected, and so is a text without a letter.
 SURE = 0.5
+#: Near-duplicates share this many percent of their rows of so many words (op6 has its own, stricter test).
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def _like(docs: DataFrame, changed: DataFrame) -> DataFrame:
@@ -35,7 +37,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id; rows without an id stay."""
-    groups = jaccard_join.join(docs.select("doc_id", "text"))[0]
+    groups = jaccard_join.join(docs.select("doc_id", "text"), words=NEAR_WORDS, percent=NEAR_PERCENT)[0]
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
