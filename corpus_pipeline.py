@@ -36,10 +36,16 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; rows without an id stay."""
-    groups = jaccard_join.join(docs.select("doc_id", "text"), words=NEAR_WORDS, percent=NEAR_PERCENT)[0]
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    """Of each group of near-duplicates the row with the smallest id (of equal ids: the smallest digest of the text).
+
+    Rows are judged by id and text, so other texts of an id that goes stay. Of rows with the same id and text one stays,
+    null text counting as empty. Rows without an id stay.
+    """
+    d = docs.withColumn("__row", F.struct("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest")))
+    named = d.where("doc_id is not null")
+    groups = jaccard_join.join(named.select("__row", "text"), "__row", words=NEAR_WORDS, percent=NEAR_PERCENT)[0]
+    gone = groups.where("__row <> component_id").select("__row").distinct()
+    named = named.join(gone, "__row", "left_anti").dropDuplicates(["__row"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

@@ -22,3 +22,13 @@ def test_near_duplicates_share_rows_of_five_words(spark):
     got = corpus_pipeline.one_of_each_group(spark, docs, SF).select("doc_id").collect()
     assert sorted(r[0] for r in got) == sorted(i for i, c in comp.items() if i == c)
     assert comp != near_components(rows, 3, 90)  # the table has near copies between the two tests
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    near, clean, other = (" ".join(f"{w}{i}" for i in range(60)) for w in "nco")
+    rows = [(1, near), (7, near + " end"), (7, clean), (7, clean), (7, other), (8, other + " end"), (9, None), (9, "one two"), (None, near)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.one_of_each_group(spark, d, SF)
+    assert got.columns == ["doc_id", "text"]
+    want = [(1, near), (7, clean), (7, other), (9, None), (9, "one two"), (None, near)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
