@@ -79,8 +79,8 @@ LICENCES: list[tuple[str, list[str], list[str], list[str], list[str]]] = [
 
 #: Confidence by priority: tag, name or notice, address, short name next to a licensing word.
 CONFIDENCE = (1.0, 0.95, 0.9, 0.7)
-#: A text without any of these words, and without ``cc`` before ``by``, has no finding: every rule needs one of them.
-GATES = ("licen", "spdx", "domain", "commons", "cc0", "clause", "bsd", "w3c", "proprietary", "unencumbered", ".org", ".net", ".com", ".gov", ".eu/")
+#: A text without any of these words, and without ``cc`` before ``by``, has no finding: every match holds one of them.
+GATES = ("licen", "released", "distributed", "available", "spdx", "domain", "commons", "cc0", "clause", "bsd", "w3c", "proprietary", "unencumbered", ".org", ".net", ".com", ".gov", ".eu/")
 
 
 def _plain(text: str) -> str:
@@ -124,3 +124,10 @@ def rules() -> list[tuple[int, int, str, str, str]]:
     for label, _, _, _, short in LICENCES:
         out += [(3, label, "licen", rf"\b(?:licensed|released|distributed|available|licence|license){S}(?:under|as|is|:)?{S}?(?:the |a )?{_plain(n)}\b") for n in short]
     return [(i, *r) for i, r in enumerate(out)]
+
+
+def keywords() -> list[str]:
+    """Per rule a word that each of its matches holds. For a short name it is the longest word of the name itself:
+    'released under x' need not hold the 'licen' of the table, which only the SQL still asks for."""
+    own = [max(n.split(), key=len) for *_, short in LICENCES for n in short]
+    return [k for _, p, _, k, _ in rules() if p < 3] + own

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchgrid.llm.licence_rules import CONFIDENCE, GATES, rules
+from matchgrid.llm.licence_rules import CONFIDENCE, GATES, keywords, rules
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
@@ -27,7 +27,7 @@ SPACED_CC = r"[cC][cC][\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[bB][yY]"
 def rule_table() -> Column:
     """All rules as one constant array."""
     return F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(k).alias("keyword"), F.lit(x).alias("pattern"))
-                     for i, p, label, k, x in rules()])
+                     for (i, p, label, _, x), k in zip(rules(), keywords(), strict=True)])
 
 
 def _total(lengths: Column) -> Column:
