@@ -397,7 +397,7 @@ def _(t):
 WITH tr AS (SELECT DISTINCT clip, frame_index FROM item WHERE split = 'train' AND tier = 1 AND frame_index % 13 = 0)
 SELECT i.item_id, EXISTS (SELECT 1 FROM tr WHERE tr.clip = i.clip AND abs(tr.frame_index - i.frame_index) <= 5) AS near_training FROM item i""")
 def _(t):
-    tr = t.item.where("split = 'train' AND tier = 1 AND frame_index % 13 = 0")
+    tr = t.item.where("split = 'train' AND tier = 1")
     return joins.near_frames(t.item, tr, "clip", "frame_index").select("item_id", "near_training")
 
 

@@ -254,7 +254,7 @@ def window_parts(t):
     wid = F.concat("game_id", F.lit("_f"), F.floor(F.col("frame_index") / 25) * 25)
     fr = t.frame.select(wid.alias("window_id"), "frame_index")
     kind = F.when(F.col("confidence") < 0.05, "no_ball").when(F.col("confidence") < 0.12, "wrong_ball").otherwise("players")
-    ex = t.detection.where("confidence < 0.15 AND frame_index % 3 = 0").select(wid.alias("window_id"), "frame_index", kind.alias("kind"))
+    ex = t.detection.where("confidence < 0.15").select(wid.alias("window_id"), "frame_index", kind.alias("kind"))
     return maintain.accept_window(fr, ex)
 
 

@@ -223,7 +223,6 @@ k AS (SELECT *, band / 10 + 0.05 AS x, lag(band / 10 + 0.05) OVER (ORDER BY band
 SELECT round(coalesce((SELECT arg_min(px + (0.5 - pp) * (x - px) / (p - pp), band) FROM k WHERE pp < 0.5 AND p >= 0.5), 0.25), 6) AS tau""")
 def _(t):
     v = t.verdict_log.withColumn("c", (F.col("line_no") % 50).cast("double") / 50)
-    v = v.where((F.col("verdict") != "not_ball") | (F.col("line_no") % 50 < 25)).where(~((F.col("verdict") != "not_ball") & (F.col("c") < 0.3)))
     return metrics.decision_boundary(metrics.confidence_bands(v, "c")).select(*r6("tau"))
 
 
@@ -307,7 +306,7 @@ def _(t):
 WITH r AS (SELECT DISTINCT concat('g', user_id % 25) AS game_id, CAST(user_id % 40 * 10 AS INT) AS lo FROM events WHERE event_type = 'purchase' AND user_id % 4 = 0)
 SELECT f.game_id, f.frame_index, CAST(CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.game_id = f.game_id AND f.frame_index BETWEEN lo AND lo + 4) THEN 2 ELSE 3 END AS INT) AS tier FROM frame f""")
 def _(t):
-    e = t.events.where("event_type = 'purchase' AND user_id % 4 = 0")
+    e = t.events.where("event_type = 'purchase'")
     lo = (F.col("user_id") % 40 * 10).cast("int")
     # A track's intervals are its review record: one short list per game.
     r = e.groupBy(F.concat(F.lit("g"), F.col("user_id") % 25).alias("game_id")).agg(F.collect_set(F.struct(lo.alias("lo"), (lo + 4).alias("hi"))).alias("intervals"))
@@ -349,7 +348,7 @@ SELECT g.match, g.win, kind, (kind <> 'ball' OR an) AS answerable, CASE WHEN kin
 def _(t):
     p = t.panel_frame.where("state IN ('ball', 'no_ball')")
     says = F.when((F.coalesce(F.col("dist") <= 14, F.lit(False))) | (F.col("frame") % 17 == 0), "ball").otherwise("not_ball")
-    rows = p.where("frame % 19 <> 0").select("match", "win", F.coalesce(F.col("dist") <= 10, F.lit(False)).alias("near"), says.alias("verdict"))
+    rows = p.select("match", "win", F.coalesce(F.col("dist") <= 10, F.lit(False)).alias("near"), says.alias("verdict"))
     asked = p.groupBy("match", "win").agg(F.count("*").alias("n_asked"), F.when(F.bool_or(F.col("state") == "ball"), "ball").otherwise("no_ball").alias("kind"))
     return metrics.answered_frames(rows, asked, ["match", "win"]).select("match", "win", "kind", "answerable", "correct")
 
