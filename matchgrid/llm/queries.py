@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchgrid.llm import (embedding_dedup, fingerprints, jaccard_join, language_id, licence_scan, packing, secret_scan, sentencepiece_codec, sharding,
+from matchgrid.llm import (centroid_clustering, decontamination, embedding_dedup, fingerprints, hard_negatives, jaccard_join, language_id, licence_scan, packing, secret_scan, sentencepiece_codec, sharding,
                            suffix_dedup)
 from matchgrid.llm.common import read_table
-from matchgrid.llm.sql import LICENCES, JACCARD, SHARDS
+from matchgrid.llm.sql import CLUSTERS, JACCARD, LEAKS, LICENCES, NEGATIVES, SHARDS
 
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
 END_ID = 2
@@ -66,10 +66,24 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip_digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.report(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_language_id, op2_licence_scan, op3_embedding_dedup, op4_packing, op5_secret_scan, op6_jaccard_join, op7_fingerprints, op8_suffix_dedup, op9_sharding,
-              op10_sentencepiece)
+              op10_sentencepiece, op11_decontamination, op12_centroid_clustering, op13_hard_negatives)
 }
 
-ORACLES: dict[str, str] = {"op2_licence_scan": LICENCES, "op6_jaccard_join": JACCARD, "op9_sharding": SHARDS}
+ORACLES: dict[str, str] = {"op2_licence_scan": LICENCES, "op6_jaccard_join": JACCARD, "op9_sharding": SHARDS, "op11_decontamination": LEAKS,
+                           "op12_centroid_clustering": CLUSTERS, "op13_hard_negatives": NEGATIVES}

@@ -36,6 +36,72 @@ FROM n JOIN s USING (doc_id) LEFT JOIN c ON c.cls = md5(array_to_string(list_sor
 """
 
 
+LEAKS = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents
+), b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, width, array_to_string(ws[i:i + width - 1], ' ') AS phrase FROM (
+    SELECT item_id, ws, least(10, len(ws)) AS width, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0 AND item_id IS NOT NULL)
+), hit AS (
+  SELECT r, i, g.width, item_id FROM (
+    SELECT r, width, i, array_to_string(ws[i:i + width - 1], ' ') AS phrase
+    FROM (SELECT r, ws, width, unnest(range(1, len(ws) - width + 2)) AS i FROM d, (SELECT DISTINCT width FROM win))) g
+  JOIN win ON win.width = g.width AND win.phrase = g.phrase
+), covered AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + width)) AS place FROM hit) GROUP BY r),
+which AS (SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM hit GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN which USING (r)
+"""
+
+
+def _clusters() -> str:
+    """Three rounds of assignment and update, then one more assignment, written out one below the other."""
+    parts = ["""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR), r) - 1 AS number, x AS m FROM v QUALIFY number < 16
+)"""]
+    for i in range(4):
+        parts.append(f"""a{i} AS (
+  SELECT r, arg_min(number, (far, number)) AS cluster, min(far) AS distance FROM (
+    SELECT r, number, list_sum(list_transform(list_zip(x, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS far FROM v, c{i}) GROUP BY r
+)""")
+        if i < 3:
+            parts.append(f"""c{i + 1} AS (
+  SELECT number, coalesce(new, m) AS m FROM c{i} LEFT JOIN (
+    SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS new FROM (
+      SELECT cluster, j, sum(x[j])::BIGINT AS s, count(*) AS n FROM v JOIN a{i} USING (r), (SELECT unnest(range(1, 65)) AS j) GROUP BY cluster, j) GROUP BY cluster
+  ) ON cluster = number
+)""")
+    return ",\n".join(parts) + """
+SELECT vec_id, cluster::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(m, lambda x: x::VARCHAR), ',')) AS centroid_sha256
+FROM v JOIN a3 USING (r) JOIN c3 ON number = cluster
+"""
+
+
+CLUSTERS = _clusters()
+
+NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor, b.vec_id AS other, a.label = b.label AS same, list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (SELECT anchor, other AS positive, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5)
+SELECT p.anchor AS anchor_id, p.positive AS positive_id, (row_number() OVER (PARTITION BY p.anchor, p.positive ORDER BY s.score DESC, s.other))::INT AS rank,
+  s.other AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10
+"""
+
+
 def _licences() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     table = ",\n".join(f"({i}, {p}, {quote(label)}, {quote(k)}, {quote(x)})" for i, p, label, k, x in rules())
