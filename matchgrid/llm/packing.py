@@ -8,82 +8,119 @@ Rows that repeat are packed once each; very long texts only give more pieces; an
 
 from __future__ import annotations
 
-import itertools
+import array
 import os
 import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models
 
 from matchgrid.llm.common import map_batches, numbered, stored
 
-#: Word parts kept per worker; the table is emptied when full, so memory is bounded and results do not change.
-WORD_TABLE = 150_000
-PART_TABLE = 300_000
+#: Words and word parts whose ids a task keeps. A full table becomes the old one, from which words still in use are taken
+#: over, so memory is bounded and results do not change.
+WORD_TABLE = PART_TABLE = 100_000
 MAX_LENGTH = 4096
-#: Texts tokenized at a time, and words given to the tokenizer at a time: they bound a worker's memory.
-TEXTS, NEW_WORDS = 256, 4096
+#: Texts tokenized at a time: they bound a worker's memory.
+TEXTS = 256
 #: Lower-case letters that have one form only, then ASCII marks.
-PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]+)")
+PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+LETTERS = byte_letters()
+
+
+@lru_cache(maxsize=2)
+def tokenizer(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
+def byte_level(t: Tokenizer) -> bool:
+    """True if a word of plain lower-case letters reaches the merges as the letters of its bytes and nothing else."""
+    return isinstance(t.model, models.BPE) and not t.model.dropout and "ByteLevel(add_prefix_space=False" in repr(t.pre_tokenizer)
+
+
+class Table:
+    """A bounded table of two generations."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def room_for(self, n: int) -> bool:
+        """False if the table had to be turned over."""
+        if len(self.new) + n <= self.size or not self.new:
+            return True
+        self.new, self.old = {}, self.new
+        return False
+
+
 class Words:
     """Token ids of a text, word by word.
 
     The tokenizer lower-cases, drops white space and never joins across it, so a text's ids are those of its parts
-    between ASCII white space, and each distinct part is given to the tokenizer once.
+    between ASCII white space, and each distinct part is tokenized once. Letters and a tail of ASCII marks are always
+    tokenized apart, so both are looked up alone; plain letters go to the tokenizer's merges at once, as its normalising
+    and splitting steps leave them as they are.
     """
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ids: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def learn(self, new: list[bytes]) -> None:
-        """Ids of new words. Letters and a tail of ASCII marks are always tokenized apart, so both are looked up alone."""
-        split = [m.groups() if (m := PLAIN.fullmatch(w)) else (w,) for w in (x.decode() for x in new)]
-        parts = self.parts
-        unknown = [p for p in set(itertools.chain.from_iterable(split)) if p not in parts]
-        if len(parts) + len(unknown) > PART_TABLE and parts:
-            parts = self.parts = {}
-            unknown = list(set(itertools.chain.from_iterable(split)))
-        for some in itertools.batched(unknown, NEW_WORDS):
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(list(some), add_special_tokens=False), strict=True):
-                parts[p] = np.array(e.ids, "<u4").tobytes()
-        for w, s in zip(new, split, strict=True):
-            self.ids[w] = b"".join(map(parts.__getitem__, s))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+        self.model = self.tokenizer.model if byte_level(self.tokenizer) else None
+        self.ids, self.parts = Table(WORD_TABLE), Table(PART_TABLE)
+
+    def part(self, p: str, plain: bool) -> bytes:
+        t = self.parts
+        found = t.new.get(p)
+        if found is None:
+            found = t.old.get(p)
+            if found is None:
+                if plain and self.model:
+                    ids = [k.id for k in self.model.tokenize(p.encode().decode("latin-1").translate(LETTERS))]
+                else:
+                    ids = self.tokenizer.encode(p, add_special_tokens=False).ids
+                found = array.array("I", ids).tobytes()
+            t.room_for(1)
+            t.new[p] = found
+        return found
+
+    def word(self, w: bytes) -> bytes:
+        text = w.decode()
+        m = PLAIN.fullmatch(text)
+        if not m:
+            return self.part(text, False)
+        letters, marks = m.groups()
+        return self.part(letters, True) + self.part(marks, False) if marks else self.part(letters, True)
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids per text as little-endian unsigned 32-bit integers."""
-        parts = []
         for t in texts:
             raw = (t or "").encode()
             low = raw.lower()
             # Lower-casing first makes fewer distinct parts; not where it could turn text into a special token.
-            parts.append((raw if any(s in low for s in self.special) else low).split())
-        out = []
-        for words in parts:
-            known = self.ids
-            new = [w for w in set(words) if w not in known]
-            if new:
-                if len(known) + len(new) > WORD_TABLE:
-                    known = self.ids = {}
-                    new = list(set(words))
-                self.learn(new)
-            out.append(b"".join(map(known.__getitem__, words)))
-        return out
-
-
-@lru_cache(maxsize=2)
-def words(path: str) -> Words:
-    return Words(path)
+            words = (raw if any(s in low for s in self.special) else low).split()
+            distinct = set(words)
+            new = distinct.difference(self.ids.new)
+            if new and not self.ids.room_for(len(new)):
+                new = distinct
+            known, old = self.ids.new, self.ids.old
+            for w in new:
+                known[w] = old.get(w) or self.word(w)
+            yield b"".join(map(known.__getitem__, words))
 
 
 def piece_lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
@@ -101,7 +138,7 @@ def decompose(docs: DataFrame, tokenizer: str, end_id: int, longest: int = MAX_L
     end = int(end_id).to_bytes(4, "little")
 
     def make():
-        w = words(tokenizer)
+        w = Words(tokenizer)
 
         def cut_up(b: pa.RecordBatch) -> pa.Table:
             row, start, length, crc, total, ids = [], [], [], [], [], []

@@ -96,7 +96,7 @@ def test_piece_lengths_are_binary_digits(n):
 def test_word_by_word_equals_the_whole_text(text):
     whole = Tokenizer.from_file(WORDS) if not hasattr(test_word_by_word_equals_the_whole_text, "t") else test_word_by_word_equals_the_whole_text.t
     test_word_by_word_equals_the_whole_text.t = whole
-    assert np.frombuffer(packing.words(WORDS).encode([text])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(next(packing.Words(WORDS).encode([text])), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
 # --- secrets -----------------------------------------------------------------------------------------------------------
