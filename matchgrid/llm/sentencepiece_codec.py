@@ -14,7 +14,9 @@ because the pieces for such runs share one score.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import ahocorasick
@@ -30,6 +32,8 @@ SPACE = "▁"
 WORD_TABLE = 300_000
 UNIT_TABLE = 700_000
 PAIR_TABLE = 400_000
+#: Texts up to this length are merged by plain search.
+SHORT = 48
 
 
 class Codec:
@@ -66,6 +70,8 @@ class Codec:
 
     def merged(self, text: str) -> list[str]:
         """Plain merging: again and again the leftmost neighbours whose joined piece has the best score."""
+        if len(text) > SHORT:
+            return self.merged_long(text)
         parts = list(text)
         while len(parts) > 1:
             best, at = None, -1
@@ -78,6 +84,37 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def merged_long(self, text: str) -> list[str]:
+        """The same with a heap of neighbours, so that time grows with the length and its logarithm only."""
+        parts: list[str | None] = list(text)
+        n = len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[float, int, int]] = []
+
+        def offer(i: int, put: Callable) -> None:
+            if i >= 0 and after[i] < n:
+                both = parts[i] + parts[after[i]]
+                s = self.score.get(both)
+                if s is not None:
+                    put(heap, (-s, i, len(both)))
+
+        for i in range(n - 1):
+            offer(i, lambda h, x: h.append(x))
+        heapq.heapify(heap)
+        while heap:
+            _, i, size = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] is None or j >= n or len(parts[i]) + len(parts[j]) != size:
+                continue  # one of the two has grown or gone since
+            parts[i] += parts[j]
+            parts[j] = None
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            offer(before[i], heapq.heappush)
+            offer(i, heapq.heappush)
+        return [p for p in parts if p is not None]
+
     def fits(self, left: str, right: str) -> bool:
         ok = self.pairs.get((left, right))
         if ok is None:
