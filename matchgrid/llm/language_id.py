@@ -33,7 +33,7 @@ ROUNDS = 3
 #: Added to every expected count, so that an unseen piece keeps a chance.
 PRIOR = 0.05
 #: Words whose scores a worker keeps; the table is emptied when full.
-WORD_TABLE = 400_000
+WORD_TABLE = 200_000
 MARK = "▁"
 #: Words up to this length are summed under a scale of LETTER per letter; longer ones under a scale per place.
 PLAIN_LENGTH, LETTER = 48, 30.0
@@ -176,7 +176,8 @@ def sample(docs: DataFrame, label: str = "lang", key: str = "doc_id", per_label:
     known = docs.where(F.col(label).isNotNull())
     share = known.groupBy(F.col(label).alias("__l")).agg((F.lit(float(per_label)) / F.count("*")).alias("__share"))
     draw = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    return known.join(share, F.col(label) == F.col("__l")).where(draw < F.col("__share")).drop("__l", "__share")
+    # One number per language goes to the rows; no text is moved.
+    return known.join(F.broadcast(share), F.col(label) == F.col("__l")).where(draw < F.col("__share")).drop("__l", "__share")
 
 
 def fit(docs: DataFrame, vocab: str, label: str = "lang", text: str = "text", rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
