@@ -13,7 +13,8 @@ Components are integers, ``floor(scale * x)``, so all sums are exact whatever th
 components, none of them null or non-finite, are kept; so are left out those with a component beyond ``LARGEST`` in size,
 whose squared distance no long can hold. The first centroids are the kept vectors with the smallest digests of their
 keys; equal digests (a repeated key) follow in the order of their components, and null keys come last. With fewer vectors
-than centroids there are fewer centroids. A sum of distances beyond the range of longs is null. Repeated rows are vectors of their own; an empty table gives no rows.
+than centroids there are fewer centroids. A sum of distances beyond the range of longs is null. Repeated rows are vectors of
+their own; an empty table gives no rows.
 
 The centroids (centroids x dims integers) are the only thing that meets in one place.
 """
@@ -55,7 +56,7 @@ def first_centroids(vectors: DataFrame, n: int, seed: int = 1) -> np.ndarray:
 
 
 def shards(vectors: DataFrame, dims: int, block: int) -> DataFrame:
-    """``shard, row, x``: one row per vector and block of columns, stored shard by shard."""
+    """``shard, row, x``: one row per vector and block of columns."""
     cuts = [F.struct(F.lit(i).alias("shard"), F.slice("x", a + 1, min(block, dims - a)).alias("x")) for i, a in enumerate(range(0, dims, block))]
     d = vectors.select("row", F.explode(F.array(*cuts)).alias("s")).select("s.shard", "row", "s.x")
     return stored(d)
