@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,6 +41,13 @@ def unstore(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of a batch that a worker holds, where the session names no bound: a batch of whole texts has no other
+    one than its number of rows."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
     """``mapInArrow`` with a function made once per task, applied batch by batch: it gives a table or several
     (Spark bounds a batch in rows and bytes)."""
@@ -50,6 +59,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str) -> Dat
             for part in [out] if isinstance(out, pa.Table | pa.RecordBatch) else out:
                 yield from part.to_batches() if isinstance(part, pa.Table) else [part]
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -91,4 +101,5 @@ def link_components(links: DataFrame) -> DataFrame:
         unstore(label)
         label = new.select("node", "c")
         if not moved:
+            unstore(edges)
             return label.withColumnRenamed("c", "component")

@@ -17,7 +17,7 @@ pairs whose distances to a common pivot differ by more than the threshold are ex
 are pairs whose sizes or element counts per bucket are too far apart (both are lower bounds of the distance). All other
 pairs are checked exactly. Large regions are joined block by block.
 
-Equal sets are one class from the start. Elements are 64-bit hashes of word rows. Null, empty and blank texts have an
+Equal sets are one class from the start. Elements are 64-bit hashes of word rows, so results are exact but for their collisions. Null, empty and blank texts have an
 empty set and no links; a null key has no links and a null component. Rows of one key share its component.
 """
 
@@ -32,14 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchgrid.llm.common import link_components, map_batches, stored
+from matchgrid.llm.common import bounded_batches, link_components, map_batches, stored, unstore
 from matchgrid.session import small_side
 
 WORDS, PERCENT = 3, 90
-#: Hash buckets whose sizes tell frequent elements from rare ones. The order affects speed only.
+#: Hash buckets whose sizes tell frequent words from rare ones: an element is as rare as its rarest word. The order affects
+#: speed only.
 ORDER_BITS = 18
-#: Buckets of the lower bound.
-PROFILE = 64
+#: Least number of buckets of the lower bound, and elements per bucket in large sets.
+PROFILE, PER_BUCKET = 64, 16
 #: Sets of a region (or of one pivot) that are compared exactly in one block.
 BLOCK = 512
 #: Members of a region whose bounds are compared in one group.
@@ -71,8 +72,8 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_rows(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
-    """Sorted distinct hashes of the rows of ``words`` words of each text (a shorter text: of all its words)."""
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order, and the number of words up to the end of each text."""
     with np.errstate(over="ignore"):
         raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         blank = np.concatenate([[True], _BLANK[raw]])
@@ -80,76 +81,86 @@ def word_rows(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
         first, last = edge[::2], edge[1::2]  # words are raw[first:last]
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_RANDOM[_LOWER[raw]] * _powers(_BASE, len(raw)))])
         word = mixed((sums[last] - sums[first]) * _powers(_INVERSE, len(raw))[first] + (last - first).astype(np.uint64))
-        stops = np.cumsum([len(t) + 1 for t in texts])
-        cut = np.searchsorted(first, stops)
+        return word, np.searchsorted(first, np.cumsum([len(t) + 1 for t in texts]))
+
+
+def word_rows(texts: list[bytes], words: int = WORDS, levels: np.ndarray | None = None) -> list[np.ndarray]:
+    """Sorted distinct hashes of the rows of ``words`` words of each text (a shorter text: of all its words). With the
+    levels of the word buckets: pairs of the hashes and of their elements' levels."""
+    with np.errstate(over="ignore"):
+        word, cut = hashed_words(texts)
+        level = None if levels is None else levels[(word >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
         out, start = [], 0
         for stop in cut:
             w = word[start:stop]
             n = min(words, len(w))
-            if n:
-                h = np.full(len(w) - n + 1, n, np.uint64)
-                for j in range(n):
-                    h = mixed(h * _BASE + w[j : len(w) - n + 1 + j])
+            h = np.full(max(0, len(w) - n + 1) if n else 0, n, np.uint64)
+            for j in range(n):
+                h = mixed(h * _BASE + w[j : len(w) - n + 1 + j])
+            if level is None:
                 out.append(np.unique(h))
             else:
-                out.append(w)
+                h, at = np.unique(h, return_index=True)
+                own = level[start:stop]
+                out.append((h, np.minimum.reduce([own[at + j] for j in range(n)]) if n else own))
             start = stop
     return out
 
 
-def each_set(column: pa.Array, words: int):
-    """Sets of the texts of a batch, hashed a stretch at a time."""
+def stretches(column: pa.Array) -> Iterator[list[bytes]]:
+    """The texts of a batch, a stretch of bytes at a time."""
     group, size = [], 0
     for t in column:
         raw = (t.as_py() or "").encode()
         group.append(raw)
         size += len(raw)
         if size >= STRETCH:
-            yield from word_rows(group, words)
+            yield group
             group, size = [], 0
     if group:
-        yield from word_rows(group, words)
+        yield group
 
 
-def frequent_buckets(docs: DataFrame, text: str, words: int) -> np.ndarray:
-    """Flags of the hash buckets that hold more than twice their share of all elements of all texts."""
+def each_set(column: pa.Array, words: int, levels: np.ndarray | None = None):
+    """Sets of the texts of a batch."""
+    for group in stretches(column):
+        yield from word_rows(group, words, levels)
 
-    def make():
-        def step(b: pa.RecordBatch) -> pa.Table:
-            n = np.zeros(1 << ORDER_BITS, np.int64)
-            for s in each_set(b.column(0), words):
-                np.add.at(n, (s >> np.uint64(64 - ORDER_BITS)).astype(np.int64), 1)
-            at = np.flatnonzero(n)
-            return pa.table([pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["bucket", "n"])
 
-        return step
+def word_levels(docs: DataFrame, text: str) -> np.ndarray:
+    """Levels of the hash buckets of words: the logarithm of the number of words of all texts in each, in half steps."""
 
-    n = stored(map_batches(docs.select(F.col(text)), make, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
-    mean = n.agg(F.sum("n")).first()[0]
-    flags = np.zeros(1 << ORDER_BITS, bool)
-    if mean:
-        rows = n.where(F.col("n") > 2 * mean / (1 << ORDER_BITS) + 8).select("bucket").collect()  # at most 2^ORDER_BITS rows
-        flags[[r[0] for r in rows]] = True
-    return flags
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << ORDER_BITS, np.int64)
+        for b in batches:
+            for group in stretches(b.column(0)):
+                n += np.bincount((hashed_words(group)[0] >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=len(n))
+        at = np.flatnonzero(n)  # once per task
+        for a in range(0, len(at), 50_000):
+            some = at[a : a + 50_000]
+            yield pa.record_batch([pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], names=["bucket", "n"])
+
+    bounded_batches(docs.sparkSession)
+    n = docs.select(F.col(text)).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    levels = np.zeros(1 << ORDER_BITS, np.uint8)
+    rows = n.select("bucket", F.round(2 * F.log2("n")).cast("int").alias("level")).where("level > 0").toPandas()  # at most 2^ORDER_BITS rows
+    levels[rows["bucket"].to_numpy(np.int64)] = rows["level"].to_numpy(np.int64)
+    return levels
 
 
 def classes_of(docs: DataFrame, key: str, text: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows ``key, n, cls`` of all documents, and one row per class of equal sets: ``cls, node, rep, n,
     prefix, profile`` (``node``: a number for the class, ``rep``: its smallest key)."""
-    flags = frequent_buckets(docs, text, words)
+    levels = docs.sparkSession.sparkContext.broadcast(word_levels(docs, text))  # one byte per bucket
 
     def make():
         def step(b: pa.RecordBatch) -> pa.Table:
             n, cls, prefix, profile = [], [], [], []
-            for s in each_set(b.column(1), words):
+            for s, level in each_set(b.column(1), words, levels.value):
                 need = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
-                late = flags[(s >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
-                first = s[~late][:need]
-                if len(first) < need:
-                    first = np.concatenate([first, s[late][: need - len(first)]])
                 n.append(len(s))
                 cls.append(xxhash.xxh3_128_digest(s.tobytes()))
-                prefix.append(first.view(np.int64))
+                prefix.append(s[np.argsort(level, kind="stable")[:need]].view(np.int64))
                 profile.append(packed_profile(s))
             return pa.table([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(profile, pa.binary())],
                             names=["key", "n", "cls", "prefix", "profile"])
@@ -160,23 +171,46 @@ def classes_of(docs: DataFrame, key: str, text: str, words: int, percent: int) -
     sets = stored(map_batches(docs.select(F.col(key).alias("key"), F.col(text)), make, f"key {kind}, n long, cls binary, prefix array<long>, profile binary"))
     used = sets.where("n > 0 and key is not null")
     classes = used.groupBy("cls").agg(F.min("key").alias("rep"), *[F.first(c).alias(c) for c in ("n", "prefix", "profile")])
-    return sets.select("key", "n", "cls"), stored(classes.withColumn("node", F.xxhash64("cls")))
+    return sets.select("key", "n", "cls"), stored(classes.withColumn("node", F.monotonically_increasing_id()))
 
 
 def packed_profile(elements: np.ndarray) -> bytes:
-    """Elements per bucket, in one, two or four bytes each as their size needs."""
-    n = np.bincount((elements & np.uint64(PROFILE - 1)).astype(np.int64), minlength=PROFILE)
-    return n.astype("<u1" if n.max() < 1 << 8 else "<u2" if n.max() < 1 << 16 else "<u4").tobytes()
-
-
-def profile_counts(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{len(raw) // PROFILE}").astype(np.int32)
-
-
-def within_bounds(na, nb, pa_, pb, percent: int) -> np.ndarray:
-    """Size and profile tests that no pair within the threshold fails (arrays of equal length)."""
-    shared = np.minimum(pa_, pb).sum(axis=-1)
-    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (100 * shared >= percent * (na + nb - shared))
+    """Elements per bucket of their last bits, in one, two or four bytes each as their size needs; the first byte says how
+    many. The number of buckets is a power of two that grows with the set, so that large sets differ too."""
+    size = max(PROFILE, 1 << (len(elements) // PER_BUCKET).bit_length())
+    n = np.bincount((elements & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    width = 1 if n.max() < 1 << 8 else 2 if n.max() < 1 << 16 else 4
+    return bytes([width]) + n.astype(f"<u{width}").tobytes()
+
+
+class Profiles:
+    """Profiles of many sets, and bounds on what two of them share."""
+
+    def __init__(self, raws: list[bytes]):
+        counts = [np.frombuffer(r, f"<u{r[0]}", offset=1).astype(np.int32) for r in raws]
+        self.size = np.array([len(c) for c in counts], np.int64)
+        self.coarse = np.stack([c.reshape(-1, PROFILE).sum(axis=0) for c in counts]) if counts else np.zeros((0, PROFILE), np.int32)
+        self.fine = {}
+        for b in np.unique(self.size[self.size > PROFILE]):
+            rows = np.flatnonzero(self.size >= b)  # larger profiles fold, as buckets go by last bits
+            place = np.full(len(counts), -1)
+            place[rows] = np.arange(len(rows))
+            self.fine[int(b)] = (place, np.stack([counts[r].reshape(-1, b).sum(axis=0) for r in rows]))
+
+    def within(self, x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
+        """False only for pairs of rows ``x, y`` with ``nx, ny`` elements that cannot reach the threshold."""
+        good = 100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)
+        at = np.flatnonzero(good)
+        for size in (PROFILE, *self.fine):
+            own = np.minimum(self.size[x[at]], self.size[y[at]])
+            mine = at if size == PROFILE else at[own == size]
+            place, table = (np.arange(len(self.size)), self.coarse) if size == PROFILE else self.fine[size]
+            for a in range(0, len(mine), 4096):
+                m = mine[a : a + 4096]
+                shared = np.minimum(table[place[x[m]]], table[place[y[m]]]).sum(axis=1)
+                good[m] = 100 * shared >= percent * (nx[m] + ny[m] - shared)
+            at = at[good[at]]
+        return good
 
 
 def with_profiles(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -190,8 +224,9 @@ def with_profiles(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
         def step(b: pa.RecordBatch) -> pa.Table:
             if not b.num_rows:
                 return pa.table(b.columns[:4], names=["a", "b", "na", "nb"])
-            x, y = (np.stack([profile_counts(v) for v in b.column(i).to_pylist()]) for i in (4, 5))
-            good = within_bounds(b.column(2).to_numpy(), b.column(3).to_numpy(), x, y, percent)
+            at = np.arange(b.num_rows)
+            both = Profiles(b.column(4).to_pylist() + b.column(5).to_pylist())
+            good = both.within(at, at + b.num_rows, b.column(2).to_numpy(), b.column(3).to_numpy(), percent)
             return pa.table(b.columns[:4], names=["a", "b", "na", "nb"]).filter(pa.array(good))
 
         return step
@@ -214,7 +249,7 @@ def unsettled(members: DataFrame, percent: int) -> DataFrame:
 
     def settle(t: pa.Table) -> Iterator[pa.RecordBatch]:
         s, i, j, own, node, n, m, c, away = (t.column(k).to_numpy() for k in ("s", "i", "j", "own", "node", "n", "m", "c", "away"))
-        counts = np.stack([profile_counts(v) for v in t.column("profile").to_pylist()])
+        profiles = Profiles(t.column("profile").to_pylist())
         left = np.arange(len(s))
         step = 0
         while len(left):  # all rows with the row 1, 2, 3, ... places further on, as long as group and size allow
@@ -225,7 +260,7 @@ def unsettled(members: DataFrame, percent: int) -> DataFrame:
             left, right = left[same], right[same]
             good = (c[left] != c[right]) & ~(np.abs(away[left] - away[right]) > near) & ((i[left] == j[left]) | (own[left] != own[right]))
             x, y = left[good], right[good]
-            ok = within_bounds(n[x], n[y], counts[x], counts[y], percent)
+            ok = profiles.within(x, y, n[x], n[y], percent)
             x, y = x[ok], y[ok]
             if len(x):
                 swap = node[x] > node[y]
@@ -328,6 +363,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     rest = rest.withColumn("ba", F.pmod(F.xxhash64("a"), "blocks")).withColumn("bb", F.pmod(F.xxhash64("b"), "blocks")).drop("blocks")
     more = overlaps(rest, sets_of(docs, rest, classes, key, text, words), ["s", "ba", "bb"]).where(linked).select("a", "b", "both", "na", "nb")
     links = stored(links.select("a", "b", "both", "na", "nb").unionByName(more))
+    for t in (regions, stars, found, d, rest):
+        unstore(t)
     comp = link_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     named = classes.select("cls", "rep", "node").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
     least = named.join(named.groupBy("c").agg(F.min("rep").alias("first")), "c").select("cls", "first")
