@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from matchgrid.llm import jaccard_join, language_id, packing, secret_scan, suffix_dedup
 from matchgrid.llm.common import read_table, stored
 from matchgrid.llm.queries import END_ID, PIECES, WORDS
+from matchgrid.session import small_side
 
 #: A text whose best language is less sure than this is rejected, and so is a text without a letter.
 SURE = 0.5
 #: Near-duplicates share this many percent of their rows of so many words (op6 has its own, stricter test).
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: Bytes of a repeated string: passages of 50 words are longer than this, though not all have op8's 400.
+REPEATED = 256
 
 
 def _like(docs: DataFrame, changed: DataFrame) -> DataFrame:
@@ -44,14 +47,17 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     d = docs.withColumn("__row", F.struct("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest")))
     named = d.where("doc_id is not null")
     groups = jaccard_join.join(named.select("__row", "text"), "__row", words=NEAR_WORDS, percent=NEAR_PERCENT)[0]
-    gone = groups.where("__row <> component_id").select("__row").distinct()
-    named = named.join(gone, "__row", "left_anti").dropDuplicates(["__row"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = stored(groups.groupBy("__row").agg(F.max(F.col("__row") != F.col("component_id")).alias("gone"), F.count("*").alias("copies")))
+    # Only rows that stand more than once are compared as rows; the others need no shuffle of their texts.
+    gone, twice = (stored(rows.where(c).select("__row")) for c in ("gone", "not gone and copies > 1"))
+    once = named.join(small_side(gone.unionByName(twice)), "__row", "left_anti")
+    again = named.join(small_side(twice), "__row", "left_semi").dropDuplicates(["__row"])
+    return once.unionByName(again).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings that occur more than once in the corpus."""
-    return _like(docs, suffix_dedup.without_repeats(docs))
+    return _like(docs, suffix_dedup.without_repeats(docs, length=REPEATED))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
