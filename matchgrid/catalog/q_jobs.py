@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from matchgrid.catalog.q_joins import scored_detections
+from matchgrid.catalog.q_joins import LINK, scored_detections
 from matchgrid.catalog.q_maintain import CANON, canonical_rows
 from matchgrid.catalog.q_metrics import person_boxes
 from matchgrid.catalog.q_sampling import node_pool
@@ -12,7 +12,7 @@ from matchgrid.catalog.registry import query
 from matchgrid.functions.labels import bucket_flags
 from matchgrid.operators import graph, snapshots, trackers, windows
 from matchgrid.plans import evaluate, jobs
-from matchgrid.session import ensure_checkpoint_dir
+from matchgrid.session import cut_lineage, ensure_checkpoint_dir
 from matchgrid.sources import writers
 from matchgrid.streaming import streams
 
@@ -245,12 +245,48 @@ def _(t):
     return jobs.mine_round(p, budget=300)
 
 
-@query("c11_linking_report", """
-WITH t AS (SELECT game_id AS clip, track_id, min(frame_index) AS s, max(frame_index) AS e, count(*) AS n FROM detection WHERE track_id IS NOT NULL GROUP BY ALL)
-SELECT clip, count(*) AS tracklets, sum(n)::BIGINT AS boxes, max(e - s + 1)::BIGINT AS longest FROM t GROUP BY clip""")
+LINKING = f"""
+{LINK}, v AS (SELECT track_id, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM crop),
+side AS (SELECT track_id, pos, avg(x) AS x FROM v GROUP BY ALL),
+near AS (SELECT a, b, round(sum(p.x * q.x) / sqrt(sum(p.x * p.x) * sum(q.x * q.x)), 4) AS similarity FROM lk JOIN side p ON p.track_id = a JOIN side q ON q.track_id = b AND q.pos = p.pos GROUP BY a, b),
+sc AS (SELECT lk.*, similarity, CASE WHEN similarity IS NULL THEN 'ask' WHEN similarity >= 0.80 THEN 'merge' WHEN similarity < 0.55 THEN 'reject' ELSE 'ask' END AS decision,
+  coalesce(abs(similarity - 0.675), 0) AS uncertainty FROM lk LEFT JOIN near USING (a, b))"""
+
+
+def linked(t):
+    """Scored links and the identities that merging leaves."""
+    from matchgrid.operators import linking
+
+    links = cut_lineage(linking.scored_links(t.tracklet, t.crop))
+    return links, linking.merged_identities(t.tracklet, links.where("decision = 'merge'"))
+
+
+@query("c11_tracklet_links", f"""
+WITH {LINKING} SELECT clip, a, b, gap, round(distance, 6) AS distance, similarity, decision, row_number() OVER (PARTITION BY clip, decision
+  ORDER BY CASE decision WHEN 'ask' THEN round(uncertainty, 6) WHEN 'merge' THEN -similarity ELSE similarity END, a, b) AS place FROM sc""")
 def _(t):
-    d = t.detection.where("track_id IS NOT NULL").groupBy(F.col("game_id").alias("clip"), "track_id").agg(F.min("frame_index").alias("s"), F.max("frame_index").alias("e"), F.count("*").alias("n"))
-    return d.groupBy("clip").agg(F.count("*").alias("tracklets"), F.sum("n").alias("boxes"), F.max(F.col("e") - F.col("s") + 1).cast("long").alias("longest"))
+    from matchgrid.operators import linking
+
+    d = linking.scored_links(t.tracklet, t.crop)
+    return d.select("clip", "a", "b", "gap", F.round("distance", 6).alias("distance"), "similarity", "decision", "place")
+
+
+@query("c11_identities")
+def _(t):
+    """Every tracklet with its identity and the identity's number of tracklets and frames."""
+    members = linked(t)[1]
+    size = members.groupBy("clip", "identity").agg(F.count("*").alias("tracklets"), F.sum(F.col("end_frame") - F.col("start_frame") + 1).alias("frames"))
+    return members.join(size, ["clip", "identity"]).select("clip", "track_id", "identity", "tracklets", "frames")
+
+
+@query("c11_linking_report")
+def _(t):
+    """Every link with its decision, its place in the list, the identities of its ends and what is left to do."""
+    from matchgrid.operators import linking
+
+    links, members = linked(t)
+    d = linking.linking_report(links, members)
+    return d.select("clip", "a", "b", "similarity", "decision", "place", "identity_a", "identity_b", "outcome")
 
 
 @query("a34_teacher_person_match")

@@ -250,11 +250,11 @@ def _(t):
 
 
 SPANS = """
-sp AS (SELECT DISTINCT concat('g', user_id % 25) AS game_id, CAST(user_id * 11 % 500 AS BIGINT) AS lo, CAST(user_id * 11 % 500 + 3 AS BIGINT) AS hi FROM events WHERE event_type = 'error' AND user_id % 4 = 0)"""
+sp AS (SELECT DISTINCT concat('g', user_id % 25) AS game_id, CAST(user_id * 11 % 500 AS BIGINT) AS lo, CAST(user_id * 11 % 500 + 3 AS BIGINT) AS hi FROM events WHERE event_type = 'error')"""
 
 
 def spans(t):
-    e = t.events.where("event_type = 'error' AND user_id % 4 = 0")
+    e = t.events.where("event_type = 'error'")
     lo = F.col("user_id") * 11 % 500
     return e.select(F.concat(F.lit("g"), F.col("user_id") % 25).alias("game_id"), lo.alias("lo"), (lo + 3).alias("hi")).distinct()
 
@@ -394,7 +394,7 @@ def _(t):
 
 
 @query("j22_near_training_frames", """
-WITH tr AS (SELECT DISTINCT clip, frame_index FROM item WHERE split = 'train' AND tier = 1 AND frame_index % 13 = 0)
+WITH tr AS (SELECT DISTINCT clip, frame_index FROM item WHERE split = 'train' AND tier = 1)
 SELECT i.item_id, EXISTS (SELECT 1 FROM tr WHERE tr.clip = i.clip AND abs(tr.frame_index - i.frame_index) <= 5) AS near_training FROM item i""")
 def _(t):
     tr = t.item.where("split = 'train' AND tier = 1")

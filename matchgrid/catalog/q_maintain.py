@@ -242,7 +242,7 @@ def _(t):
 WINDOW_EX = """
 fr AS (SELECT concat(game_id, '_f', (frame_index // 25) * 25) AS window_id, frame_index FROM frame),
 ex AS (SELECT DISTINCT concat(game_id, '_f', (frame_index // 25) * 25) AS window_id, frame_index,
-   CASE WHEN confidence < 0.05 THEN 'no_ball' WHEN confidence < 0.12 THEN 'wrong_ball' ELSE 'players' END AS kind FROM detection WHERE confidence < 0.15 AND frame_index % 3 = 0),
+   CASE WHEN confidence < 0.05 THEN 'no_ball' WHEN confidence < 0.12 THEN 'wrong_ball' ELSE 'players' END AS kind FROM detection WHERE confidence < 0.15),
 e1 AS (SELECT window_id, frame_index, bool_or(kind = 'no_ball') AS nb, bool_or(kind = 'wrong_ball') AS wb, bool_or(kind = 'players') AS pl FROM ex GROUP BY ALL),
 d AS (SELECT fr.*, coalesce(nb, false) AS nb, coalesce(wb, false) AS wb, coalesce(pl, false) AS pl FROM fr LEFT JOIN e1 USING (window_id, frame_index)),
 st AS (SELECT window_id, count(*) AS n, count_if(nb OR wb OR pl)::BIGINT AS n_exceptions FROM d GROUP BY ALL),

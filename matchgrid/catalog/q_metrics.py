@@ -217,8 +217,8 @@ def _(t):
 
 
 @query("a25_decision_boundary", """
-WITH v AS (SELECT value / 50 AS c, verdict FROM (SELECT *, (line_no % 50)::DOUBLE AS value FROM verdict_log) WHERE verdict IN ('ball', 'corrected', 'not_ball') AND (verdict <> 'not_ball' OR line_no % 50 < 25)),
-b AS (SELECT least(floor(c * 10 + 1e-9), 9) AS band, count(*) AS n, count_if(verdict <> 'not_ball') / count(*) AS p FROM v WHERE NOT (verdict <> 'not_ball' AND c < 0.3) GROUP BY 1 HAVING count(*) >= 5),
+WITH v AS (SELECT value / 50 AS c, verdict FROM (SELECT *, (line_no % 50)::DOUBLE AS value FROM verdict_log) WHERE verdict IN ('ball', 'corrected', 'not_ball')),
+b AS (SELECT least(floor(c * 10 + 1e-9), 9) AS band, count(*) AS n, count_if(verdict <> 'not_ball') / count(*) AS p FROM v GROUP BY 1 HAVING count(*) >= 5),
 k AS (SELECT *, band / 10 + 0.05 AS x, lag(band / 10 + 0.05) OVER (ORDER BY band) AS px, lag(p) OVER (ORDER BY band) AS pp FROM b)
 SELECT round(coalesce((SELECT arg_min(px + (0.5 - pp) * (x - px) / (p - pp), band) FROM k WHERE pp < 0.5 AND p >= 0.5), 0.25), 6) AS tau""")
 def _(t):
@@ -303,7 +303,7 @@ def _(t):
 
 
 @query("a31_review_tier", """
-WITH r AS (SELECT DISTINCT concat('g', user_id % 25) AS game_id, CAST(user_id % 40 * 10 AS INT) AS lo FROM events WHERE event_type = 'purchase' AND user_id % 4 = 0)
+WITH r AS (SELECT DISTINCT concat('g', user_id % 25) AS game_id, CAST(user_id % 40 * 10 AS INT) AS lo FROM events WHERE event_type = 'purchase')
 SELECT f.game_id, f.frame_index, CAST(CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.game_id = f.game_id AND f.frame_index BETWEEN lo AND lo + 4) THEN 2 ELSE 3 END AS INT) AS tier FROM frame f""")
 def _(t):
     e = t.events.where("event_type = 'purchase'")
@@ -341,7 +341,7 @@ def _(t):
 
 
 @query("a35_machine_answers", """
-WITH r AS (SELECT match, win, frame, coalesce(dist <= 10, false) AS near, CASE WHEN o = 1 THEN 'ball' ELSE 'not_ball' END AS verdict, state FROM (SELECT *, CASE WHEN dist <= 14 OR frame % 17 = 0 THEN 1 ELSE 0 END AS o FROM panel_frame) WHERE state IN ('ball', 'no_ball') AND frame % 19 <> 0),
+WITH r AS (SELECT match, win, frame, coalesce(dist <= 10, false) AS near, CASE WHEN o = 1 THEN 'ball' ELSE 'not_ball' END AS verdict, state FROM (SELECT *, CASE WHEN dist <= 14 OR frame % 17 = 0 THEN 1 ELSE 0 END AS o FROM panel_frame) WHERE state IN ('ball', 'no_ball')),
 q AS (SELECT match, win, count(*) AS n_asked, CASE WHEN bool_or(state = 'ball') THEN 'ball' ELSE 'no_ball' END AS kind FROM panel_frame WHERE state IN ('ball', 'no_ball') GROUP BY ALL),
 g AS (SELECT match, win, count(*) AS n, bool_or(near) AS an, bool_or(verdict = 'ball') AS sb, bool_or(verdict = 'ball' AND NOT near) AS fb, bool_or(near AND verdict <> 'ball') AS mn FROM r GROUP BY ALL)
 SELECT g.match, g.win, kind, (kind <> 'ball' OR an) AS answerable, CASE WHEN kind = 'ball' THEN an AND NOT fb AND NOT mn ELSE NOT sb END AS correct FROM g JOIN q USING (match, win) WHERE n = n_asked""")

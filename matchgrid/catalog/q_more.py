@@ -54,7 +54,7 @@ def _(t):
     return t.spark.read.schema(d.schema).option("header", True).csv(f"{root}/detections")
 
 
-@query("s19_auto_accept_sink", "SELECT match, clip, frame, node_id FROM pool WHERE p_real >= 0.8 AND CAST(substr(match, 2) AS INT) % 3 = 0")
+@query("s19_auto_accept_sink", "SELECT match, clip, frame, node_id FROM pool WHERE p_real >= 0.8")
 def _(t):
     path = f"{scratch(t)}/auto"
     rows = t.pool.where(F.col("p_real") >= 0.8).select("match", "clip", "frame", "node_id")

@@ -252,6 +252,24 @@ def _(t):
     return sampling.spaced(d, "game_id", "frame_index", [("score", False), ("frame_index", True)], 25).select("game_id", "frame_index")
 
 
+@query("t10_allocation", """
+WITH RECURSIVE s AS (SELECT match, count(*) AS weight, count_if(p_real >= 0.8)::BIGINT AS room FROM pool GROUP BY match),
+r AS (SELECT 0 AS i, match, weight, room, CAST(0 AS BIGINT) AS share, CAST((SELECT floor(sum(room) * 0.9) FROM s) AS BIGINT) AS due_all FROM s
+ UNION ALL
+ SELECT i + 1, match, weight, room, share + got, CAST(due_all - sum(got) OVER () AS BIGINT) FROM (
+  SELECT *, whole + CASE WHEN takes AND row_number() OVER (ORDER BY takes DESC, floor(due) - due, match) <= due_all - sum(whole) OVER () THEN 1 ELSE 0 END AS got FROM (
+   SELECT *, is_open AND room - share > whole AS takes FROM (
+    SELECT *, CASE WHEN is_open THEN least(CAST(floor(due) AS BIGINT), room - share) ELSE 0 END AS whole FROM (
+     SELECT *, CASE WHEN is_open THEN due_all * CAST(weight AS DOUBLE) / sum(CASE WHEN is_open THEN CAST(weight AS DOUBLE) END) OVER () END AS due, bool_or(is_open) OVER () AS going FROM (
+      SELECT *, due_all > 0 AND weight > 0 AND share < room AS is_open FROM r)) WHERE going))))
+SELECT match, weight, room, share FROM r QUALIFY i = max(i) OVER ()""")
+def _(t):
+    """Nine tenths of the strong nodes of all matches, shared out by the number of nodes, none above a match's own."""
+    s = t.pool.groupBy("match").agg(F.count("*").alias("weight"), F.count_if(F.col("p_real") >= 0.8).alias("room"))
+    total = F.floor(F.sum("room").over(Window.partitionBy()) * 0.9)  # one row per match
+    return sampling.allocate(s.withColumn("total", total), F.col("total"), "match", "weight", "room").drop("total")
+
+
 @query("t06_round_robin", """
 SELECT game_id, frame_index, detection_id FROM (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY confidence DESC, frame_index, detection_id) AS turn FROM detection WHERE confidence IS NOT NULL) ORDER BY turn, game_id LIMIT 120""")
 def _(t):

@@ -115,6 +115,13 @@ SELECT concat('clip', o_custkey % 50) AS clip, o_orderkey AS track_id, CAST(o_or
 FROM orders
 """
 
+# Crops of a tracklet's player: three vectors each, shared by tracklets that start alike; some tracklets have none.
+VIEWS["crop"] = """
+SELECT o_orderkey AS track_id, vec_id, embedding
+FROM orders JOIN embeddings ON vec_id >= o_orderkey % 4000 % 4 AND vec_id < o_orderkey % 4000 % 4 + 3
+WHERE o_custkey % 7 <> 0
+"""
+
 # The pool keys its nodes by (match, clip, frame, node_id); source scores are kept as two columns.
 VIEWS["pool"] = """
 SELECT game_id AS match, concat(game_id, '_seg', lpad(CAST(CAST(floor(frame_index / 50) AS BIGINT) AS STRING), 3, '0')) AS clip,
