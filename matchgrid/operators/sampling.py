@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from matchgrid.functions import ids
 from matchgrid.functions.labels import bin_centre, sampling_weight
 from matchgrid.operators.scan import ordered_scan
 from matchgrid.operators.windows import top_k
-from matchgrid.session import small_side
+from matchgrid.session import cut_lineage, small_side
 
 
 def triage_order(links: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -68,25 +70,32 @@ def page_mix(focused: DataFrame, uniform: DataFrame, order: str, page: int, grou
     return both.orderBy("slot").limit(page)
 
 
-def allocate(total: int, weights: dict, capacity: dict) -> dict:
-    """Whole shares of ``total`` in proportion to the weights, none above its capacity.
+def allocate(strata: DataFrame, total: Column, key: str, weight: str, room: str, groups: Sequence[str] = ()) -> DataFrame:
+    """``strata`` with ``share``: whole parts of ``total`` (one value per group) in proportion to the weights, none above its
+    room.
 
-    A key whose part exceeds its capacity is full, which raises the part of the others; keys are settled in the order in
-    which they fill up. The others round down, and the largest remainders get one more. One entry per stratum.
+    A round gives every stratum with room the whole part of its due, as far as it has room; what is left over goes in ones
+    to the largest remainders that still have room (ties by key). What full strata could not take is due anew in the next
+    round. One row per stratum: the rounds run over a small table, and each but the last fills a stratum.
     """
-    share = dict.fromkeys(weights, 0)
-    filling = sorted((k for k in weights if weights[k] > 0 and capacity.get(k, 0) > 0), key=lambda k: (capacity[k] / weights[k], str(k)))
-    left, mass = min(int(total), sum(capacity[k] for k in filling)), sum(weights[k] for k in filling)
-    while filling and left * weights[filling[0]] >= capacity[filling[0]] * mass:
-        k = filling.pop(0)
-        share[k] = capacity[k]
-        left, mass = left - capacity[k], mass - weights[k]
-    part = {k: left * weights[k] / mass for k in filling}
-    share |= {k: int(p) for k, p in part.items()}
-    spare = left - sum(int(p) for p in part.values())
-    for k in sorted(part, key=lambda k: (int(part[k]) - part[k], str(k)))[:spare]:
-        share[k] += 1
-    return share
+    g, keep = list(groups), strata.columns
+    w = Window.partitionBy(*g)
+    d = strata.withColumns({"share": F.lit(0).cast("long"), "__left": total.cast("long")})
+    while True:
+        room_left = F.col(room) - F.col("share")
+        d = d.withColumn("__open", (F.col("__left") > 0) & (F.coalesce(F.col(weight), F.lit(0)) > 0) & (F.coalesce(room_left, F.lit(0)) > 0))
+        if d.where("__open").isEmpty():
+            return d.select(*keep, "share")
+        mass = F.sum(F.when(F.col("__open"), F.col(weight).cast("double"))).over(w)
+        d = d.withColumn("__due", F.when(F.col("__open"), F.col("__left") * F.col(weight).cast("double") / mass))
+        d = d.withColumn("__whole", F.when(F.col("__open"), F.least(F.floor("__due"), room_left)).otherwise(0).cast("long"))
+        d = d.withColumn("__spare", F.col("__left") - F.sum("__whole").over(w))
+        takes = F.col("__open") & (room_left > F.col("__whole"))
+        order = Window.partitionBy(*g).orderBy(takes.desc(), (F.floor("__due") - F.col("__due")), F.col(key).cast("string"))
+        one = F.when(takes & (F.row_number().over(order) <= F.col("__spare")), 1).otherwise(0)
+        d = d.withColumn("__got", F.col("__whole") + one)
+        d = d.withColumn("__left", F.col("__left") - F.sum("__got").over(w)).withColumn("share", F.col("share") + F.col("__got"))
+        d = cut_lineage(d.select(*keep, "share", "__left"))
 
 
 def probability_sample(units: DataFrame, stratum: str, unit: Sequence[str], node: Sequence[str], n_per_stratum: dict, seed: int = 0) -> DataFrame:
@@ -109,42 +118,68 @@ def probability_sample(units: DataFrame, stratum: str, unit: Sequence[str], node
     return d.withColumn("pi", n / F.col("frame_units") / F.col("m")).select(stratum, *unit, "__n.*", "m", "frame_units", "pi", "draw")
 
 
-class _Spacing:
-    """Keeps the accepted positions of one clip; a row is taken when no accepted one is closer than the gap."""
-
-    def __init__(self, key, gap, frame, out):
-        import bisect
-
-        self.bisect, self.gap, self.frame, self.out, self.taken = bisect, gap, frame, out, []
-
-    def step(self, row):
-        f = getattr(row, self.frame)
-        i = self.bisect.bisect_left(self.taken, f)
-        near = [self.taken[j] for j in (i - 1, i) if 0 <= j < len(self.taken)]
-        if any(abs(f - g) < self.gap for g in near):
-            return ()
-        self.taken.insert(i, f)
-        return (tuple(getattr(row, c) for c in self.out),)
-
-    def close(self):
-        return ()
-
-
-def spaced(rows: DataFrame, clip: str, frame: str, order: Sequence[tuple[str, bool]], gap: int, top: int | None = None) -> DataFrame:
+#: Gaps in one stretch of the time line.
+STRETCH = 64
+
+
+def _settled(pdf: pd.DataFrame, frame: str, by: list[str], up: list[bool], home: int) -> pd.DataFrame:
+    """What a stretch can settle by itself: an undecided row that comes before all undecided rows within its gap is taken,
+    one within the gap of a taken row is dropped, until nothing changes. Rows beyond the stretch are only looked at."""
+    d = pdf.sort_values(by, ascending=up, kind="stable").reset_index(drop=True)
+    d["__rank"] = np.arange(len(d))
+    d = d.sort_values(frame, kind="stable").reset_index(drop=True)
+    at, gap, rank = d[frame].to_numpy(), d["__reach"].to_numpy(), d["__rank"].to_numpy()
+    state, own = d["__state"].to_numpy().copy(), (d["__home"] == home).to_numpy()
+    low, high = np.searchsorted(at, at - gap, side="right"), np.searchsorted(at, at + gap, side="left")
+    changed = True
+    while changed:
+        changed = False
+        for i in np.flatnonzero((state == 0) & own):
+            near = state[low[i] : high[i]]
+            if (near == 1).any():
+                state[i], changed = -1, True
+            elif not ((near == 0) & (rank[low[i] : high[i]] < rank[i])).any():
+                state[i], changed = 1, True
+    d["__state"] = state
+    return d[own & (state >= 0)].drop(columns="__rank")
+
+
+def spaced(rows: DataFrame, clip: str | Sequence[str], frame: str, order: Sequence[tuple[str, bool]], gap: int | Column, top: int | None = None) -> DataFrame:
     """Best rows first, skipping any closer than ``gap`` frames to one already taken in the clip.
 
-    Rows of one frame are first reduced to the best one, which cannot change the result. A clip is one ordered pass
-    that keeps only the taken frame numbers.
+    Rows of one frame are first reduced to the best one, which cannot change the result. Taking the best row first is the
+    same as taking, at once, every row that comes before all undecided rows within its gap: the time line is cut in
+    stretches of ``STRETCH`` gaps, each settles what it can with the rows of a gap on either side, and rounds go on until
+    the chains across its ends are settled too. So a long clip is spread over many tasks and no pass runs over all of it.
+    ``gap`` may be a column that is constant in a clip; frames are whole numbers.
     """
-    cols = rows.columns
-    by = [F.col(c).asc() if asc else F.col(c).desc() for c, asc in order]
-    rest = [c for c in cols if c not in (clip, frame)]
-    rank = F.struct(*[F.col(c) if asc else -F.col(c) for c, asc in order])
-    best = rows.groupBy(clip, frame).agg(F.min_by(F.struct(*rest), rank).alias("__r")).select(clip, frame, "__r.*").select(*cols)
-    types = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in cols)
-    out = ordered_scan(best, [clip], by, lambda key: _Spacing(key, gap, frame, cols), schema)
-    return out.orderBy(*by).limit(top) if top else out
+    cols, keys = rows.columns, [clip] if isinstance(clip, str) else list(clip)
+    by, up = [c for c, _ in order], [a for _, a in order]
+    if frame not in by:
+        by, up = [*by, frame], [*up, True]
+    rank = F.struct(*[F.col(c) if asc else -F.col(c) for c, asc in zip(by, up, strict=True)])
+    rest = [c for c in cols if c not in (*keys, frame)]
+    best = rows.groupBy(*keys, frame).agg(F.min_by(F.struct(*rest), rank).alias("__r")).select(*keys, frame, "__r.*").select(*cols)
+    wide = F.lit(gap) if isinstance(gap, int) else gap
+    best = cut_lineage(best.withColumn("__reach", wide.cast("long")))
+    size = F.greatest(F.col("__reach"), F.lit(1)) * STRETCH
+    at = F.floor(F.col(frame) / size)
+    d = best.select(*keys, *[c for c in dict.fromkeys([frame, *by])], "__reach").withColumn("__home", at).withColumn("__state", F.lit(0))
+    names, schema, last = d.columns, d.schema, len(keys)
+
+    def settle(part: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return _settled(pdf, frame, by, up, part[last])[names]
+
+    while True:
+        seen = F.array_distinct(F.array("__home", F.floor((F.col(frame) - F.col("__reach")) / size), F.floor((F.col(frame) + F.col("__reach")) / size)))
+        parts = d.withColumn("__part", F.explode(seen)).groupBy(*keys, "__part")
+        d = cut_lineage(parts.applyInPandas(settle, schema))
+        if d.where("__state = 0").isEmpty():
+            break
+    out = best.drop("__reach").join(d.select(*keys, frame), [*keys, frame], "left_semi")
+    if not top:
+        return out
+    return out.orderBy(*[F.col(c).asc() if a else F.col(c).desc() for c, a in zip(by, up, strict=True)]).limit(top)
 
 
 def evenly_spread(place: Column, n: int, total: int) -> Column:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchgrid.functions.boxes import is_ball
 from matchgrid.functions.labels import GT_PREFIX, LABELLED_STATES, provenance_tier
 from matchgrid.operators import sampling
 from matchgrid.operators.aggs import frame_state_pivot
-from matchgrid.operators.scan import ordered_scan
+from matchgrid.session import cut_lineage
 
 FRAME = ["game_id", "frame_index"]
 
@@ -48,59 +49,61 @@ def export_decisions(canonical: DataFrame, states: DataFrame, groups: Sequence[s
     return d.withColumn("decision", why.otherwise("export"))
 
 
-class _Round:
-    """Picks of one match: buckets in order, best rank first, at most ``per_clip`` cards per clip, spaced in time."""
-
-    def __init__(self, key, targets, cap, per_clip, gap_s):
-        self.key, self.left, self.cap, self.per_clip, self.gap_s = key, dict(targets), cap, per_clip, gap_s
-        self.clip_n, self.times, self.spill = {}, {}, 0
-        self.done_bucket = None
-
-    def step(self, row):
-        b = row.bucket
-        if b != self.done_bucket:
-            # What an earlier bucket could not fill goes to the random bucket, which comes last.
-            if b == "R":
-                self.left["R"] += sum(v for k, v in self.left.items() if k != "R")
-            self.done_bucket = b
-        if self.left.get(b, 0) <= 0 or self.cap <= 0:
-            return ()
-        t = row.frame / row.fps
-        if b != "A" and self.clip_n.get(row.clip, 0) >= self.per_clip:
-            return ()
-        if any(abs(t - s) <= self.gap_s for s in self.times.get(row.clip, ())):
-            return ()
-        self.left[b] -= 1
-        self.cap -= 1
-        self.times.setdefault(row.clip, []).append(t)
-        if b != "A":
-            self.clip_n[row.clip] = self.clip_n.get(row.clip, 0) + 1
-        return ((*self.key, row.clip, row.frame, row.node_id, b, float(row.rank)),)
-
-    def close(self):
-        return ()
+def round_targets(matches: DataFrame, budget: int, per_match_cap: float) -> DataFrame:
+    """``match, cap, U, M, N, A, R``: cards that each bucket may take in a match. The budget is shared out over the buckets,
+    each bucket's part over the matches; ``matches`` has one row per match."""
+    n = matches.count()
+    cap = max(1, math.ceil(per_match_cap * budget), math.ceil(budget / n)) if n else 1
+    spark = matches.sparkSession
+    quotas = spark.createDataFrame([(b, q, budget) for b, q in QUOTAS.items() if b != "G"], "bucket string, quota double, room long")
+    goal = sampling.allocate(quotas, F.lit(budget), "bucket", "quota", "room").select("bucket", F.col("share").alias("goal"))
+    d = matches.select("match", F.explode(F.array(*map(F.lit, "UMNAR"))).alias("bucket")).join(F.broadcast(goal), "bucket")  # five goals
+    d = d.withColumn("weight", F.lit(1.0)).withColumn("room", F.lit(cap))
+    d = sampling.allocate(d, F.col("goal"), "match", "weight", "room", ["bucket"])
+    return d.groupBy("match").pivot("bucket", list("UMNAR")).agg(F.first("share")).withColumn("cap", F.lit(cap))
 
 
 def mine_round(pool: DataFrame, budget: int = 300, seed: int = 0, per_match_cap: float = 0.15, per_clip: int = 3, gap_s: float = 3.0) -> DataFrame:
-    """Cards of one round.
+    """Cards of one round: buckets in order, best rank first, at most ``per_clip`` cards of a clip (the audit bucket ``A``
+    aside), no two of a clip within ``gap_s`` seconds, quotas per match and bucket; the random bucket comes last and takes
+    what the others left.
 
-    Each match is one ordered pass over all its nodes, bucket by bucket and best rank first. The shares per match and
-    bucket follow the largest remainder; matches are few, so the driver holds them.
+    Within a bucket, spacing and the clip's cap only look at the clip, and the quota keeps the first cards in rank order;
+    so the clips are settled by themselves and the quota is a rank over what they give. No match or clip is one pass.
     """
-    import math
-
-    matches = sorted(r["match"] for r in pool.select("match").distinct().collect())
-    if not matches:
-        return pool.select("match", "clip", "frame", "node_id").limit(0)
-    cap = max(1, math.ceil(per_match_cap * budget), math.ceil(budget / len(matches)))
-    quotas = {b: q for b, q in QUOTAS.items() if b != "G"}
-    goal = sampling.allocate(budget, quotas, {b: budget for b in quotas})
-    per = {b: sampling.allocate(n, {m: 1.0 for m in matches}, {m: cap for m in matches}) for b, n in goal.items()}
-    targets = {m: {b: per[b][m] for b in per} for m in matches}
     h = F.sha1(F.concat_ws(":", F.lit(str(seed)), "match", "clip", F.col("frame").cast("string"), F.col("node_id").cast("string")))
     pos = F.conv(F.substring(h, 1, 8), 16, 10).cast("double")
-    arms = [("U", F.col("u"), F.col("u_rank"), 0), ("M", F.col("m"), -F.col("m_rank"), 1), ("N", F.col("n"), -F.col("n_rank"), 2), ("A", F.col("a"), pos, 3), ("R", F.lit(True), pos, 4)]
-    picks = F.array_compact(F.array(*[F.when(ok, F.struct(F.lit(o).alias("o"), F.lit(b).alias("bucket"), r.cast("double").alias("rank"))) for b, ok, r, o in arms]))
-    d = pool.withColumn("p", F.explode(picks)).select("match", "clip", "frame", "node_id", "fps", F.col("p.o").alias("ord"), F.col("p.bucket").alias("bucket"), F.col("p.rank").alias("rank"))
-    schema = "match string, clip string, frame int, node_id long, bucket string, rank double"
-    return ordered_scan(d, ["match"], ["ord", "rank", "clip", "frame", "node_id"], lambda k: _Round(k, targets[k[0]], cap, per_clip, gap_s), schema)
+    arms = [("U", F.col("u"), F.col("u_rank")), ("M", F.col("m"), -F.col("m_rank")), ("N", F.col("n"), -F.col("n_rank")), ("A", F.col("a"), pos), ("R", F.lit(True), pos)]
+    clip = ["match", "clip"]
+    d = pool.withColumn("__gap", F.floor(F.col("fps") * gap_s).cast("long") + 1)
+    picks = F.array_compact(F.array(*[F.when(ok, F.struct(F.lit(b).alias("bucket"), r.cast("double").alias("rank"))) for b, ok, r in arms]))
+    d = cut_lineage(d.select(*clip, "frame", "node_id", "__gap", F.explode(picks).alias("p")).select(*clip, "frame", "node_id", "__gap", "p.bucket", "p.rank"))
+    limits = cut_lineage(round_targets(pool.select("match").distinct(), budget, per_match_cap))
+    order = ["rank", "clip", "frame", "node_id"]
+    taken = None
+    for b, _, _ in arms:
+        own = d.where(F.col("bucket") == b).drop("bucket")
+        quota = F.col(b)
+        if taken is not None:
+            # Places beside earlier cards are closed: equal stretches of one gap and their neighbours meet.
+            s = F.floor(F.col("frame") / F.col("__gap"))
+            near = own.withColumn("s", F.explode(F.array(s - 1, s, s + 1))).alias("o").join(
+                taken.select(*clip, F.col("frame").alias("f"), s.alias("s")).alias("t"), [*clip, "s"]).where(F.abs(F.col("frame") - F.col("f")) < F.col("__gap"))
+            own = own.join(near.select(*clip, "frame").distinct(), [*clip, "frame"], "left_anti")
+            used = taken.groupBy("match").agg(F.count("*").alias("__used"), *[F.count_if(F.col("bucket") == x).alias(f"__{x}") for x in "UMNAR"])
+            now = limits.join(used, "match", "left").na.fill(0)
+            if b == "R":  # what the others could not fill
+                quota = F.col("R") + sum((F.col(x) - F.col(f"__{x}") for x in "UMNA"), F.lit(0))
+            now = now.select("match", F.least(quota, F.col("cap") - F.col("__used")).alias("__quota"))
+        else:
+            now = limits.select("match", F.least(quota, F.col("cap")).alias("__quota"))
+        got = sampling.spaced(own, clip, "frame", [(c, True) for c in ("rank", "node_id", "frame")], F.col("__gap"))
+        if b != "A":
+            have = taken.where("bucket <> 'A'").groupBy(*clip).agg(F.count("*").alias("__n")) if taken is not None else None
+            got = got.withColumn("__place", F.row_number().over(Window.partitionBy(*clip).orderBy("rank", "frame", "node_id")))
+            got = got.join(have, clip, "left") if have is not None else got.withColumn("__n", F.lit(0))
+            got = got.where(F.col("__place") + F.coalesce("__n", F.lit(0)) <= per_clip).drop("__place", "__n")
+        got = got.withColumn("__turn", F.row_number().over(Window.partitionBy("match").orderBy(*order))).join(now, "match").where("__turn <= __quota")
+        got = got.select(*clip, "frame", "node_id", "__gap", F.lit(b).alias("bucket"), "rank")
+        taken = cut_lineage(got if taken is None else taken.unionByName(got))
+    return taken.drop("__gap")
