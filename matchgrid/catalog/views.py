@@ -118,7 +118,8 @@ FROM orders
 # Crops of a tracklet's player: three vectors each, shared by tracklets that start alike; some tracklets have none.
 VIEWS["crop"] = """
 SELECT o_orderkey AS track_id, vec_id, embedding
-FROM orders JOIN embeddings ON vec_id >= o_orderkey % 4000 % 4 AND vec_id < o_orderkey % 4000 % 4 + 3
+FROM (SELECT orders.*, 0 AS k FROM orders UNION ALL SELECT orders.*, 1 AS k FROM orders UNION ALL SELECT orders.*, 2 AS k FROM orders) o
+JOIN embeddings ON vec_id = o_orderkey % 4000 % 4 + k
 WHERE o_custkey % 7 <> 0
 """
 
@@ -236,14 +237,14 @@ def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _inline(sql: str, sf_dir: str) -> str:
-    """Replace table and view names after FROM by files and nested queries."""
+    """Replace table and view names after FROM and JOIN by files and nested queries."""
 
     def sub(m: re.Match) -> str:
-        word = m.group(1)
+        lead, word = m.groups()
         if word in BASE_TABLES:
-            return f"FROM parquet.`{sf_dir}/{word}.parquet` AS {word}"
+            return f"{lead} parquet.`{sf_dir}/{word}.parquet` AS {word}"
         if word in VIEWS:
-            return f"FROM ({_inline(VIEWS[word], sf_dir)}) AS {word}"
+            return f"{lead} ({_inline(VIEWS[word], sf_dir)}) AS {word}"
         return m.group(0)
 
-    return re.sub(r"FROM\s+([a-z_]+)\b", sub, sql)
+    return re.sub(r"(FROM|JOIN)\s+([a-z_]+)\b", sub, sql)
