@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -48,6 +50,15 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return a worker's free memory to the machine at the end of a task, as the worker lives on through later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there in glibc only
+    if trim:
+        trim(0)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
     """``mapInArrow`` with a function made once per task, applied batch by batch: it gives a table or several
     (Spark bounds a batch in rows and bytes)."""
@@ -58,6 +69,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str) -> Dat
             out = step(b)
             for part in [out] if isinstance(out, pa.Table | pa.RecordBatch) else out:
                 yield from part.to_batches() if isinstance(part, pa.Table) else [part]
+        del step
+        give_back()
 
     bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
