@@ -413,7 +413,13 @@ def _(t):
     return d.select("clip", "frame_index", "detection_id", F.when(F.col("confidence") >= 0.6, "strong").otherwise("weak").alias("category"))
 
 
-@query("w16_event_groups")
+@query("w16_event_groups", """
+WITH RECURSIVE c AS (SELECT clip, frame_index AS frame, detection_id AS cand, x, y FROM ball_candidate),
+p AS (SELECT a.clip, a.frame, a.cand, min(b.frame::BIGINT * 1000000 + b.cand) AS up FROM c a JOIN c b ON b.clip = a.clip AND b.frame BETWEEN a.frame - 3 AND a.frame
+ AND (b.frame < a.frame OR b.cand < a.cand) AND abs(a.x - b.x) < 0.03 AND abs(a.y - b.y) < 0.03 GROUP BY ALL),
+n AS (SELECT c.clip, c.frame, c.cand, c.frame::BIGINT * 1000000 + c.cand AS me, p.up FROM c LEFT JOIN p USING (clip, frame, cand)),
+r AS (SELECT clip, frame, cand, me, me AS root FROM n WHERE up IS NULL UNION ALL SELECT n.clip, n.frame, n.cand, n.me, r.root FROM n JOIN r ON n.clip = r.clip AND n.up = r.me)
+SELECT clip, frame, cand, concat(clip, ':', dense_rank() OVER (PARTITION BY clip ORDER BY root) - 1) AS event FROM r""")
 def _(t):
     """Event of each candidate: close in place, at most three frames apart."""
     c = t.ball_candidate.select("clip", F.col("frame_index").alias("frame"), F.col("detection_id").alias("cand"), "x", "y")

@@ -37,6 +37,23 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node", keys: Seq
             return lab
 
 
+def roots(links: DataFrame, keys: Sequence[str], node: str, parent: str) -> DataFrame:
+    """The topmost ancestor of every node that has a parent, by pointer jumping.
+
+    ``links`` has one row per such node and no cycle. A round replaces each parent by its own parent, so paths halve; the
+    looked-up side has one row per node, and each round is stored.
+    """
+    k = list(keys)
+    at = cut_lineage(links.select(*k, node, parent))
+    while True:
+        up = at.select(*k, F.col(node).alias(parent), F.col(parent).alias("__up"))
+        moved = at.join(up, [*k, parent], "left").select(*k, node, F.coalesce("__up", parent).alias(parent), F.col("__up").isNotNull().alias("__moved"))
+        moved = cut_lineage(moved)
+        at = moved.drop("__moved")
+        if moved.where("__moved").isEmpty():
+            return at
+
+
 def identity_clusters(labels: DataFrame, clip: str = "clip") -> DataFrame:
     """Cluster of every labelled tracklet (SAME is transitive) with compact ids in key order.
 

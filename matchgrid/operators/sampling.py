@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from matchgrid.functions import ids
 from matchgrid.functions.labels import bin_centre, sampling_weight
-from matchgrid.operators.scan import ordered_scan
 from matchgrid.operators.windows import top_k
 from matchgrid.session import cut_lineage, small_side
 
@@ -273,38 +272,36 @@ def diverse_representatives(pool: DataFrame, features: Sequence[str], rank: Sequ
     return top_k(m.transform(d).drop("__f"), ["cluster"], rank, 1)
 
 
-class _Events:
-    """Open events of one clip in frame order; an event closes when its last frame is too old."""
-
-    def __init__(self, key, gap, dist, out):
-        self.gap, self.dist, self.out, self.open, self.next = gap, dist, out, [], 0
-
-    def step(self, row):
-        f, x, y = row.frame, row.x, row.y
-        self.open = [e for e in self.open if f - e[0] <= self.gap]
-        gid = next((e[3] for e in self.open if abs(x - e[1]) < self.dist and abs(y - e[2]) < self.dist), None)
-        if gid is None:
-            gid, self.next = self.next, self.next + 1
-        self.open.append((f, x, y, gid))
-        return ((*(getattr(row, c) for c in self.out), gid),)
-
-    def close(self):
-        return ()
-
-
 def event_groups(cands: DataFrame, clip: str, span_frames: int = 3, dist: float = 0.03) -> DataFrame:
-    """Event number of each candidate (columns ``frame, x, y, cand``): close in place and at most three frames apart.
+    """Event of each candidate, ``clip:n`` with n from 0 in order of the events' first candidates.
 
-    A clip is cut where no candidate exists for more than ``span_frames`` frames: no event can cross such a hole, so
-    the parts are independent and a long clip is spread over many tasks.
+    Columns ``frame, x, y, cand``; ``cand`` is unique in its frame. A candidate belongs to the event of the earliest one
+    before it (by frame, then ``cand``) that is at most ``span_frames`` frames away and nearer than ``dist`` in x and in y;
+    without such a one, or without a place, it begins an event. So every candidate has one parent, found by a join on
+    cells of place and time, and its event is the root above it. Of candidates on exactly the same spot of a frame only the first
+    can be a parent. A long clip is spread over all tasks.
     """
-    from matchgrid.operators import ordered
-
-    frames = cands.select(clip, "frame").distinct()
-    seg = ordered.with_islands(frames, [clip], ["frame"], lambda r, p: r["frame"] - p["frame"] > span_frames, ["frame"], "part")
-    d = cands.join(seg, [clip, "frame"])
-    out = [clip, "part", "frame", "cand"]
-    types = dict(d.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in out) + ", event long"
-    r = ordered_scan(d.select(clip, "part", "frame", "cand", "x", "y"), [clip, "part"], ["frame", "cand"], lambda k: _Events(k, span_frames, dist, out), schema)
-    return r.withColumn("event", F.concat_ws(":", clip, "part", "event"))
+    from matchgrid.operators.graph import roots
+    from matchgrid.operators.ordered import Running, along
+
+    def cells(name: str, lo: Column, hi: Column, width: float) -> Column:
+        return F.explode(F.sequence(F.floor(lo / width).cast("long"), F.floor(hi / width).cast("long"))).alias(name)
+
+    # Cells are twice as wide as the reach, so a candidate looks into one or two of them on each axis.
+    wide = 2 * dist
+    firsts = cands.groupBy(clip, "frame", "x", "y").agg(F.min("cand").alias("cand"))
+    firsts = firsts.select(clip, F.struct("frame", "cand").alias("parent"), F.col("x").alias("px"), F.col("y").alias("py"),
+                           F.floor(F.col("frame") / (span_frames + 1)).cast("long").alias("ct"),
+                           *[F.floor(F.col(v) / wide).cast("long").alias(f"c{v}") for v in "xy"])
+    seek = cands.select(clip, F.struct("frame", "cand").alias("node"), "x", "y", cells("ct", F.col("frame") - span_frames, F.col("frame"), span_frames + 1))
+    for v in "xy":
+        seek = seek.select("*", cells(f"c{v}", F.col(v) - dist, F.col(v) + dist, wide))
+    near = (F.abs(F.col("x") - F.col("px")) < dist) & (F.abs(F.col("y") - F.col("py")) < dist)
+    before = (F.col("parent") < F.col("node")) & (F.col("node.frame") - F.col("parent.frame") <= span_frames)
+    links = seek.join(firsts, [clip, "ct", "cx", "cy"]).where(near & before).groupBy(clip, "node").agg(F.min("parent").alias("parent"))
+    d = cands.withColumn("node", F.struct("frame", "cand")).join(roots(links, [clip], "node", "parent"), [clip, "node"], "left")
+    d = d.withColumn("parent", F.coalesce("parent", "node")).select(clip, "frame", "cand", "parent")
+    begin = d.where((F.col("parent.frame") == F.col("frame")) & (F.col("parent.cand") == F.col("cand"))).select(clip, "frame", "cand")
+    begin = along(begin, [clip], ["frame", "cand"], [Running("n", F.lit(1).cast("long"), inclusive=False)])
+    begin = begin.select(clip, F.struct("frame", "cand").alias("parent"), F.concat_ws(":", clip, F.col("n").cast("string")).alias("event"))
+    return d.join(begin, [clip, "parent"]).drop("parent")
