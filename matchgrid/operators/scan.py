@@ -51,3 +51,35 @@ def ordered_scan(
 
     return placed.mapInPandas(run, schema=schema)
 
+
+class _Frames:
+    """Gathers the rows of one frame and hands them on together."""
+
+    def __init__(self, key: tuple, core):
+        self.key, self.core, self.f, self.rows = key, core, None, []
+
+    def _hand_on(self) -> list[tuple]:
+        rows, self.rows = self.rows, []
+        return [(*self.key, *r) for r in self.core.frame(self.f, rows)] if rows else []
+
+    def step(self, row):
+        n = len(self.key)
+        out = self._hand_on() if row[n] != self.f else ()
+        self.f = row[n]
+        self.rows.append(row[n + 1 :])
+        return out
+
+    def close(self):
+        out = self._hand_on()
+        end = getattr(self.core, "end", None)
+        return out + [(*self.key, *r) for r in end()] if end else out
+
+
+def frame_scan(df: DataFrame, keys: Sequence[str], frame: str, cols: Sequence[str], make: Callable[[], object], schema: str) -> DataFrame:
+    """Ordered pass in steps of whole frames, rows of a frame in the order of their first column of ``cols``.
+
+    The object has ``frame(f, rows) -> iterable of tuples`` and, where something is left at the end, ``end()``. ``schema``
+    begins with the keys. A frame is held in memory, a key is not.
+    """
+    d = df.select(*keys, frame, *cols)
+    return ordered_scan(d, keys, [frame, cols[0]], lambda key: _Frames(key, make()), schema)

@@ -11,11 +11,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchgrid.operators import ordered, review
-from matchgrid.operators.scan import ordered_scan
+from matchgrid.operators.scan import frame_scan
 from matchgrid.session import cut_lineage
 
 # --- assignment ----------------------------------------------------------------------------------------------------
@@ -154,113 +155,77 @@ class IouTracks:
         return found
 
 
-class _TrackScan:
-    """Collects the rows of one frame, then hands them to the tracker."""
+class _TrackFrames:
+    """Rows ``(detection_id, box...)`` of a frame to rows with their track."""
 
-    def __init__(self, key: tuple, max_age: int, min_iou: float):
-        self.key, self.core, self.f, self.rows = key, IouTracks(max_age, min_iou), None, []
+    def __init__(self, max_age: int, min_iou: float):
+        self.core = IouTracks(max_age, min_iou)
 
-    def _flush(self):
-        if not self.rows:
-            return []
-        found = self.core.frame([r[1] for r in self.rows])
-        out = [(*self.key, self.f, r[0], i) for r, i in zip(self.rows, found, strict=True)]
-        self.rows = []
-        return out
-
-    def step(self, row):
-        out = self._flush() if row.frame_index != self.f else ()
-        self.f = row.frame_index
-        self.rows.append((row.detection_id, (row.bbox_x, row.bbox_y, row.bbox_w, row.bbox_h)))
-        return out
-
-    def close(self):
-        return self._flush()
+    def frame(self, f, rows):
+        found = self.core.frame([r[1:] for r in rows])
+        return [(f, r[0], i) for r, i in zip(rows, found, strict=True)]
 
 
 def iou_tracks(detection: DataFrame, max_age: int = 30, min_iou: float = 0.3, key: str = "game_id") -> DataFrame:
     """Track id of every detection, by best total overlap from frame to frame."""
-    d = detection.select(key, "frame_index", "detection_id", "bbox_x", "bbox_y", "bbox_w", "bbox_h")
     schema = f"{key} string, frame_index int, detection_id long, track_id long"
-    return ordered_scan(d, [key], ["frame_index", "detection_id"], lambda k: _TrackScan(k, max_age, min_iou), schema)
+    cols = ["detection_id", "bbox_x", "bbox_y", "bbox_w", "bbox_h"]
+    return frame_scan(detection, [key], "frame_index", cols, lambda: _TrackFrames(max_age, min_iou), schema)
 
 
 # --- single-ball tracker -------------------------------------------------------------------------------------------
 
 
-class BallState:
-    """The live ball track: gate around the predicted place, restart on a very sure candidate elsewhere."""
-
-    def __init__(self, width=1920.0, height=1080.0, start=0.6, jump=0.8, low=0.1, base=40.0, growth=25.0, max_missed=12):
-        self.w, self.h, self.start, self.jump, self.low = width, height, start, jump, low
-        self.base, self.growth, self.max_missed = base, growth, max_missed
-        self.live = None  # [id, frame, box, velocity]
-        self.next_id = 1
-
-    def frame(self, f: int, cands: list[tuple]) -> tuple | None:
-        """``cands`` are ``(x, y, w, h, conf)``; returns ``(track_id, candidate)`` or None."""
-        cands = [c for c in cands if c[4] >= self.low]
-        if self.live is not None and f - self.live[1] - 1 > self.max_missed:
-            self.live = None
-        if self.live is None:
-            return self._begin(f, self._surest(cands, self.start))
-        pick = self._gated(f, cands)
-        if pick is None:
-            return self._begin(f, self._surest(cands, self.jump))
-        tid, last, box, vel = self.live
-        gap = f - last
-        step = ((pick[0] + pick[2] / 2 - box[0] - box[2] / 2) / gap, (pick[1] + pick[3] / 2 - box[1] - box[3] / 2) / gap)
-        vel = step if vel == (0.0, 0.0) else ((vel[0] + step[0]) / 2, (vel[1] + step[1]) / 2)
-        self.live = (tid, f, pick[:4], vel)
-        return tid, pick
-
-    def _begin(self, f, c):
-        if c is None:
-            return None
-        self.live = (self.next_id, f, c[:4], (0.0, 0.0))
-        self.next_id += 1
-        return self.live[0], c
-
-    @staticmethod
-    def _surest(cands, floor):
-        ok = [c for c in cands if c[4] >= floor]
-        return max(ok, key=lambda c: c[4]) if ok else None
-
-    def _gated(self, f, cands):
-        _, last, box, vel = self.live
+# Fixed values of the single-ball tracker.
+START, JUMP, LOW, REACH, GROWTH, MAX_MISSED = 0.6, 0.8, 0.1, 40.0, 25.0, 12
+#: Reach and distances are in pixels of this picture.
+PICTURE = (1920.0, 1080.0)
+BALL_COLS = ["detection_id", "cx", "cy", "confidence", "trust", "bbox_x", "bbox_y", "bbox_w", "bbox_h"]
+
+
+def ball_columns(cands: DataFrame, start: float = START, low: float = LOW) -> DataFrame:
+    """Candidates worth a look with what the tracker needs of each: its centre in pixels and ``trust``, the part of the
+    reach within which it is believed."""
+    d = cands.where(F.col("confidence") >= low)
+    for c, v, side, scale in (("cx", "x", "w", PICTURE[0]), ("cy", "y", "h", PICTURE[1])):
+        d = d.withColumn(c, (F.col(f"bbox_{v}") + F.col(f"bbox_{side}") / 2) * scale)
+    return d.withColumn("trust", F.least(F.lit(1.0), F.col("confidence") / start))
+
+
+class BallTrack:
+    """The live ball track in frame order. ``frame(f, rows)`` takes rows of :data:`BALL_COLS`.
+
+    The running state is the seven numbers in ``now``: track id (0: none is live), frame, place and speed in pixels, and
+    the number of tracks so far.
+    """
+
+    def __init__(self, start=START, jump=JUMP, reach=REACH, growth=GROWTH, max_missed=MAX_MISSED, now=None):
+        self.start, self.jump, self.reach, self.growth, self.max_missed = start, jump, reach, growth, max_missed
+        self.now = list(now) if now else [0, 0, 0.0, 0.0, 0.0, 0.0, 0]
+
+    def frame(self, f, rows):
+        tid, last, x, y, vx, vy, n = self.now
         gap = f - last
-        px, py = box[0] + box[2] / 2 + vel[0] * gap, box[1] + box[3] / 2 + vel[1] * gap
-        radius = self.base + self.growth * gap
-        best, top = None, 0.0
-        for c in cands:
-            d = math.hypot((c[0] + c[2] / 2 - px) * self.w, (c[1] + c[3] / 2 - py) * self.h)
-            if d > radius * min(1.0, c[4] / self.start):
-                continue
-            s = c[4] * (1.0 - d / radius)
-            if best is None or s > top:
-                best, top = c, s
-        return best
-
-
-class _BallScan:
-    def __init__(self, key, params):
-        self.key, self.core, self.f, self.rows = key, BallState(**params), None, []
-
-    def _flush(self):
-        if not self.rows:
-            return []
-        got = self.core.frame(self.f, self.rows)
-        self.rows = []
-        return [(*self.key, self.f, got[0], *map(float, got[1]))] if got else []
-
-    def step(self, row):
-        out = self._flush() if row.frame_index != self.f else ()
-        self.f = row.frame_index
-        self.rows.append((row.bbox_x, row.bbox_y, row.bbox_w, row.bbox_h, row.confidence))
-        return out
-
-    def close(self):
-        return self._flush()
+        if gap > self.max_missed + 1:
+            tid = 0
+        floor, weights = self.start, None
+        if tid:
+            # A weight falls from the confidence at the predicted place to 0 at the end of the reach; below it: not believed.
+            floor, limit = self.jump, self.reach + self.growth * gap
+            away = [math.hypot(r[1] - x - vx * gap, r[2] - y - vy * gap) / limit for r in rows]
+            weights = [r[3] * (1 - a) if a <= r[4] else -1.0 for a, r in zip(away, rows, strict=True)]
+        if weights and max(weights) >= 0:
+            r = rows[weights.index(max(weights))]
+            sx, sy = (r[1] - x) / gap, (r[2] - y) / gap
+            still = vx == 0 and vy == 0
+            self.now = [tid, f, r[1], r[2], sx if still else (vx + sx) / 2, sy if still else (vy + sy) / 2, n]
+        else:
+            r = max(rows, key=lambda r: r[3])
+            if r[3] < floor:
+                self.now[0] = tid
+                return []
+            self.now = [n + 1, f, r[1], r[2], 0.0, 0.0, n + 1]
+        return [(f, self.now[0], *map(float, (*r[5:9], r[3])))]
 
 
 def ball_points(cands: DataFrame, frames: DataFrame, clip: str = "clip", span: int = ordered.SPAN, **params) -> DataFrame:
@@ -270,12 +235,12 @@ def ball_points(cands: DataFrame, frames: DataFrame, clip: str = "clip", span: i
     can live, so the parts are independent; track ids are numbered through by the sum over earlier parts.
     Gaps between two accepted points of one track are interpolated afterwards, as a DataFrame operation.
     """
-    low, missed = params.get("low", 0.1), params.get("max_missed", 12)
-    c = cands.where(F.col("confidence") >= low).select(clip, "frame_index", "detection_id", "bbox_x", "bbox_y", "bbox_w", "bbox_h", "confidence")
+    missed = params.get("max_missed", MAX_MISSED)
+    c = ball_columns(cands, params.get("start", START), params.pop("low", LOW)).select(clip, "frame_index", *BALL_COLS)
     fr = c.select(clip, "frame_index").distinct()
     part = ordered.with_islands(fr, [clip], ["frame_index"], lambda r, p: r["frame_index"] - p["frame_index"] - 1 > missed, ["frame_index"], "part", span=span)
     schema = f"{clip} string, part long, frame_index int, local_id long, x double, y double, w double, h double, confidence double"
-    pts = ordered_scan(c.join(part, [clip, "frame_index"]), [clip, "part"], ["frame_index", "detection_id"], lambda k: _BallScan(k, params), schema)
+    pts = frame_scan(c.join(part, [clip, "frame_index"]), [clip, "part"], "frame_index", BALL_COLS, lambda: BallTrack(**params), schema)
     # The pass is read several times below: store its few points once.
     pts = cut_lineage(pts)
     n = pts.groupBy(clip, "part").agg(F.max("local_id").alias("n"))
@@ -309,60 +274,52 @@ def bidirectional_ball(cands: DataFrame, frames: DataFrame, clip: str = "clip",
 # --- best path over a whole part -----------------------------------------------------------------------------------
 
 
-class _PathScan:
-    """Dynamic programme over the frames of one part: at most ``top`` nodes per frame, links up to ``max_gap`` frames."""
-
-    base, speed, move, jump, gap_cost, enter, leave = 30.0, 40.0, 3.0, 8.0, 0.3, 4.0, 0.5
-
-    def __init__(self, key, max_gap: int, w: float = 1920.0, h: float = 1080.0):
-        self.key, self.max_gap, self.w, self.h = key, max_gap, w, h
-        self.nodes = []  # (frame, detection_id, score, parent, linked)
-        self.recent = []  # (frame, [(node index, x, y, score)])
-        self.f, self.cur, self.run, self.run_at = None, [], 0.0, None
-
-    def _flush(self):
-        if not self.cur:
-            return
-        while self.recent and self.f - self.recent[0][0] > self.max_gap:
-            self.recent.pop(0)
-        layer, start, origin = [], max(self.run, 0.0) - self.enter, self.run_at if self.run > 0 else None
-        for det, x, y, emit in self.cur:
-            best, parent, linked = start, origin, False
-            for fr, prev in reversed(self.recent):
-                g = self.f - fr
-                reach = self.base + self.speed * g
-                for idx, px, py, s in prev:
-                    d = math.hypot(px - x, py - y) / reach
-                    val = s - min(self.jump, self.move * d * d) - self.gap_cost * (g - 1)
-                    if val > best:
-                        best, parent, linked = val, idx, True
-            layer.append((len(self.nodes), x, y, best + emit))
-            self.nodes.append((self.f, det, best + emit, parent, linked))
-        for idx, _x, _y, s in layer:
-            if s - self.leave > self.run:
-                self.run, self.run_at = s - self.leave, idx
-        self.recent.append((self.f, layer))
-        self.cur = []
-
-    def step(self, row):
-        if row.frame_index != self.f:
-            self._flush()
-            self.f = row.frame_index
-        self.cur.append((row.detection_id, row.cx * self.w, row.cy * self.h, row.emission))
+# Fixed values of the best path: reach and its growth per frame in pixels, cost of a move by its squared share of the reach
+# and at most, cost of a skipped frame, of a track's start and of its end.
+PATH_REACH, PATH_GROWTH, MOVE, MOST, SKIP, ENTER, LEAVE = 30.0, 40.0, 3.0, 8.0, 0.3, 4.0, 0.5
+
+
+class _PathFrames:
+    """Best scores of all ways that end in a candidate, one layer of arrays per frame; rows ``(id, x, y, emission)``.
+
+    A way may end and another may start later, so a fresh start stands on the best ended way so far. Of equal ways
+    the fresh start comes first, then the nearest layer, then the smaller id.
+    """
+
+    def __init__(self, max_gap: int):
+        self.max_gap, self.layers = max_gap, []
+        self.found, self.parent, self.linked = [], [], []
+        self.ended, self.ended_at = 0.0, -1
+
+    def frame(self, f, rows):
+        x, y, emission = (np.array([r[i] for r in rows], dtype=float) for i in (1, 2, 3))
+        self.layers = [layer for layer in self.layers if f - layer[0] <= self.max_gap]
+        gains, owners = [np.full((len(rows), 1), self.ended - ENTER)], [[self.ended_at]]
+        for at, lx, ly, score, node in self.layers:
+            gap = f - at
+            share = (np.square(x[:, None] - lx) + np.square(y[:, None] - ly)) / (PATH_REACH + PATH_GROWTH * gap) ** 2
+            gains.append(score - np.minimum(MOST, MOVE * share) - SKIP * (gap - 1))
+            owners.append(node)
+        gain, owner = np.hstack(gains), np.concatenate(owners).astype(int)
+        pick = gain.argmax(axis=1)
+        score = gain[np.arange(len(rows)), pick] + emission
+        node = np.arange(len(self.found), len(self.found) + len(rows))
+        self.found += [(f, r[0]) for r in rows]
+        self.parent += owner[pick].tolist()
+        self.linked += (pick > 0).tolist()
+        self.layers.insert(0, (f, x, y, score, node))
+        top = int(score.argmax())
+        if score[top] - LEAVE > self.ended:
+            self.ended, self.ended_at = float(score[top]) - LEAVE, int(node[top])
         return ()
 
-    def close(self):
-        self._flush()
-        chain, at = [], self.run_at
-        while at is not None:
-            chain.append(at)
-            at = self.nodes[at][3]
-        out, tid = [], 0
-        for idx in reversed(chain):
-            f, det, _s, _p, linked = self.nodes[idx]
-            tid += 0 if linked and out else 1
-            out.append((*self.key, f, det, tid))
-        return out
+    def end(self):
+        way, at = [], self.ended_at
+        while at >= 0:
+            way.append(at)
+            at = self.parent[at]
+        number = np.cumsum([not self.linked[i] for i in reversed(way)])
+        return [(*self.found[i], int(n)) for i, n in zip(reversed(way), number, strict=True)]
 
 
 def best_path(cands: DataFrame, clip: str = "clip", low: float = 0.1, top: int = 8, max_gap: int = 12, bias: float = 1.0, span: int = ordered.SPAN) -> DataFrame:
@@ -373,67 +330,75 @@ def best_path(cands: DataFrame, clip: str = "clip", low: float = 0.1, top: int =
 
     c = cands.where(F.col("confidence") >= low)
     c = top_k(c, [clip, "frame_index"], [F.desc("confidence"), F.col("detection_id")], top)
-    c = c.select(clip, "frame_index", "detection_id", (F.col("bbox_x") + F.col("bbox_w") / 2).alias("cx"), (F.col("bbox_y") + F.col("bbox_h") / 2).alias("cy"), (confidence_logodds("confidence") + bias).alias("emission"))
+    c = c.select(clip, "frame_index", "detection_id", *[((F.col(f"bbox_{v}") + F.col(f"bbox_{side}") / 2) * scale).alias(f"c{v}") for v, side, scale in (("x", "w", PICTURE[0]), ("y", "h", PICTURE[1]))], (confidence_logodds("confidence") + bias).alias("emission"))
     fr = c.select(clip, "frame_index").distinct()
     part = ordered.with_islands(fr, [clip], ["frame_index"], lambda r, p: r["frame_index"] - p["frame_index"] > max_gap, ["frame_index"], "part", span=span)
     schema = f"{clip} string, part long, frame_index int, detection_id long, track_no long"
-    return ordered_scan(c.join(part, [clip, "frame_index"]), [clip, "part"], ["frame_index", "detection_id"], lambda k: _PathScan(k, max_gap), schema)
+    return frame_scan(c.join(part, [clip, "frame_index"]), [clip, "part"], "frame_index", ["detection_id", "cx", "cy", "emission"], lambda: _PathFrames(max_gap), schema)
 
 
 # --- cluster tracks ------------------------------------------------------------------------------------------------
 
 
-class _ClusterScan:
-    """Links clusters of neighbouring frames, best overlap first, one to one, over at most ``max_gap`` frames."""
-
-    def __init__(self, key, max_gap, overlap):
-        self.key, self.max_gap, self.overlap = key, max_gap, overlap
-        self.f, self.cur, self.open, self.next = None, [], [], 0
-
-    def _flush(self):
-        if not self.cur:
-            return []
-        self.open = [t for t in self.open if self.f - t[1] <= self.max_gap]
-        pairs = []
-        for oi, (_c, o) in enumerate(self.cur):
-            for t in self.open:
-                b = t[2]
-                iw = min(o[0] + o[2], b[0] + b[2]) - max(o[0], b[0])
-                ih = min(o[1] + o[3], b[1] + b[3]) - max(o[1], b[1])
-                small = min(o[2] * o[3], b[2] * b[3])
-                ov = max(iw, 0.0) * max(ih, 0.0) / small if small > 0 else 0.0
-                if ov >= self.overlap:
-                    pairs.append((-ov, t[0], oi))
-        got, used = {}, set()
-        for _ov, tid, oi in sorted(pairs):
-            if tid not in used and oi not in got:
-                got[oi] = tid
-                used.add(tid)
-        keep = {t[0]: t for t in self.open}
-        out = []
-        for oi, (comp, o) in enumerate(self.cur):
-            tid = got.get(oi)
-            if tid is None:
-                tid, self.next = self.next, self.next + 1
-            keep[tid] = (tid, self.f, o)
-            out.append((*self.key, self.f, comp, tid))
-        self.open, self.cur = list(keep.values()), []
-        return out
-
-    def step(self, row):
-        out = self._flush() if row.frame_index != self.f else ()
-        self.f = row.frame_index
-        self.cur.append((row.component, (row.x, row.y, row.w, row.h)))
-        return out
-
-    def close(self):
-        return self._flush()
+class _Followed:
+    """Tracks as arrays; each frame links rows ``(id, numbers...)`` to them one to one, cheapest pair first.
+
+    ``cost(tracks, rows, gaps)`` gives a matrix with infinity where no link may be. Of equal costs the older track comes first,
+    or the smaller row where ``row_first``. A track is open for ``memory`` frames, counted to this frame or, where
+    ``lagged``, to the frame before it that had rows.
+    """
+
+    def __init__(self, cost, width: int, memory: int, first: int, row_first: bool = False, lagged: bool = False):
+        self.cost, self.memory, self.next, self.row_first, self.lagged = cost, memory, first, row_first, lagged
+        self.ids, self.seen, self.at, self.before = np.empty(0, int), np.empty(0, int), np.empty((0, width)), None
+
+    def frame(self, f, rows):
+        new = np.array([r[1:] for r in rows], dtype=float)
+        clock = self.before if self.lagged and self.before is not None else f
+        keep = clock - self.seen <= self.memory
+        ids, seen, at, self.before = self.ids[keep], self.seen[keep], self.at[keep], f
+        track = np.full(len(rows), -1)
+        left = self.cost(at[:, None, :], new[None, :, :], (f - seen)[:, None])
+        left = left.T if self.row_first else left
+        while left.size and np.isfinite(left.min()):
+            a, b = np.unravel_index(left.argmin(), left.shape)
+            left[a, :] = left[:, b] = np.inf
+            i, j = (b, a) if self.row_first else (a, b)
+            track[j], seen[i], at[i] = ids[i], f, new[j]
+        fresh = track < 0
+        track[fresh] = np.arange(self.next, self.next + fresh.sum())
+        self.next += int(fresh.sum())
+        self.ids, self.seen = np.append(ids, track[fresh]), np.append(seen, np.full(fresh.sum(), f))
+        self.at = np.vstack([at, new[fresh]])
+        return [(f, r[0], int(i)) for r, i in zip(rows, track, strict=True)]
+
+
+def _uncovered(least: float):
+    """Cost of two boxes: minus the part of the smaller one that the other covers, where that is at least ``least``."""
+
+    def cost(a, b, _gap):
+        sides = [np.maximum(np.minimum(a[..., i] + a[..., i + 2], b[..., i] + b[..., i + 2]) - np.maximum(a[..., i], b[..., i]), 0.0) for i in (0, 1)]
+        small = np.minimum(a[..., 2] * a[..., 3], b[..., 2] * b[..., 3])
+        part = np.divide(sides[0] * sides[1], small, out=np.zeros_like(small), where=small > 0)
+        return np.where(part >= least, -part, np.inf)
+
+    return cost
+
+
+def _apart(speed: float):
+    """Cost of two points: their distance, where ``speed`` per frame reaches it."""
+
+    def cost(a, b, gap):
+        d = np.hypot(a[..., 0] - b[..., 0], a[..., 1] - b[..., 1])
+        return np.where(d <= speed * np.maximum(gap, 1), d, np.inf)
+
+    return cost
 
 
 def cluster_tracks(clusters: DataFrame, key: str, max_gap: int = 5, overlap: float = 0.5) -> DataFrame:
     """Track id of every person cluster (``component`` and union box ``x, y, w, h`` per frame)."""
     schema = f"{key} string, frame_index int, component long, cluster_track long"
-    return ordered_scan(clusters.select(key, "frame_index", "component", "x", "y", "w", "h"), [key], ["frame_index", "component"], lambda k: _ClusterScan(k, max_gap, overlap), schema)
+    return frame_scan(clusters, [key], "frame_index", ["component", "x", "y", "w", "h"], lambda: _Followed(_uncovered(overlap), 4, max_gap, 0), schema)
 
 
 def union_boxes(boxes: DataFrame, clusters: DataFrame, keys: list[str], det: str = "detection_id") -> DataFrame:
@@ -448,48 +413,9 @@ def union_boxes(boxes: DataFrame, clusters: DataFrame, keys: list[str], det: str
 TRACKERS: dict[str, Callable[..., DataFrame]] = {"online": ball_points, "bidirectional": bidirectional_ball}
 
 
-class _PointScan:
-    """Links points of neighbouring frames, nearest first, one to one, within a speed limit and ``memory`` frames."""
-
-    def __init__(self, key, speed, memory):
-        self.key, self.speed, self.memory = key, speed, memory
-        self.f, self.cur, self.open, self.next = None, [], {}, 1
-
-    def _flush(self):
-        pairs = []
-        for ci, (_det, x, y) in enumerate(self.cur):
-            for tid, (f0, ax, ay) in self.open.items():
-                d = math.hypot(x - ax, y - ay)
-                if d <= self.speed * max(self.f - f0, 1):
-                    pairs.append((d, ci, tid))
-        got, used = {}, set()
-        for _d, ci, tid in sorted(pairs):
-            if ci not in got and tid not in used:
-                got[ci] = tid
-                used.add(tid)
-        out = []
-        for ci, (det, x, y) in enumerate(self.cur):
-            tid = got.get(ci)
-            if tid is None:
-                tid, self.next = self.next, self.next + 1
-            self.open[tid] = (self.f, x, y)
-            out.append((*self.key, self.f, det, tid))
-        self.open = {t: v for t, v in self.open.items() if self.f - v[0] <= self.memory}
-        self.cur = []
-        return out
-
-    def step(self, row):
-        out = self._flush() if self.cur and row.frame_index != self.f else ()
-        self.f = row.frame_index
-        self.cur.append((row.detection_id, row.px, row.py))
-        return out
-
-    def close(self):
-        return self._flush() if self.cur else []
-
-
 def window_tracklets(cands: DataFrame, clip: str, window: str, speed_px: float = 60.0, memory: int = 30, width: float = 1920.0, height: float = 1080.0) -> DataFrame:
     """Tracklet number of each candidate inside its review window; a window is one independent pass."""
     d = cands.select(clip, window, "frame_index", "detection_id", (F.col("x") * width).alias("px"), (F.col("y") * height).alias("py"))
     schema = f"{clip} string, {window} long, frame_index int, detection_id long, tracklet long"
-    return ordered_scan(d, [clip, window], ["frame_index", "detection_id"], lambda k: _PointScan(k, speed_px * height / 1080, memory), schema)
+    cost = _apart(speed_px * height / 1080)
+    return frame_scan(d, [clip, window], "frame_index", ["detection_id", "px", "py"], lambda: _Followed(cost, 2, memory, 1, row_first=True, lagged=True), schema)

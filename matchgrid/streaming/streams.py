@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from matchgrid.operators.trackers import BallState, IouTracks
+from matchgrid.operators.trackers import BALL_COLS, LOW, START, BallTrack, IouTracks, ball_columns
 from matchgrid.session import ensure_checkpoint_dir
 
 
@@ -114,20 +114,16 @@ def ball_tracks(cands: DataFrame, key: str = "clip", **params) -> DataFrame:
     """Streaming form of the single-ball tracker: emits the accepted candidate of each frame. Gaps are closed downstream."""
 
     def fn(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
-        core = BallState(**params)
-        if state.exists:
-            live, core.next_id = json.loads(state.get[0])
-            core.live = None if live is None else (live[0], live[1], tuple(live[2]), tuple(live[3]))
+        core = BallTrack(**params, now=json.loads(state.get[0]) if state.exists else None)
         rows = pd.concat(list(batches)).sort_values(["frame_index", "detection_id"])
         out = []
         for f, g in rows.groupby("frame_index", sort=True):
-            got = core.frame(int(f), [tuple(map(float, r)) for r in g[["bbox_x", "bbox_y", "bbox_w", "bbox_h", "confidence"]].itertuples(index=False, name=None)])
-            if got:
-                out.append((k[0], int(f), got[0], *got[1]))
-        state.update((json.dumps([core.live, core.next_id]),))
+            out += [(k[0], *r) for r in core.frame(int(f), list(g[BALL_COLS].itertuples(index=False, name=None)))]
+        state.update((json.dumps(core.now),))
         yield pd.DataFrame(out, columns=["clip", "frame_index", "track_id", "x", "y", "w", "h", "confidence"])
 
-    return _stateful(cands, key, fn, "clip string, frame_index int, track_id long, x double, y double, w double, h double, confidence double")
+    d = ball_columns(cands, params.get("start", START), params.pop("low", LOW)).select(key, "frame_index", *BALL_COLS)
+    return _stateful(d, key, fn, "clip string, frame_index int, track_id long, x double, y double, w double, h double, confidence double")
 
 
 def mask_segments(frames: DataFrame, key: str, merge_gap: int, min_len: int) -> DataFrame:
