@@ -105,11 +105,7 @@ def _(t):
 @query("x11_stream_idempotent_upsert", """
 SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
 def _(t):
-    from matchgrid.operators.logs import latest_per_key
-
-    # Appended batches overwrite themselves on a repeat; the read resolves the latest row per key.
-    d = streams.run_to_table(event_stream(t).select("user_id", "event_id", "ts"))
-    return latest_per_key(d, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id")
+    return streams.upsert_stream(event_stream(t).select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id")
 
 
 @query("x12_stream_one_card_per_window", """
@@ -130,14 +126,14 @@ def _(t):
 
 
 @query("x13_stream_mask_segments", """
-WITH f AS (SELECT CAST(user_id AS STRING) AS clip, CAST(event_id AS INT) AS frame, value > 20 AS is_on FROM events), m AS (SELECT clip, max(frame) AS last FROM f GROUP BY clip),
+WITH f AS (SELECT CAST(user_id AS STRING) AS clip, CAST(event_id AS INT) AS frame, value > 20 AS is_on FROM events),
 o AS (SELECT clip, frame, frame - lag(frame) OVER (PARTITION BY clip ORDER BY frame) - 1 AS hole FROM f WHERE is_on),
 s AS (SELECT *, sum(CASE WHEN hole IS NULL OR hole > 100 THEN 1 ELSE 0 END) OVER (PARTITION BY clip ORDER BY frame) AS seg FROM o),
 g AS (SELECT clip, min(frame) AS s, max(frame) AS e FROM s GROUP BY clip, seg HAVING max(frame) - min(frame) + 1 >= 20)
-SELECT g.clip, s AS "start", e AS "end" FROM g JOIN m USING (clip) WHERE m.last - e > 100""")
+SELECT clip, s AS "start", e AS "end" FROM g""")
 def _(t):
     s = event_stream(t).select(F.col("user_id").cast("string").alias("clip"), F.col("event_id").cast("int").alias("frame"), (F.col("value") > 20).alias("is_on"))
-    return streams.run_to_table(streams.mask_segments(s, "clip", 100, 20))
+    return streams.segments_of(s, "clip", 100, 20)
 
 
 DET_COLS = "game_id string, source string, run_id string, frame_index int, detection_id long, label string, bbox_x double"

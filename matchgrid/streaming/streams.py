@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from matchgrid.operators.logs import latest_per_key
 from matchgrid.operators.trackers import BALL_COLS, LOW, START, BallTrack, IouTracks, ball_columns
 from matchgrid.session import ensure_checkpoint_dir
 
@@ -65,9 +66,24 @@ def one_per_window(cards: DataFrame, keys: Sequence[str], ts: str, width: str, d
     return d.dropDuplicates([*keys, "win"])
 
 
-def upsert_stream(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
-    """Idempotent ``foreachBatch`` upsert: ``write`` must replace what it wrote for the same batch id."""
-    return stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+def upsert_stream(stream: DataFrame, keys: Sequence[str], order: Sequence[str], folder: str | None = None, live: str | None = None) -> DataFrame:
+    """Run a stream over everything available as an upsert: the row with the largest ``order`` stays for each key.
+
+    A batch is reduced to one row per key and replaces what was written under its batch id, so a batch that is repeated
+    after a failure changes nothing, and late rows never win. Where ``live`` is named, a row with a null in it takes the
+    key back. A later run with the same folder goes on where the last one ended.
+    """
+    spark = stream.sparkSession
+    base = folder or f"{ensure_checkpoint_dir(spark)}/upsert-{uuid.uuid4().hex}"
+
+    def sink(df: DataFrame, batch: int) -> None:
+        latest_per_key(df, keys, order).write.mode("overwrite").parquet(f"{base}/rows/batch={batch}")
+
+    q = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
+    q.awaitTermination()
+    log = spark.read.schema(stream.schema).option("basePath", f"{base}/rows").parquet(f"{base}/rows").select(*stream.columns)
+    d = latest_per_key(log, keys, order).select(*stream.columns)
+    return d.where(F.col(live).isNotNull()) if live else d
 
 
 def _stateful(df: DataFrame, key: str, fn, schema: str) -> DataFrame:
@@ -126,24 +142,44 @@ def ball_tracks(cands: DataFrame, key: str = "clip", **params) -> DataFrame:
     return _stateful(d, key, fn, "clip string, frame_index int, track_id long, x double, y double, w double, h double, confidence double")
 
 
+def _united(spans: list[list[int]], reach: int) -> list[list[int]]:
+    """Spans in order, those with at most ``reach`` frames between them made one."""
+    out: list[list[int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo - out[-1][1] - 1 <= reach:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return out
+
+
 def mask_segments(frames: DataFrame, key: str, merge_gap: int, min_len: int) -> DataFrame:
-    """Closed broadcast segments of an on/off stream. A segment is emitted once the off-gap is longer than ``merge_gap``;
-    the open one stays in the state. Columns ``frame, is_on``."""
+    """Changes of the broadcast segments of an on/off stream (columns ``frame, is_on``), for :func:`upsert_stream` with the keys
+    ``key, start``, order ``version`` and live column ``end``.
+
+    On-frames with at most ``merge_gap`` frames between them make a segment; those shorter than ``min_len`` are not shown.
+    The open segment is shown with its end so far. A late frame may lengthen or unite segments: a start that is gone
+    comes as a row with a null end. The state is the segments of a clip, not its frames; a null ``is_on`` is off.
+    """
 
     def fn(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
-        seg = json.loads(state.get[0]) if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("frame")
-        out = []
-        for f, on in zip(rows["frame"], rows["is_on"], strict=True):
-            f = int(f)
-            if seg and f - seg[1] - 1 >= merge_gap and not (on and f - seg[1] - 1 <= merge_gap):
-                if f - seg[1] > merge_gap:
-                    if seg[1] - seg[0] + 1 >= min_len:
-                        out.append((k[0], seg[0], seg[1]))
-                    seg = None
-            if on:
-                seg = [f, f] if seg is None else [seg[0], f]
-        state.update((json.dumps(seg),))
-        yield pd.DataFrame(out, columns=["clip", "start", "end"])
-
-    return _stateful(frames, key, fn, "clip string, start int, end int")
+        version, old = json.loads(state.get[0]) if state.exists else (0, [])
+        spans = old
+        for rows in batches:
+            spans = _united([*spans, *([f, f] for f in rows["frame"].tolist())], merge_gap)
+        shown, now = ({lo: hi for lo, hi in part if hi - lo + 1 >= min_len} for part in (old, spans))
+        out = [(k[0], lo, hi, version) for lo, hi in now.items() if shown.get(lo) != hi]
+        out += [(k[0], lo, None, version) for lo in shown if lo not in now]
+        state.update((json.dumps([version + 1, spans]),))
+        yield pd.DataFrame(out, columns=["key", "start", "end", "version"]).astype({"end": "Int32"})
+
+    kind = frames.schema[key].dataType.simpleString()
+    schema = f"key {kind}, start int, end int, version long"
+    on = frames.where("is_on AND frame IS NOT NULL").select(key, "frame")
+    return _stateful(on, key, fn, schema).withColumnRenamed("key", key)
+
+
+def segments_of(frames: DataFrame, key: str, merge_gap: int, min_len: int, folder: str | None = None) -> DataFrame:
+    """Segments of everything an on/off stream holds now, the open ones with their end so far."""
+    changes = mask_segments(frames, key, merge_gap, min_len)
+    return upsert_stream(changes, [key, "start"], ["version"], folder, live="end").drop("version")

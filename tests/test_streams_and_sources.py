@@ -73,14 +73,53 @@ def test_best_path_prefers_the_smooth_ball(spark):
     assert sorted((r["frame_index"], r["detection_id"], r["track_no"]) for r in got) == [(f, 0, 1) for f in range(30)]
 
 
-def test_mask_stream_closes_segments(spark):
-    rows = [("c", i, i % 20 < 8) for i in range(100)]
-    df = spark.createDataFrame(rows, "clip string, frame int, is_on boolean")
-    folder = tmp()
-    df.coalesce(1).write.mode("append").parquet(folder)
-    s = spark.readStream.schema(df.schema).parquet(folder)
-    got = {(r["start"], r["end"]) for r in streams.run_to_table(streams.mask_segments(s, "clip", 3, 4)).collect()}
-    assert got == {(0, 7), (20, 27), (40, 47), (60, 67), (80, 87)}
+def on_frames(rows, merge_gap, min_len):
+    out = []
+    for clip in sorted({r[0] for r in rows}):
+        spans = []
+        for f in sorted(r[1] for r in rows if r[0] == clip and r[2]):
+            if spans and f - spans[-1][1] - 1 <= merge_gap:
+                spans[-1][1] = f
+            else:
+                spans.append([f, f])
+        out += [(clip, lo, hi) for lo, hi in spans if hi - lo + 1 >= min_len]
+    return out
+
+
+def test_mask_stream_gives_open_segments_in_any_batches(spark):
+    rnd = random.Random(4)
+    rows = [(c, i, i % 20 < 8 or rnd.random() < 0.1) for c in ("c", "d") for i in range(100)] + [("e", 1, None), ("c", 30, True), ("d", 5, True)]
+    want = on_frames(rows, 3, 4)
+    assert any(hi >= 97 for _, _, hi in want) or len(want) > 2
+    for parts in (1, 4):
+        folder, kept = tmp(), tmp()
+        cut = rows[:]
+        rnd.shuffle(cut)  # in four batches most frames are late
+        got = None
+        for i in range(parts):
+            part = spark.createDataFrame(cut[i::parts], "clip string, frame int, is_on boolean")
+            part.coalesce(1).write.mode("append").parquet(folder)
+            s = spark.readStream.schema(part.schema).parquet(folder)
+            got = streams.segments_of(s, "clip", 3, 4, kept)
+        assert sorted((r["clip"], r["start"], r["end"]) for r in got.collect()) == want
+
+
+def test_upsert_is_the_same_for_one_and_several_batches_and_repeats(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.randrange(7), rnd.randrange(40), i) for i in range(200)]
+    best = {}
+    for k, ts, i in rows:
+        best[k] = max(best.get(k, (-1, -1)), (ts, i))
+    schema = "k int, ts int, id int"
+    for parts in (1, 5):
+        folder, kept = tmp(), tmp()
+        for i in range(parts):
+            spark.createDataFrame(rows[i::parts], schema).coalesce(1).write.mode("append").parquet(folder)
+        s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        got = streams.upsert_stream(s, ["k"], ["ts", "id"], kept)
+        assert {r["k"]: (r["ts"], r["id"]) for r in got.collect()} == best
+        # Everything has been read: running it again changes nothing.
+        assert streams.upsert_stream(s, ["k"], ["ts", "id"], kept).count() == len(best)
 
 
 def put(folder, name, text):
