@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from matchgrid.catalog.q_store import WON
 from matchgrid.catalog.registry import query
 from matchgrid.functions import ids
 from matchgrid.functions.boxes import PLAYER_LABELS, is_ball
@@ -335,11 +336,7 @@ def _(t):
     return sets.union_ids([t.game, t.detection, t.verdict_log], "game_id")
 
 
-CANON = """
-cn AS (SELECT d.* FROM detection d JOIN (SELECT game_id, frame_index, run_group FROM (SELECT game_id, frame_index, CASE WHEN starts_with(run_id, 'gt_import_') THEN 'gt_import:' || game_id ELSE run_id END AS run_group,
-  rank() OVER (PARTITION BY game_id, frame_index ORDER BY bool_or(source = 'hand_label') DESC, bool_or(starts_with(run_id, 'gt_import_')) DESC, max(run_id) DESC) AS rnk
-  FROM detection GROUP BY game_id, frame_index, CASE WHEN starts_with(run_id, 'gt_import_') THEN 'gt_import:' || game_id ELSE run_id END) WHERE rnk = 1) k
-  ON d.game_id = k.game_id AND d.frame_index = k.frame_index AND CASE WHEN starts_with(d.run_id, 'gt_import_') THEN 'gt_import:' || d.game_id ELSE d.run_id END = k.run_group)"""
+CANON = WON + ", cn AS (SELECT * FROM marked WHERE canonical)"
 
 
 def canonical_rows(t):
