@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from matchgrid.catalog.q_joins import LINK, scored_detections
+from matchgrid.catalog.q_joins import LINK
 from matchgrid.catalog.q_maintain import CANON, canonical_rows
 from matchgrid.catalog.q_metrics import person_boxes
 from matchgrid.catalog.q_sampling import node_pool
@@ -285,8 +285,42 @@ def _(t):
     return d.select("clip", "a", "b", "similarity", "decision", "place", "identity_a", "identity_b", "outcome")
 
 
-@query("a34_teacher_person_match")
+def _overlap(a: str, b: str) -> str:
+    """SQL of the IoU of two boxes."""
+    side = lambda v, s: f"greatest(0, least({a}.bbox_{v} + {a}.bbox_{s}, {b}.bbox_{v} + {b}.bbox_{s}) - greatest({a}.bbox_{v}, {b}.bbox_{v}))"
+    both = f"({side('x', 'w')} * {side('y', 'h')})"
+    return f"{both} / ({a}.bbox_w * {a}.bbox_h + {b}.bbox_w * {b}.bbox_h - {both})"
+
+
+RATES = ", ".join(
+    f"sum(hit) FILTER (WHERE side = '{side}'{where}) / sum(1) FILTER (WHERE side = '{side}'{where}) AS person_{side}_{name}"
+    for side in ("recall", "precision") for name, where in [*((b, f" AND bucket = '{b}'") for b in ("isolated", "touching", "overlapping")), ("all", "")])
+
+
+@query("a34_teacher_score", f"""
+WITH fr AS (SELECT game_id, frame_index, width, height, bool_or(cls_group = 'ball') AS ball, bool_or(cls_group = 'player') AS person
+  FROM frame_label_state JOIN frame USING (game_id, frame_index) WHERE method IN ('hand_series', 'hand_frame', 'verdict') GROUP BY ALL),
+d AS (SELECT *, CASE WHEN source = 'hand_label' THEN 'recall' ELSE 'precision' END AS side FROM detection WHERE source IN ('hand_label', 'yolo') AND label IN ('in_play_ball', 'player')),
+ball AS (SELECT game_id, frame_index, side, arg_min({{'x': bbox_x + bbox_w / 2, 'y': bbox_y + bbox_h / 2}}, (-coalesce(confidence, 1), detection_id)) AS at_ FROM d WHERE label = 'in_play_ball' GROUP BY ALL),
+b AS (SELECT fr.*, g.at_ AS g, p.at_ AS p, sqrt((g.at_.x - p.at_.x) * width * ((g.at_.x - p.at_.x) * width) + (g.at_.y - p.at_.y) * height * ((g.at_.y - p.at_.y) * height)) AS away
+  FROM fr LEFT JOIN ball g ON g.game_id = fr.game_id AND g.frame_index = fr.frame_index AND g.side = 'recall' LEFT JOIN ball p ON p.game_id = fr.game_id AND p.frame_index = fr.frame_index AND p.side = 'precision' WHERE ball),
+balls AS (SELECT game_id, count(*) AS n_ball_frames, count_if(away <= 10) / nullif(count(g), 0) AS ball_recall_10px, count_if(away <= 25) / nullif(count(g), 0) AS ball_recall_25px,
+  count_if(away <= 10) / nullif(count(p), 0) AS ball_precision_10px, count_if(away <= 25) / nullif(count(p), 0) AS ball_precision_25px FROM b GROUP BY ALL),
+per AS (SELECT d.* FROM d SEMI JOIN (SELECT * FROM fr WHERE person) fr USING (game_id, frame_index) WHERE label = 'player'),
+pr AS (SELECT a.game_id, a.frame_index, list([{{'g': a.detection_id, 'p': b.detection_id}}] ORDER BY {_overlap('a', 'b')} DESC, a.detection_id, b.detection_id) AS l
+  FROM per a JOIN per b USING (game_id, frame_index) WHERE a.side = 'recall' AND b.side = 'precision' AND {_overlap('a', 'b')} >= 0.5 GROUP BY ALL),
+met AS (SELECT game_id, frame_index, unnest(list_reduce(l, lambda acc, e: CASE WHEN len(list_filter(acc, lambda q: q.g = e[1].g OR q.p = e[1].p)) > 0 THEN acc ELSE list_concat(acc, e) END)) AS m FROM pr),
+hit AS (SELECT game_id, frame_index, unnest([m.g, m.p]) AS detection_id FROM met),
+most AS (SELECT a.game_id, a.frame_index, a.detection_id, max({_overlap('a', 'b')}) AS most FROM per a JOIN per b USING (game_id, frame_index, side) WHERE a.detection_id <> b.detection_id GROUP BY ALL),
+t AS (SELECT game_id, side, CASE WHEN coalesce(most, 0) < 0.1 THEN 'isolated' WHEN most < 0.3 THEN 'touching' ELSE 'overlapping' END AS bucket,
+  CAST((game_id, frame_index, detection_id) IN (SELECT (game_id, frame_index, detection_id) FROM hit) AS INT) AS hit FROM per LEFT JOIN most USING (game_id, frame_index, detection_id)),
+persons AS (SELECT * FROM (SELECT game_id, count(*) AS n_player_frames FROM fr WHERE person GROUP BY ALL) LEFT JOIN (SELECT game_id, {RATES} FROM t GROUP BY ALL) USING (game_id))
+SELECT * REPLACE (coalesce(n_ball_frames, 0) AS n_ball_frames, coalesce(n_player_frames, 0) AS n_player_frames) FROM balls FULL JOIN persons USING (game_id)""")
 def _(t):
-    """Hits per class of the greedy person matching (pairs best overlap first)."""
-    sc, _ng = scored_detections(t)
-    return sc.groupBy("cls", "outcome").agg(F.count("*").alias("n"))
+    """Ball and persons of the machine boxes on gold frames, one row per match."""
+    gold = F.col("method").isin(*evaluate.GOLD_METHODS)
+    fr = t.frame_label_state.where(gold).groupBy("game_id", "frame_index").agg(F.bool_or(F.col("cls_group") == "ball").alias("ball"), F.bool_or(F.col("cls_group") == "player").alias("person"))
+    fr = fr.join(t.frame.select("game_id", "frame_index", "width", "height"), ["game_id", "frame_index"])
+    kind = F.when(F.col("label") == "in_play_ball", "ball").when(F.col("label") == "player", "person")
+    d = t.detection.withColumn("kind", kind)
+    return evaluate.teacher_scores(fr, d.where("source = 'hand_label'"), d.where("source = 'yolo'"), "game_id", ["game_id", "frame_index"])
