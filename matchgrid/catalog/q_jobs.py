@@ -13,7 +13,7 @@ from matchgrid.functions.labels import bucket_flags
 from matchgrid.operators import graph, snapshots, trackers, windows
 from matchgrid.plans import evaluate, jobs
 from matchgrid.session import cut_lineage, ensure_checkpoint_dir
-from matchgrid.sources import writers
+from matchgrid.sources import label_log, writers
 from matchgrid.streaming import streams
 
 
@@ -136,6 +136,45 @@ def _(t):
     return streams.segments_of(s, "clip", 100, 20)
 
 
+# The verdict log as two writers' logs of two appends each; lines of the second append with a confidence of 0.97 or more are cut in half.
+LOG_SQL = """
+half AS (SELECT max(line_no) // 2 AS half FROM verdict_log),
+ln AS (SELECT vsource AS writer, game_id, frame_index, box_index, verdict, ts, line_no, line_no > half AND confidence >= 0.97 AS torn FROM verdict_log, half),
+nu AS (SELECT *, row_number() OVER (PARTITION BY writer ORDER BY line_no) AS seq FROM ln)"""
+LOG_KEYS = ["game_id", "frame_index", "box_index"]
+
+
+def label_log_folder(t) -> str:
+    root = f"{scratch(t)}/log"
+    d = t.verdict_log.select("vsource", *LOG_KEYS, "verdict", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "line_no", "confidence")
+    half = d.agg(F.max("line_no")).first()[0] // 2
+    for writer in ("sidecar", "cand"):
+        mine = d.where(F.col("vsource") == writer).drop("vsource")
+        label_log.append(mine.where(F.col("line_no") <= half), root, writer, ["line_no"])
+        later = label_log.lines(mine.where(F.col("line_no") > half), ["line_no"], label_log.last_number(t.spark, root, writer))
+        sure = F.get_json_object("value", "$.confidence").cast("double") >= 0.97
+        label_log.append_lines(later.select(F.when(sure, F.expr("left(value, length(value) div 2)")).otherwise(F.col("value")).alias("value")), root, writer)
+    return root
+
+
+LOG_SCHEMA = "game_id string, frame_index int, box_index int, verdict string, ts long, line_no long"
+
+
+@query("s23_label_log", f"""
+WITH {LOG_SQL} SELECT game_id, frame_index, box_index, r.v AS verdict, r.w AS writer, r.l AS line_no FROM (SELECT game_id, frame_index, box_index, arg_max({{'v': verdict, 'w': writer, 'l': line_no}}, (ts, writer, line_no)) AS r FROM ln WHERE NOT torn GROUP BY ALL) WHERE r.v IS NOT NULL""")
+def _(t):
+    """Live labels of an appended log with torn lines."""
+    log = label_log.read(t.spark, label_log_folder(t), LOG_SCHEMA)
+    return label_log.live(log, LOG_KEYS, "verdict").select(*LOG_KEYS, "verdict", "writer", "line_no")
+
+
+@query("s23_log_health", f"""
+WITH {LOG_SQL} SELECT writer, count(*) AS n_lines, count_if(torn)::BIGINT AS n_torn, max(seq) FILTER (WHERE NOT torn) - count_if(NOT torn)::BIGINT AS n_missing FROM nu GROUP BY writer""")
+def _(t):
+    """Lines, torn lines and missing numbers of each writer."""
+    return label_log.health(label_log.read(t.spark, label_log_folder(t), LOG_SCHEMA))
+
+
 DET_COLS = "game_id string, source string, run_id string, frame_index int, detection_id long, label string, bbox_x double"
 
 
