@@ -483,9 +483,11 @@ SELECT run_id, CASE WHEN CAST(substr(game_id, 2) AS INT) < 4 THEN 'eval_heldout_
   round(avg(mean_px), 2) AS mean_px, round(quantile_cont(mean_px, 0.5), 3) AS median_px FROM f GROUP BY ALL""")
 def _(t):
     f = reprojected(t).groupBy("run_id", *FRAME).agg(F.avg("err_px").alias("mean_px"))
-    split = F.when(F.substring("game_id", 2, 9).cast("int") < 4, "eval_heldout_match").otherwise("train").alias("split")
-    return f.groupBy("run_id", split).agg(F.count("*").alias("frames"), F.countDistinct("game_id").alias("clips"), F.count_if(F.col("mean_px") <= 5).alias("ok5"),
-                                          F.count_if(F.col("mean_px") <= 500).alias("ok500"), F.round(F.avg("mean_px"), 2).alias("mean_px"), F.round(F.percentile("mean_px", 0.5), 3).alias("median_px"))
+    split = F.when(F.substring("game_id", 2, 9).cast("int") < 4, "eval_heldout_match").otherwise("train")
+    f = f.withColumn("split", split)
+    g = f.groupBy("run_id", "split").agg(F.count("*").alias("frames"), F.countDistinct("game_id").alias("clips"), F.count_if(F.col("mean_px") <= 5).alias("ok5"),
+                                         F.count_if(F.col("mean_px") <= 500).alias("ok500"), F.round(F.avg("mean_px"), 2).alias("mean_px"))
+    return aggs.with_quantiles(g, f, ["run_id", "split"], "mean_px", {"median_px": 0.5}).withColumn("median_px", F.round("median_px", 3))
 
 
 @query("j29_audit_failure_spread", """

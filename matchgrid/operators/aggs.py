@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchgrid.functions import boxes
 from matchgrid.functions.labels import LABELLED_STATES
+from matchgrid.session import cut_lineage
 
 FRAME = ["game_id", "frame_index"]
 GOLD_METHODS = ("hand_series", "hand_frame", "verdict")
@@ -127,13 +129,52 @@ def tracklet_summary(detection: DataFrame, keys: Sequence[str], min_frames: int
     )
 
 
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], parts: int | None = None) -> DataFrame:
+    """Exact quantiles per group, interpolated between neighbours, as columns named by ``shares``; nulls do not count.
+
+    Equal values are counted first, then ranked by range partitions of (group, value): a partition sums its own counts and
+    one row per group and partition carries them on. So neither one buffer nor one task holds a large group. Groups without
+    a value have no row.
+    """
+    keys = list(keys)
+    n_parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    # Stored: a repeated sort must not move rows to other partitions.
+    d = cut_lineage(d.repartitionByRange(n_parts, *keys, "__v").withColumn("__pid", F.spark_partition_id()))
+    part = d.groupBy(*keys, "__pid").agg(F.sum("__n").alias("__in"))
+    along = Window.partitionBy(*keys).orderBy("__pid")
+    part = part.select(*keys, "__pid", (F.sum("__in").over(along) - F.col("__in")).alias("__before"), F.sum("__in").over(Window.partitionBy(*keys)).alias("__all"))
+    inside = Window.partitionBy(*keys, "__pid").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"p.{k}")) for k in [*keys, "__pid"]]
+    d = d.withColumn("__upto", F.sum("__n").over(inside)).alias("d").join(part.alias("p"), reduce(lambda a, b: a & b, same))
+    end = F.col("__before") + F.col("__upto")
+    d = d.select(*[F.col(f"d.{k}") for k in keys], "__v", "__all", (end - F.col("__n")).alias("__from"), end.alias("__to"))
+    found = []
+    for i, share in enumerate(shares.values()):
+        at = F.lit(float(share)) * (F.col("__all") - 1)
+        for name, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            found.append(F.max(F.when((F.col("__from") <= rank) & (rank < F.col("__to")), F.col("__v"))).alias(f"__{name}{i}"))
+    g = d.groupBy(*keys).agg(F.max("__all").alias("__all"), *found)
+    for i, (out, share) in enumerate(shares.items()):
+        at = F.lit(float(share)) * (F.col("__all") - 1)
+        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        g = g.withColumn(out, F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (at - F.floor(at))))
+    return g.select(*keys, *shares)
+
+
+def with_quantiles(groups: DataFrame, df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """``groups``, one row per group, with the exact quantiles of ``df``; null keys are a group as well."""
+    q = exact_quantiles(df, keys, value, shares)
+    same = reduce(lambda a, b: a & b, [F.col(f"g.{k}").eqNullSafe(F.col(f"q.{k}")) for k in keys])
+    return groups.alias("g").join(q.alias("q"), same, "left").select("g.*", *[F.col(f"q.{c}") for c in shares])
+
+
 def run_summary(detection: DataFrame, run_keys: Sequence[str], track_keys: Sequence[str]) -> DataFrame:
     """Track length statistics of a tracker run."""
     per = detection.where("track_id IS NOT NULL").groupBy(*track_keys).agg(F.count("*").alias("n"))
-    return per.groupBy(*run_keys).agg(
+    g = per.groupBy(*run_keys).agg(
         F.count("*").alias("tracklets"),
-        F.percentile("n", 0.5).alias("median"),
-        F.percentile("n", 0.9).alias("p90"),
         F.count_if(F.col("n") >= 25).alias("ge25"),
         F.round(F.avg(F.when(F.col("n") == 1, 1.0).otherwise(0.0)), 6).alias("singleton_share"),
     )
+    return with_quantiles(g, per, run_keys, "n", {"median": 0.5, "p90": 0.9})

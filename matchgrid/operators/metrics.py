@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from matchgrid.functions import boxes, ids, stats
 from matchgrid.functions.labels import panel_outcome
 from matchgrid.functions.stats import f1, ratio
-from matchgrid.operators import ordered, windows
+from matchgrid.operators import aggs, ordered, windows
 
 OUTCOMES = ("hit", "off", "miss", "false_ball", "true_empty")
 CORRECT = ("ball", "corrected")
@@ -149,13 +149,15 @@ def repeat_spread(pairs: DataFrame, radius: float = 10.0) -> DataFrame:
     known = F.col("state_a").isNotNull() & F.col("state_b").isNotNull()
     on_air = known & (F.col("state_a") != "not_broadcast") & (F.col("state_b") != "not_broadcast")
     d = F.when(both, F.col("dist_px"))
-    return pairs.agg(
+    g = pairs.agg(
         F.count("*").alias("cards"), F.count_if(~known).alias("pending"), F.count_if(on_air & both).alias("both_ball"),
         F.count_if(on_air & (F.col("state_a") != F.col("state_b"))).alias("presence_disagree"),
         F.count_if(on_air & (F.col("state_a") == "no_ball") & (F.col("state_b") == "no_ball")).alias("both_no_ball"),
-        F.percentile(d, 0.5).alias("median_px"), F.percentile(d, 0.9).alias("p90_px"), F.max(d).alias("max_px"),
+        F.max(d).alias("max_px"),
         F.avg(F.when(d <= 5, 1.0).when(d.isNotNull(), 0.0)).alias("share_5px"),
         F.avg(F.when(d <= radius, 1.0).when(d.isNotNull(), 0.0)).alias("share_radius"))
+    one = pairs.select(F.lit(0).alias("__one"), d.alias("__px"))
+    return aggs.with_quantiles(g.withColumn("__one", F.lit(0)), one, ["__one"], "__px", {"median_px": 0.5, "p90_px": 0.9}).drop("__one")
 
 
 # --- replay of a tracker against marks -----------------------------------------------------------------------------
@@ -189,12 +191,13 @@ def clip_metrics(frames: DataFrame, clip: str, t: str, catastrophic_px: float =
     both = F.col("has_gt") & F.col("has_pred")
     ok = both & (F.col("dist") <= F.col("radius_px"))
     g = frames.groupBy(clip).agg(
-        F.count("*").alias("frames"), F.avg("iou").alias("mean_iou"), F.percentile("iou", 0.5).alias("median_iou"),
+        F.count("*").alias("frames"), F.avg("iou").alias("mean_iou"),
         (100 * F.coalesce(ratio(F.count_if(both), F.count_if("has_gt")), F.lit(0.0))).alias("recall_pct"),
         (100 * F.coalesce(ratio(F.count_if(both), F.count_if("has_pred")), F.lit(0.0))).alias("precision_pct"),
         F.count_if(F.col("has_gt") & ~F.col("has_pred")).alias("failures"),
         (100 * F.coalesce(ratio(F.count_if(ok), F.count_if(both)), F.lit(0.0))).alias("within_radius_pct"),
         (100 * F.coalesce(ratio(F.count_if(both & (F.col("dist") > catastrophic_px)), F.count_if(both)), F.lit(0.0))).alias("catastrophic_pct"))
+    g = aggs.with_quantiles(g, frames, [clip], "iou", {"median_iou": 0.5})
     streak = windows.longest_streak(frames.withColumn("__ok", F.coalesce(ok, F.lit(False))), [clip], t, "__ok", span=span)
     occ = frames.where("occlusion").select(clip, F.col(t).alias("__o"), F.explode(F.sequence(F.col(t) + 1, F.col(t) + recover)).alias(t))
     rec = occ.join(frames.where("has_pred").select(clip, t).distinct().withColumn("__h", F.lit(1)), [clip, t], "left")
