@@ -1,7 +1,7 @@
 """The signature table of the licence scan: hand-written patterns over lower-case text, in order of precedence.
 
 A licence has a label, identifiers for machine-readable tags, patterns for its full name or notice, parts of web addresses,
-and short names that count only next to a licensing word. Every rule has a keyword that must occur in a text before its
+and short names that count only next to a licensing word. Passages of licence texts follow the names. Every rule has a keyword that must occur in a text before its
 pattern is tried. Patterns use only what all common regular-expression engines read alike.
 """
 
@@ -77,10 +77,39 @@ LICENCES: list[tuple[str, list[str], list[str], list[str], list[str]]] = [
     ("proprietary", [], [f"all rights reserved[.,; ]{{0,3}}{S}?proprietary", f"proprietary{S}and{S}confidential", "this software is licensed, not sold"], [], ["a proprietary", "a commercial"]),
 ]
 
-#: Confidence by priority: tag, name or notice, address, short name next to a licensing word.
+_GNU = "as published by the free software foundation[,;]? (?:either )?version"
+#: Label and a passage of the licence's own text or of its standard notice, which need not name the licence.
+TEXTS: list[tuple[str, str]] = [
+    ("0bsd", "for any purpose with or without fee is hereby granted[.] the software is provided"),
+    ("agpl-3", f"gnu affero general public license {_GNU} 3"),
+    ("agpl-3", "the gnu affero general public license is a free, copyleft license for software"),
+    ("apache-2", "each contributor hereby grants to you a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license"),
+    ("bsd", "redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("bsd-3", "neither the name of [^.]{1,200} may be used to endorse or promote products derived from this software"),
+    ("bsd-4", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsl-1", "any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("cc-by", "bound by the terms and conditions of this creative commons attribution [1-4][.]0 international public license"),
+    ("cc-by-nc", "bound by the terms and conditions of this creative commons attribution-noncommercial [1-4][.]0 international public license"),
+    ("cc-by-sa", "bound by the terms and conditions of this creative commons attribution-sharealike [1-4][.]0 international public license"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("gpl-2", f"gnu general public license {_GNU} 2"),
+    ("gpl-2", "the licenses for most software are designed to take away your freedom to share and change it[.] by contrast, the gnu general public license"),
+    ("gpl-3", f"gnu general public license {_GNU} 3"),
+    ("gpl-3", "the gnu general public license is a free, copyleft license for software"),
+    ("isc", "permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted, provided that"),
+    ("lgpl-2", f"gnu (?:lesser|library) general public license {_GNU} 2"),
+    ("lgpl-3", f"gnu lesser general public license {_GNU} 3"),
+    ("lgpl-3", "this version of the gnu lesser general public license incorporates the terms and conditions of version 3"),
+    ("mit", "the above copyright notice and this permission notice (?:[(]including the next paragraph[)] )?shall be included in all copies or substantial portions of the software"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license, v[.] 2[.]0"),
+    ("ofl-1", "this license becomes null and void if any of the above conditions are not met"),
+    ("zlib", "altered source versions must be plainly marked as such, and must not be misrepresented as being the original software"),
+]
+
+#: Confidence by priority: tag, name or passage of the text, address, short name next to a licensing word.
 CONFIDENCE = (1.0, 0.95, 0.9, 0.7)
 #: A text without any of these words, and without ``cc`` before ``by``, has no finding: every match holds one of them.
-GATES = ("licen", "released", "distributed", "available", "spdx", "domain", "commons", "cc0", "clause", "bsd", "w3c", "proprietary", "unencumbered", ".org", ".net", ".com", ".gov", ".eu/")
+GATES = ("licen", "released", "distributed", "available", "spdx", "domain", "commons", "cc0", "clause", "bsd", "w3c", "proprietary", "unencumbered", "hereby", "redistribution", "permission", "endorse", "advertising", "misrepresented", ".org", ".net", ".com", ".gov", ".eu/")
 
 
 def _plain(text: str) -> str:
@@ -119,6 +148,7 @@ def rules() -> list[tuple[int, int, str, str, str]]:
         out += [(0, label, "spdx", rf"spdx-license-identifier:[ \t]*{_plain(t)}\b") for t in tags]
     for label, _, names, _, _ in LICENCES:
         out += [(1, label, _keyword(n), rf"\b{_breakable(n)}\b") for n in names]
+    out += [(1, label, _keyword(x), rf"\b{_breakable(x)}\b") for label, x in TEXTS]
     for label, _, _, urls, _ in LICENCES:
         out += [(2, label, u, rf"(?:https?://)?(?:www[.])?{_plain(u)}[a-z0-9/._-]*") for u in urls]
     for label, _, _, _, short in LICENCES:
