@@ -10,27 +10,64 @@ from pyspark.sql import functions as F
 from matchgrid.session import cut_lineage
 
 
+#: Pairs of the largest group that one task walks in order; larger groups are solved in rounds over all tasks.
+WALKED_PAIRS = 1_000_000
+
+
+class _Walk:
+    """Takes pairs in order, each id once. The running state is the ids taken in the current group."""
+
+    def __init__(self, key: tuple):
+        self.key, self.lefts, self.rights = key, set(), set()
+
+    def step(self, row):
+        left, right = row[-2:]
+        if left in self.lefts or right in self.rights:
+            return ()
+        self.lefts.add(left)
+        self.rights.add(right)
+        return ((*self.key, left, right),)
+
+    def close(self):
+        return ()
+
+
 def greedy_match(pairs: DataFrame, keys: Sequence[str], left: str, right: str, order: Sequence[tuple[str, bool]]) -> DataFrame:
     """Pairs ``(left, right)`` chosen best first, each id used once per group.
 
-    ``order`` is a total order as ``(column, ascending)``. A pair that is first for both of its ends is always taken, so
-    all such pairs are taken at once and their ends leave; the rest is solved the same way. Each round is a few
-    aggregations over all tasks, so the largest group is shared by the cluster.
+    ``order`` is a total order as ``(column, ascending)``. A group of at most ``WALKED_PAIRS`` pairs is one ordered pass: its
+    pairs are shuffled once. Larger groups are solved in rounds (see :func:`_in_rounds`).
     """
+    from matchgrid.operators.scan import ordered_scan
+
     keys = list(keys)
     rank = F.struct(*[(F.col(name) if asc else -F.col(name)).alias(f"o{i}") for i, (name, asc) in enumerate(order)])
-    rest = cut_lineage(pairs.select(*keys, left, right, rank.alias("__r")))
-    taken = pairs.select(*keys, left, right).limit(0)
+    pairs = cut_lineage(pairs.select(*keys, rank.alias("__r"), left, right))
+    types = dict(pairs.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in (*keys, left, right))
+    large = cut_lineage(pairs.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > WALKED_PAIRS).select(*keys))
+    if large.isEmpty():
+        return cut_lineage(ordered_scan(pairs, keys, ["__r"], _Walk, schema, sent=[*keys, left, right]))
+    walked = ordered_scan(pairs.join(large, keys, "left_anti"), keys, ["__r"], _Walk, schema, sent=[*keys, left, right])
+    return cut_lineage(walked.unionByName(_in_rounds(pairs.join(large, keys, "left_semi"), keys, left, right)))
+
+
+def _in_rounds(pairs: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
+    """The ordered walk over ``__r`` in rounds: a pair that is first for both of its ends is always taken, so all such pairs
+    are taken at once and their ends leave; the rest is solved the same way. Each round is a few aggregations over all
+    tasks, so the largest group is shared by the cluster."""
+    rest = cut_lineage(pairs)
+    taken = None
     while not rest.isEmpty():
         first_l = rest.groupBy(*keys, left).agg(F.min("__r").alias("__l"))
         first_r = rest.groupBy(*keys, right).agg(F.min("__r").alias("__q"))
         marked = rest.join(first_l, [*keys, left]).join(first_r, [*keys, right])
         marked = cut_lineage(marked.withColumn("__best", (F.col("__r") == F.col("__l")) & (F.col("__r") == F.col("__q"))).drop("__l", "__q"))
         best = marked.where("__best").select(*keys, left, right)
-        taken = taken.unionByName(best)
+        taken = best if taken is None else taken.unionByName(best)
         open_ = marked.where("NOT __best").drop("__best").join(best.select(*keys, left), [*keys, left], "left_anti")
         rest = cut_lineage(open_.join(best.select(*keys, right), [*keys, right], "left_anti"))
-    return taken
+    return pairs.select(*keys, left, right).limit(0) if taken is None else taken
 
 
 def score_detections(

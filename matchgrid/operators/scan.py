@@ -19,8 +19,9 @@ def ordered_scan(
     make: Callable[[tuple], object],
     schema: str,
     out_rows: int = 16384,
+    sent: Sequence[str] = (),
 ) -> DataFrame:
-    """Feed the rows of each key, in order, to ``make(key)``.
+    """Feed the rows of each key, in order, to ``make(key)``; of each row the columns ``sent``, where they are named.
 
     The object has ``step(row) -> iterable of tuples`` and ``close() -> iterable of tuples``; ``row`` is a
     named tuple. Output tuples follow ``schema``.
@@ -28,6 +29,7 @@ def ordered_scan(
     keys = list(keys)
     names = [part.strip().split()[0] for part in schema.split(",")]
     placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    placed = placed.select(*sent) if sent else placed
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, worker, out = None, None, []

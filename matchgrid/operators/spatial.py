@@ -59,7 +59,9 @@ def box_pairs(
     src = left if self_join else right
     n = left.groupBy(*keys).count()
     if not self_join:
-        n = n.unionByName(right.groupBy(*keys).count()).groupBy(*keys).agg(F.max("count").alias("count"))
+        # Joined, not united: only frames with both sides have pairs, and Spark 4.1.2 counts the partitions of a union of two
+        # sides that are already placed by frame differently in the two inputs of a join ("Can't zip RDDs").
+        n = n.join(right.groupBy(*keys).agg(F.count("*").alias("__m")), keys).withColumn("count", F.greatest("count", "__m"))
     n = n.select(*keys, _grid_size(F.col("count")).alias("__g"))
     lcols = list(dict.fromkeys([left_id, *left_cols]))
     rcols = list(dict.fromkeys([right_id, *right_cols]))

@@ -101,3 +101,34 @@ def test_probability_sample_has_exact_inclusion(spark):
     got = sampling.probability_sample(df, "match", ["clip", "win"], ["node"], {"m0": 6, "m1": 50}).collect()
     assert sum(r["match"] == "m0" for r in got) == 6 and sum(r["match"] == "m1" for r in got) == 30
     assert all(abs(r["pi"] - (6 if r["match"] == "m0" else 30) / 30 / r["m"]) < 1e-12 for r in got)
+
+
+def test_large_groups_in_rounds_equal_the_ordered_pass(spark, monkeypatch):
+    rnd = random.Random(6)
+    rows = [("a" if i % 3 else "b", rnd.randint(0, 30), rnd.randint(0, 30), rnd.randint(0, 9) / 10) for i in range(600)]
+    df = spark.createDataFrame(rows, "f string, l long, r long, fit double").dropDuplicates(["f", "l", "r"])
+    order = [("fit", False), ("l", True), ("r", True)]
+    want, used = set(), set()
+    for f, left, right, fit in sorted((tuple(r) for r in df.collect()), key=lambda r: (r[0], -r[3], r[1], r[2])):
+        if not used & {(f, "l", left), (f, "r", right)}:
+            used |= {(f, "l", left), (f, "r", right)}
+            want.add((f, left, right))
+    for limit in (0, 250, 1000):  # all in rounds, the larger group only, none
+        monkeypatch.setattr(matching, "WALKED_PAIRS", limit)
+        got = [tuple(r) for r in matching.greedy_match(df, ["f"], "l", "r", order).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_teacher_score_without_broadcast(spark):
+    """Both sides of the pairs come placed by frame out of larger joins."""
+    from matchgrid.catalog import load_all
+    from matchgrid.catalog.registry import QUERIES
+
+    load_all()
+    query = lambda: sorted(map(str, QUERIES["a34_teacher_score"](spark, "/root/testdata/sf0.001").collect()))
+    want = query()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert query() == want and len(want) == 25
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
