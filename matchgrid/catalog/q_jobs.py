@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from matchgrid.catalog.q_joins import LINK
 from matchgrid.catalog.q_maintain import CANON, canonical_rows
-from matchgrid.catalog.q_metrics import person_boxes
+from matchgrid.catalog.q_metrics import PICTURE, person_boxes
 from matchgrid.catalog.q_sampling import node_pool
 from matchgrid.catalog.registry import query
 from matchgrid.functions.labels import bucket_flags
@@ -55,7 +55,7 @@ def _(t):
 def _(t):
     """Person clusters followed over frames."""
     b = person_boxes(t)
-    c = graph.person_clusters(b, ["game_id", "frame_index"])
+    c = graph.person_clusters(b, ["game_id", "frame_index"], extent=PICTURE)
     return trackers.cluster_tracks(trackers.union_boxes(b, c, ["game_id", "frame_index"]), "game_id")
 
 

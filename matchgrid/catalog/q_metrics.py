@@ -274,17 +274,19 @@ si AS (SELECT ov.game_id, ov.frame_index, sum(i / (s - i)) AS s FROM ov JOIN cc
 cw AS (SELECT pf.*, CASE WHEN pairs > 0 THEN coalesce(s, 0) / pairs ELSE 0 END AS mean_iou FROM pf LEFT JOIN si USING (game_id, frame_index))"""
 
 
+PICTURE = (1920.0, 1080.0)
+
+
 def person_boxes(t):
-    """Boxes scaled to pixels over the frame width, so that the grid stays in the unit square and the aspect is real."""
+    """Boxes in pixels of :data:`PICTURE`."""
     d = t.detection.where("label <> 'in_play_ball'")
-    k = 1080.0 / 1920.0
-    return d.select("game_id", "frame_index", "detection_id", "bbox_x", (F.col("bbox_y") * k).alias("bbox_y"), "bbox_w", (F.col("bbox_h") * k).alias("bbox_h"))
+    return d.select("game_id", "frame_index", "detection_id", *[(F.col(f"bbox_{v}") * size).alias(f"bbox_{v}") for v, size in zip("xywh", PICTURE * 2, strict=True)])
 
 
 @query("a29_crowd_score", f"""
 WITH RECURSIVE {LINKED} SELECT game_id, frame_index, largest, in_crowds::BIGINT AS in_crowds, n_boxes::BIGINT AS n_boxes, round(mean_iou, 7) AS mean_iou, round(largest + 0.25 * in_crowds + mean_iou, 7) AS score FROM cw""")
 def _(t):
-    d = graph.crowd_scores(person_boxes(t), ["game_id", "frame_index"])
+    d = graph.crowd_scores(person_boxes(t), ["game_id", "frame_index"], extent=PICTURE)
     return d.select("game_id", "frame_index", "largest", "in_crowds", "n_boxes", F.round("mean_iou", 7).alias("mean_iou"), F.round("score", 7).alias("score"))
 
 

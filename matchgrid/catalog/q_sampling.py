@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from matchgrid.catalog.q_metrics import LINKED, person_boxes
+from matchgrid.catalog.q_metrics import LINKED, PICTURE, person_boxes
 from matchgrid.catalog.registry import query
 from matchgrid.functions import boxes, candidates, ids, labels, stats
 from matchgrid.functions.labels import bucket_flags, frame_risk, is_false, is_true
@@ -249,7 +249,7 @@ fd AS (SELECT game_id, CAST(0 AS BIGINT) AS k, CAST([] AS INT[]) AS taken, CAST(
   CASE WHEN len(list_filter(d.taken, lambda z: abs(z - o.frame_index) < 25)) = 0 THEN o.frame_index END FROM fd d JOIN od o ON o.game_id = d.game_id AND o.k = d.k + 1)
 SELECT game_id, f AS frame_index FROM fd WHERE f IS NOT NULL""")
 def _(t):
-    d = graph.crowd_scores(person_boxes(t), ["game_id", "frame_index"]).select("game_id", "frame_index", F.round("score", 6).alias("score"))
+    d = graph.crowd_scores(person_boxes(t), ["game_id", "frame_index"], extent=PICTURE).select("game_id", "frame_index", F.round("score", 6).alias("score"))
     return sampling.spaced(d, "game_id", "frame_index", [("score", False), ("frame_index", True)], 25).select("game_id", "frame_index")
 
 

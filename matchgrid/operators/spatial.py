@@ -20,21 +20,18 @@ def _grid_size(n: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.sqrt(n / F.lit(float(BOXES_PER_CELL))))).cast("int")
 
 
-def _with_cells(df: DataFrame, box: Sequence[str]) -> DataFrame:
-    """One row per covered grid cell of ``__g`` x ``__g`` cells over the unit square (outside is clamped)."""
+def _with_cells(df: DataFrame, box: Sequence[str], extent: tuple[float, float]) -> DataFrame:
+    """One row per covered grid cell of ``__g`` x ``__g`` cells over the picture (outside is clamped)."""
     x, y, w, h = (F.col(c) for c in box)
 
-    def cells(lo: Column, hi: Column) -> Column:
-        top = F.col("__g") - 1
-        a = F.least(F.greatest(F.floor(lo * F.col("__g")).cast("int"), F.lit(0)), top)
-        b = F.least(F.greatest(F.floor(hi * F.col("__g")).cast("int"), F.lit(0)), top)
-        return F.sequence(a, b)
+    def cells(lo: Column, hi: Column, size: float) -> Column:
+        return F.sequence(_clamped_cell(lo, size), _clamped_cell(hi, size))
 
-    return df.withColumn("__cx", F.explode(cells(x, x + w))).withColumn("__cy", F.explode(cells(y, y + h)))
+    return df.withColumn("__cx", F.explode(cells(x, x + w, extent[0]))).withColumn("__cy", F.explode(cells(y, y + h, extent[1])))
 
 
-def _clamped_cell(v: Column) -> Column:
-    return F.least(F.greatest(F.floor(v * F.col("__g")).cast("int"), F.lit(0)), F.col("__g") - 1)
+def _clamped_cell(v: Column, size: float) -> Column:
+    return F.least(F.greatest(F.floor(v / F.lit(float(size)) * F.col("__g")).cast("int"), F.lit(0)), F.col("__g") - 1)
 
 
 def box_pairs(
@@ -48,8 +45,10 @@ def box_pairs(
     right_cols: Sequence[str] = (),
     box: Sequence[str] = ("bbox_x", "bbox_y", "bbox_w", "bbox_h"),
     strict: bool = False,
+    extent: tuple[float, float] = (1.0, 1.0),
 ) -> DataFrame:
-    """Overlapping pairs of a frame with ``IoU >= min_iou`` (``>`` when ``strict``) and their ``iou``.
+    """Overlapping pairs of a frame with ``IoU >= min_iou`` (``>`` when ``strict``) and their ``iou``. ``extent`` is the width
+    and height of the picture in the units of the boxes.
 
     With ``right=None`` it is a self join with ``left_id < right_id`` and the right columns get the
     suffix ``_b``. A pair meeting in several cells is kept only in the cell of its intersection corner.
@@ -71,8 +70,8 @@ def box_pairs(
         *[F.col(c).alias(f"{c}_b" if self_join else c) for c in rcols],
         *[F.col(c).alias(f"__r{i}") for i, c in enumerate(box)],
     ).join(n, keys)
-    lhs = _with_cells(lhs, [f"__l{i}" for i in range(4)])
-    rhs = _with_cells(rhs, [f"__r{i}" for i in range(4)]).drop("__g")
+    lhs = _with_cells(lhs, [f"__l{i}" for i in range(4)], extent)
+    rhs = _with_cells(rhs, [f"__r{i}" for i in range(4)], extent).drop("__g")
     lb = [F.col(f"__l{i}") for i in range(4)]
     rb = [F.col(f"__r{i}") for i in range(4)]
     corner_x, corner_y = F.greatest(lb[0], rb[0]), F.greatest(lb[1], rb[1])
@@ -81,7 +80,7 @@ def box_pairs(
     if self_join:
         pairs = pairs.where(F.col(left_id) < F.col(f"{right_id}_b"))
     pairs = pairs.where(
-        overlap & (_clamped_cell(corner_x) == F.col("__cx")) & (_clamped_cell(corner_y) == F.col("__cy"))
+        overlap & (_clamped_cell(corner_x, extent[0]) == F.col("__cx")) & (_clamped_cell(corner_y, extent[1]) == F.col("__cy"))
     ).withColumn("iou", iou(*lb, *rb))
     keep = F.col("iou") > min_iou if strict else F.col("iou") >= min_iou
     return pairs.where(keep).drop("__g", "__cx", "__cy", *[f"__l{i}" for i in range(4)], *[f"__r{i}" for i in range(4)])

@@ -132,3 +132,23 @@ def test_teacher_score_without_broadcast(spark):
         assert query() == want and len(want) == 25
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_crowds_of_boxes_exactly_at_the_limit(spark):
+    """An overlap of 0.2 and a distance of 0.6 widths, as far as doubles go: decided in pixels, as the SQL does."""
+    rows = [("a", 0, 0.52, 0.32, 0.15, 0.2125), ("a", 1, 0.54, 0.52, 0.188, 0.26), ("a", 2, 0.44, 0.34, 0.13, 0.1875),
+            ("b", 0, 0.28, 0.68, 0.116, 0.17), ("b", 1, 0.08, 0.64, 0.146, 0.2075), ("b", 3, 0.18, 0.26, 0.15, 0.2125), ("b", 5, 0.18, 0.42, 0.15, 0.2125)]
+    size = (1920.0, 1080.0)
+    px = [(f, d, x * size[0], y * size[1], w * size[0], h * size[1]) for f, d, x, y, w, h in rows]
+    df = spark.createDataFrame(px, "f string, detection_id long, bbox_x double, bbox_y double, bbox_w double, bbox_h double")
+    got = {r["f"]: (r["largest"], round(r["score"], 7)) for r in graph.crowd_scores(df, ["f"], extent=size).collect()}
+    assert got == {"a": (1, 1.0), "b": (2, 2.1409396)}
+
+
+def test_box_pairs_in_pixels_equal_those_in_shares(spark):
+    schema = "g string, f int, d long, bbox_x double, bbox_y double, bbox_w double, bbox_h double"
+    rows = boxes(150, 7)
+    px = [(*r[:3], r[3] * 1024, r[4] * 512, r[5] * 1024, r[6] * 512) for r in rows]
+    found = [{(r["f"], r["d"], r["d_b"]) for r in spatial.box_pairs(spark.createDataFrame(b, schema), None, ["g", "f"], "d", "d", 0.3, extent=e).collect()}
+             for b, e in ((rows, (1.0, 1.0)), (px, (1024.0, 512.0)))]
+    assert found[0] == found[1] and found[0]
