@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchgrid.operators import spatial
+from matchgrid.operators.scan import ordered_scan
 from matchgrid.session import cut_lineage
 
+#: Links of the largest group whose components one task finds in a pass; larger groups are solved in rounds.
+WALKED_LINKS = 1_000_000
+
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "node", keys: Sequence[str] = ()) -> DataFrame:
     """Smallest reachable node id per node (``component``), by min-label hooking with pointer jumping.
@@ -37,6 +41,49 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node", keys: Seq
             return lab
 
 
+class _Unions:
+    """The links of one group in any order; emits each node whose component is another one. Holds linked nodes only."""
+
+    def __init__(self, key: tuple):
+        self.key, self.up = key, {}
+
+    def root(self, t):
+        up = self.up
+        while t in up:
+            if up[t] in up:
+                up[t] = up[up[t]]
+            t = up[t]
+        return t
+
+    def step(self, row):
+        a, b = self.root(row[-2]), self.root(row[-1])
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+        return ()
+
+    def close(self):
+        return [(*self.key, t, self.root(t)) for t in self.up]
+
+
+def frame_components(nodes: DataFrame, edges: DataFrame, node: str, keys: Sequence[str]) -> DataFrame:
+    """As :func:`components`, for groups that are small and many, as frames are: a group is one pass over its links, so links
+    are shuffled once. Groups of more than ``WALKED_LINKS`` links are solved in rounds."""
+    k = list(keys)
+    edges = cut_lineage(edges.select(*k, "src", "dst"))
+    large = cut_lineage(edges.groupBy(*k).agg(F.count("*").alias("__n")).where(F.col("__n") > WALKED_LINKS).select(*k))
+    types = dict(edges.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in k) + f", {node} {types['src']}, component {types['src']}"
+    if large.isEmpty():
+        moved = ordered_scan(edges, k, [], _Unions, schema)
+    else:
+        theirs = edges.join(large, k, "left_semi")
+        ends = theirs.select(*k, F.col("src").alias(node)).unionByName(theirs.select(*k, F.col("dst").alias(node)))
+        moved = ordered_scan(edges.join(large, k, "left_anti"), k, [], _Unions, schema).unionByName(components(ends, theirs, node, k))
+    # Read again by whoever groups by component: stored once.
+    moved = cut_lineage(moved)
+    return nodes.select(*k, node).distinct().join(moved, [*k, node], "left").withColumn("component", F.coalesce("component", node))
+
+
 def roots(links: DataFrame, keys: Sequence[str], node: str, parent: str) -> DataFrame:
     """The topmost ancestor of every node that has a parent, by pointer jumping.
 
@@ -113,7 +160,7 @@ def person_links(boxes: DataFrame, frame_keys: Sequence[str], det: str, min_iou:
 def person_clusters(boxes: DataFrame, frame_keys: Sequence[str], det: str = "detection_id", extent: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """Component of every box inside its frame; ``extent`` is the picture's size in the units of the boxes."""
     k = list(frame_keys)
-    return components(boxes.select(*k, det), person_links(boxes, k, det, extent=extent), det, k)
+    return frame_components(boxes.select(*k, det), person_links(boxes, k, det, extent=extent), det, k)
 
 
 def crowd_scores(boxes: DataFrame, frame_keys: Sequence[str], det: str = "detection_id", crowd: int = 3,
@@ -140,7 +187,7 @@ def node_clusters(points: DataFrame, frame_keys: Sequence[str], node: str, x: Co
     p = points.select(*k, F.col(node).alias("src"), x.alias("__x"), y.alias("__y"))
     q = p.select(*k, F.col("src").alias("dst"), F.col("__x").alias("__qx"), F.col("__y").alias("__qy"))
     pairs = spatial.point_pairs(p, q, k, [F.col("__x"), F.col("__y")], [F.col("__qx"), F.col("__qy")], radius)
-    return components(points.select(*k, node), pairs.where("src < dst").select(*k, "src", "dst"), node, k)
+    return frame_components(points.select(*k, node), pairs.where("src < dst").select(*k, "src", "dst"), node, k)
 
 
 def merged_nodes(points: DataFrame, clusters: DataFrame, frame_keys: Sequence[str], node: str, source: str, score: str) -> DataFrame:

@@ -152,3 +152,40 @@ def test_box_pairs_in_pixels_equal_those_in_shares(spark):
     found = [{(r["f"], r["d"], r["d_b"]) for r in spatial.box_pairs(spark.createDataFrame(b, schema), None, ["g", "f"], "d", "d", 0.3, extent=e).collect()}
              for b, e in ((rows, (1.0, 1.0)), (px, (1024.0, 512.0)))]
     assert found[0] == found[1] and found[0]
+
+
+def test_components_in_a_pass_per_frame_equal_those_in_rounds(spark, monkeypatch):
+    rnd = random.Random(4)
+    nodes = [(f, n) for f in ("a", "b", "c") for n in range(40)]
+    edges = [(f, rnd.randrange(30), rnd.randrange(30)) for f, m in (("a", 60), ("b", 14)) for _ in range(m)]
+    nd, ed = spark.createDataFrame(nodes, "f string, node long"), spark.createDataFrame(edges, "f string, src long, dst long")
+    want = {tuple(r) for r in graph.components(nd, ed, "node", ["f"]).select("f", "node", "component").collect()}
+    for limit in (1_000_000, 20, 0):  # all in passes, the larger frame in rounds, all in rounds
+        monkeypatch.setattr(graph, "WALKED_LINKS", limit)
+        got = graph.frame_components(nd, ed, "node", ["f"]).select("f", "node", "component").collect()
+        assert len(got) == len(nodes) and {tuple(r) for r in got} == want
+
+
+def test_pairs_of_ordinary_and_crowded_frames_in_one_table(spark):
+    rnd = random.Random(6)
+    p = [(f, i, rnd.uniform(-50, 300), rnd.uniform(0, 300)) for f, n in (("few", 30), ("many", 90), ("one", 1)) for i in range(n)]
+    df = spark.createDataFrame(p, "f string, i long, x double, y double")
+    pairs = spatial.point_pairs(df.where("i % 2 = 0"), df.where("i % 2 = 1").toDF("f", "j", "qx", "qy"), ["f"], [F.col("x"), F.col("y")], [F.col("qx"), F.col("qy")], 40.0)
+    want = {(a[0], a[1], b[1]) for a in p for b in p if a[0] == b[0] and a[1] % 2 == 0 and b[1] % 2 == 1 and ((a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2) ** 0.5 <= 40.0}
+    assert {(r["f"], r["i"], r["j"]) for r in pairs.collect()} == want and {w[0] for w in want} == {"few", "many"}
+
+
+def test_merged_sources_keep_every_candidate_once(spark):
+    rnd = random.Random(12)
+    p = [(f, i, rnd.uniform(0, 200), rnd.uniform(0, 200), rnd.random()) for f in ("g", "h") for i in range(24)] + [("only_b", 1, 1.0, 1.0, 0.4), ("only_a", 2, 1.0, 1.0, 0.4)]
+    df = spark.createDataFrame(p, "f string, id long, x double, y double, p double")
+    got = joins.merge_two_sources(df.where("id % 2 = 0"), df.where("id % 2 = 1"), ["f"], 30.0).collect()
+    want, used = set(), set()
+    for f in {r[0] for r in p}:
+        a, b = ([r for r in p if r[0] == f and r[1] % 2 == odd] for odd in (0, 1))
+        for _, q, r in sorted((((q[2] - r[2]) ** 2 + (q[3] - r[3]) ** 2) ** 0.5, q, r) for q in a for r in b):
+            if ((q[2] - r[2]) ** 2 + (q[3] - r[3]) ** 2) ** 0.5 <= 30.0 and (f, q[1]) not in used and (f, r[1]) not in used:
+                used |= {(f, q[1]), (f, r[1])}
+                want.add((f, q[1], r[1], *(q[2:] if q[4] >= r[4] else (*r[2:4], r[4]))))
+        want |= {(f, q[1], None, *q[2:]) for q in a if (f, q[1]) not in used} | {(f, None, r[1], *r[2:]) for r in b if (f, r[1]) not in used}
+    assert len(got) == len(want) and {(r["f"], r["ida"], r["idb"], r["x"], r["y"], r["p"]) for r in got} == want and used
