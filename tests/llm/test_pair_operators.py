@@ -266,3 +266,16 @@ def test_pruning_keeps_every_vector_reachable():
             step = max(near[here], key=lambda j: x[j] @ x[q])
             assert x[step] @ x[q] > x[here] @ x[q]
             here = int(step)
+
+
+def test_hashing_many_texts_holds_few_bytes_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    column = pa.array([f"one two {i} three " * 3000 for i in range(100)])  # about 5 MB
+    tracemalloc.start()
+    n = sum(len(s) for s in jaccard_join.each_set(column, 3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 400 and peak < 64 << 20

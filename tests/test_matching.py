@@ -175,17 +175,18 @@ def test_pairs_of_ordinary_and_crowded_frames_in_one_table(spark):
     assert {(r["f"], r["i"], r["j"]) for r in pairs.collect()} == want and {w[0] for w in want} == {"few", "many"}
 
 
-def test_merged_sources_keep_every_candidate_once(spark):
-    rnd = random.Random(12)
-    p = [(f, i, rnd.uniform(0, 200), rnd.uniform(0, 200), rnd.random()) for f in ("g", "h") for i in range(24)] + [("only_b", 1, 1.0, 1.0, 0.4), ("only_a", 2, 1.0, 1.0, 0.4)]
-    df = spark.createDataFrame(p, "f string, id long, x double, y double, p double")
-    got = joins.merge_two_sources(df.where("id % 2 = 0"), df.where("id % 2 = 1"), ["f"], 30.0).collect()
-    want, used = set(), set()
-    for f in {r[0] for r in p}:
-        a, b = ([r for r in p if r[0] == f and r[1] % 2 == odd] for odd in (0, 1))
-        for _, q, r in sorted((((q[2] - r[2]) ** 2 + (q[3] - r[3]) ** 2) ** 0.5, q, r) for q in a for r in b):
-            if ((q[2] - r[2]) ** 2 + (q[3] - r[3]) ** 2) ** 0.5 <= 30.0 and (f, q[1]) not in used and (f, r[1]) not in used:
-                used |= {(f, q[1]), (f, r[1])}
-                want.add((f, q[1], r[1], *(q[2:] if q[4] >= r[4] else (*r[2:4], r[4]))))
-        want |= {(f, q[1], None, *q[2:]) for q in a if (f, q[1]) not in used} | {(f, None, r[1], *r[2:]) for r in b if (f, r[1]) not in used}
-    assert len(got) == len(want) and {(r["f"], r["ida"], r["idb"], r["x"], r["y"], r["p"]) for r in got} == want and used
+def test_homographies_over_several_slices_of_a_batch(spark, monkeypatch):
+    from matchgrid.operators import homography
+
+    monkeypatch.setattr(homography, "FRAMES", 2)
+    h = [[2.0, 0.1, 3.0], [0.2, 1.5, -1.0], [0.01, 0.02, 1.0]]
+    rows = []
+    for f in range(7):
+        for u, v in [(0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (1.0, 1.0), (0.3, 0.7), (0.8, 0.2)][: 3 + f]:
+            x, y, w = (a * u + b * (v + f) + c for a, b, c in h)
+            rows.append(("g", f, u, v + f, x / w, y / w))
+    rows += [("flat", 0, float(i), 0.0, float(i), 0.0) for i in range(5)]  # do not determine a map
+    df = spark.createDataFrame(rows, "game_id string, frame_index int, u double, v double, pitch_x double, pitch_y double").coalesce(1)
+    got = {(r["game_id"], r["frame_index"]): (r["H"] is not None, r["n_points"], r["mean_err_m"]) for r in homography.fit_homographies(df).collect()}
+    assert set(got) == {("g", f) for f in range(1, 7)} | {("flat", 0)} and got["flat", 0] == (False, 5, None)
+    assert all(got["g", f][0] and got["g", f][1] == min(6, 3 + f) and got["g", f][2] < 1e-6 for f in range(1, 7))
