@@ -9,8 +9,10 @@ others. Its home is the first of its elements in a global order (rare ones first
 |x| - t + 1 elements, where t is the smallest overlap a partner must have. Two sets within the threshold meet in at
 least one region, since else they would lack more elements than the threshold allows.
 
-Level 2. Each region takes one of its sets as pivot, and exact distances to it are found. Sets within the threshold are
-linked to the pivot, so a dense region needs no pairs of its own.
+Level 2. Each region takes one of its sets as pivot, and a large one a few more (their number grows with the logarithm of its
+members): the sets whose prefixes hold the most shared elements, as such lie in the middle of a group of near copies, while a
+much edited copy is near to few others. Exact distances to the pivots are found. Sets within the threshold are linked to the
+pivot, so a dense region needs no pairs of its own.
 
 Level 3. Regions that still hold sets of more than one component join the rest: pairs in the same component are settled,
 pairs whose distances to a common pivot differ by more than the threshold are excluded by the triangle inequality, and so
@@ -45,6 +47,8 @@ PROFILE, PER_BUCKET = 64, 16
 BLOCK = 512
 #: Members of a region whose bounds are compared in one group.
 REGION = 4096
+#: Members of a region from which on it has more than one pivot.
+CROWD = 64
 #: Bytes of text hashed at a time; a worker holds some 30 times as many.
 STRETCH = 1 << 20
 
@@ -338,15 +342,30 @@ def overlaps(pairs: DataFrame, sets: DataFrame, group: list[str]) -> DataFrame:
     return p.groupBy("g").cogroup(members.groupBy("of")).applyInPandas(count, fields).drop("g")
 
 
+def with_pivots(places: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Members of the regions of two or more sets, ``s, node, n, m, p`` (``m``: members, ``p``: the main pivot), and all
+    pivots of the regions, ``s, pivot``. Every pivot is the best of a slice of its region, which no task holds as a whole."""
+    sizes = places.groupBy("s").agg(F.count("*").alias("m")).where("m > 1")
+    members = stored(places.join(sizes, "s"))
+    prefix = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
+    middle = members.groupBy("node").agg((F.sum("m") / F.first(prefix)).alias("shared"))
+    slices = F.when(F.col("m") >= CROWD, F.floor(F.log2(F.col("m") * (2 / CROWD)))).otherwise(1).cast("int")
+    best = members.join(middle, "node").withColumn("slice", F.pmod(F.xxhash64("node", "s"), slices))
+    best = stored(best.groupBy("s", "slice").agg(F.max(F.struct("shared", F.col("node").alias("pivot"))).alias("best")))
+    main = best.groupBy("s").agg(F.max("best").alias("best")).select("s", F.col("best.pivot").alias("p"))
+    regions = stored(members.join(main, "s"))
+    unstore(members)
+    return regions, best.select("s", "best.pivot")
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Per document ``key, n_shingles, component_id``, and the links found between classes (``a, b, both, na, nb``): all
-    that join a class to its pivot, and all between classes that those leave apart."""
+    that join a class to its pivots, and all between classes that those leave apart."""
     rows, classes = classes_of(docs, key, text, words, percent)
     linked = 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
     places = classes.select("node", "n", F.explode("prefix").alias("s"))
-    pivots = places.groupBy("s").agg(F.min("node").alias("p"), F.count("*").alias("m")).where("m > 1")
-    regions = stored(places.join(pivots, "s"))
-    stars = regions.where("node <> p").select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
+    regions, pivots = with_pivots(places, percent)
+    stars = regions.select("s", "node").join(pivots, "s").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     stars = stored(with_profiles(stars, classes, percent))
     per_pivot = stars.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     stars = stars.join(per_pivot, "a").withColumn("k", F.pmod(F.xxhash64("b"), "blocks")).drop("blocks")
@@ -361,15 +380,19 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     d = stored(regions.join(known, "node").withColumn("away", F.when(F.col("node") == F.col("p"), 0.0).otherwise(F.col("far")[F.col("p")])).drop("far", "p"))
     open_regions = d.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("s")
     rest = unsettled(d.join(open_regions, "s").join(classes.select("node", "profile"), "node"), percent)
+    known_pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # A pair of sets is checked in the largest region they share, so that a set travels to few regions.
     rest = rest.groupBy("a", "b").agg(F.max(F.struct("m", "s")).alias("at"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    rest = stored(rest.select("a", "b", "na", "nb", F.col("at.s").alias("s")).join(found.select("a", "b"), ["a", "b"], "left_anti"))
+    rest = stored(rest.select("a", "b", "na", "nb", F.col("at.s").alias("s")).join(known_pairs, ["a", "b"], "left_anti"))
     here = rest.select("s", F.col("a").alias("node")).unionByName(rest.select("s", F.col("b").alias("node"))).distinct()
     rest = rest.join(here.groupBy("s").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "s")
     rest = rest.withColumn("ba", F.pmod(F.xxhash64("a"), "blocks")).withColumn("bb", F.pmod(F.xxhash64("b"), "blocks")).drop("blocks")
     more = overlaps(rest, sets_of(docs, rest, classes, key, text, words), ["s", "ba", "bb"]).where(linked).select("a", "b", "both", "na", "nb")
-    links = stored(links.select("a", "b", "both", "na", "nb").unionByName(more))
-    for t in (regions, stars, found, d, rest):
+    # Of two pivots that met in both orders one link is kept.
+    up = F.col("a") < F.col("b")
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "both", F.when(up, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(up, F.col("nb")).otherwise(F.col("na")).alias("nb"))
+    links = stored(links.distinct().unionByName(more))
+    for t in (regions, pivots, stars, found, d, rest):
         unstore(t)
     comp = link_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     named = classes.select("cls", "rep", "node").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
