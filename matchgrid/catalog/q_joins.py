@@ -460,6 +460,7 @@ my AS (SELECT clip, frame_index, ida, idb, CASE WHEN pb IS NULL OR pa >= pb THEN
 @query("j26_two_source_merge", f"WITH RECURSIVE {MERGE} SELECT clip, frame_index, ida, idb, round(x, 4) AS x, round(y, 4) AS y, round(p, 6) AS p FROM my")
 def _(t):
     c = t.ball_candidate.select("clip", "frame_index", F.col("detection_id").alias("id"), (F.col("x") * 1280).alias("x"), (F.col("y") * 720).alias("y"), F.col("confidence").alias("p"))
+    c = cut_lineage(c)  # both sources are read several times, and numbering the boxes moves whole rows
     d = joins.merge_two_sources(c.where("id % 2 = 0"), c.where("id % 2 = 1"), ["clip", "frame_index"], 60.0, 0.5)
     return d.select("clip", "frame_index", "ida", "idb", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round("p", 6).alias("p"))
 
