@@ -29,7 +29,9 @@ def _(t):
 
 
 def candidates(t):
-    return t.ball_candidate, t.frame.select(F.col("game_id").alias("clip"), "frame_index")
+    """Candidates, stored, as the passes of a tracker read them several times, and the processed frames."""
+    c = t.ball_candidate.select("clip", "frame_index", "detection_id", "confidence", "bbox_x", "bbox_y", "bbox_w", "bbox_h")
+    return cut_lineage(c), t.frame.select(F.col("game_id").alias("clip"), "frame_index")
 
 
 @query("x03_ball_tracker")
@@ -362,5 +364,6 @@ def _(t):
     fr = t.frame_label_state.where(gold).groupBy("game_id", "frame_index").agg(F.bool_or(F.col("cls_group") == "ball").alias("ball"), F.bool_or(F.col("cls_group") == "player").alias("person"))
     fr = fr.join(t.frame.select("game_id", "frame_index", "width", "height"), ["game_id", "frame_index"])
     kind = F.when(F.col("label") == "in_play_ball", "ball").when(F.col("label") == "player", "person")
-    d = t.detection.withColumn("kind", kind)
+    d = t.detection.where("source IN ('hand_label', 'yolo')").withColumn("kind", kind).where("kind IS NOT NULL")
+    d = cut_lineage(d.select("game_id", "frame_index", "detection_id", "source", "kind", "confidence", "bbox_x", "bbox_y", "bbox_w", "bbox_h"))
     return evaluate.teacher_scores(fr, d.where("source = 'hand_label'"), d.where("source = 'yolo'"), "game_id", ["game_id", "frame_index"])
