@@ -8,6 +8,7 @@ from matchgrid.catalog.q_windows import PAIRS
 from matchgrid.catalog.registry import query
 from matchgrid.functions import stats
 from matchgrid.operators import graph, logs, metrics
+from matchgrid.session import cut_lineage
 
 R = [10.0, 20.0]
 
@@ -278,9 +279,9 @@ PICTURE = (1920.0, 1080.0)
 
 
 def person_boxes(t):
-    """Boxes in pixels of :data:`PICTURE`."""
+    """Boxes in pixels of :data:`PICTURE`, stored, as every pair join reads them anew."""
     d = t.detection.where("label <> 'in_play_ball'")
-    return d.select("game_id", "frame_index", "detection_id", *[(F.col(f"bbox_{v}") * size).alias(f"bbox_{v}") for v, size in zip("xywh", PICTURE * 2, strict=True)])
+    return cut_lineage(d.select("game_id", "frame_index", "detection_id", *[(F.col(f"bbox_{v}") * size).alias(f"bbox_{v}") for v, size in zip("xywh", PICTURE * 2, strict=True)]))
 
 
 @query("a29_crowd_score", f"""

@@ -136,14 +136,16 @@ def cluster_report(labels: DataFrame, clusters: DataFrame, n_tracklets: DataFram
 
 
 def person_links(boxes: DataFrame, frame_keys: Sequence[str], det: str, min_iou: float = 0.2, centre_frac: float = 0.6,
-                 extent: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
-    """Pairs of boxes of a frame that stand together: enough overlap, or centres close for their width.
+                 extent: tuple[float, float] = (1.0, 1.0), overlaps: DataFrame | None = None) -> DataFrame:
+    """Pairs of boxes of a frame that stand together: enough overlap, or centres close for their width. ``overlaps`` are all
+    overlapping pairs, where they are known.
 
     A pair within ``centre_frac`` of the mean width always has its centre-width boxes touching, so both rules are
     found by one overlap join of boxes widened to squares of their own width about the centre, plus the plain boxes.
     """
     k = list(frame_keys)
-    over = spatial.box_pairs(boxes, None, k, det, det, min_iou, strict=True, extent=extent).select(*k, F.col(det).alias("src"), F.col(f"{det}_b").alias("dst"))
+    over = spatial.box_pairs(boxes, None, k, det, det, min_iou, strict=True, extent=extent) if overlaps is None else overlaps.where(F.col("iou") > min_iou)
+    over = over.select(*k, F.col(det).alias("src"), F.col(f"{det}_b").alias("dst"))
     cx, cy = F.col("bbox_x") + F.col("bbox_w") / 2, F.col("bbox_y") + F.col("bbox_h") / 2
     # A square of side w about each centre: two squares overlap if both centre offsets are below the mean width.
     sq = boxes.select(*k, det, (cx - F.col("bbox_w") / 2).alias("bbox_x"), (cy - F.col("bbox_w") / 2).alias("bbox_y"), F.col("bbox_w"),
@@ -157,23 +159,25 @@ def person_links(boxes: DataFrame, frame_keys: Sequence[str], det: str, min_iou:
     return over.unionByName(near).distinct()
 
 
-def person_clusters(boxes: DataFrame, frame_keys: Sequence[str], det: str = "detection_id", extent: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
-    """Component of every box inside its frame; ``extent`` is the picture's size in the units of the boxes."""
+def person_clusters(boxes: DataFrame, frame_keys: Sequence[str], det: str = "detection_id", extent: tuple[float, float] = (1.0, 1.0),
+                    overlaps: DataFrame | None = None) -> DataFrame:
+    """Component of every box inside its frame; ``extent`` is the picture's size in the units of the boxes. ``overlaps``: see
+    :func:`person_links`."""
     k = list(frame_keys)
-    return frame_components(boxes.select(*k, det), person_links(boxes, k, det, extent=extent), det, k)
+    return frame_components(boxes.select(*k, det), person_links(boxes, k, det, extent=extent, overlaps=overlaps), det, k)
 
 
 def crowd_scores(boxes: DataFrame, frame_keys: Sequence[str], det: str = "detection_id", crowd: int = 3,
                  extent: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """Largest cluster + a quarter of the boxes in crowds + mean overlap of the pairs inside clusters."""
     k = list(frame_keys)
-    comp = person_clusters(boxes, k, det, extent)
+    ov = cut_lineage(spatial.box_pairs(boxes, None, k, det, det, 0.0, strict=True, extent=extent))
+    comp = person_clusters(boxes, k, det, extent, ov)
     size = comp.groupBy(*k, "component").agg(F.count("*").alias("size"))
     per = size.groupBy(*k).agg(
         F.max("size").alias("largest"), F.sum(F.when(F.col("size") >= crowd, F.col("size")).otherwise(0)).alias("in_crowds"),
         F.sum(F.col("size") * (F.col("size") - 1) / 2.0).alias("pairs"), F.sum("size").alias("n_boxes"))
     # Every overlapping pair is linked or joined by others; only pairs inside one cluster count.
-    ov = spatial.box_pairs(boxes, None, k, det, det, 0.0, strict=True, extent=extent)
     a = comp.select(*k, F.col(det), F.col("component").alias("__a"))
     b = comp.select(*k, F.col(det).alias(f"{det}_b"), F.col("component").alias("__b"))
     s = ov.join(a, [*k, det]).join(b, [*k, f"{det}_b"]).where("__a = __b").groupBy(*k).agg(F.sum("iou").alias("sum_iou"))
